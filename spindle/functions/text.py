@@ -50,14 +50,16 @@ def smiles_tokens(text) -> Column:
 def kmer_tokens(tokens, k: int) -> Column:
     """#81 ``tokenize_kmer``: sliding windows of k tokens joined by ''.
 
-    Rows shorter than k give an empty array.
+    Built from k shifted slices combined with ``zip_with`` (no lambda refers
+    to the whole array, so the token expression is evaluated k times per row,
+    not once per window).  Rows shorter than k give an empty array.
     """
     t = _c(tokens)
-    n = F.size(t) - F.lit(k) + 1
-    return F.when(
-        n >= 1,
-        F.transform(F.sequence(F.lit(1), n), lambda i: F.array_join(F.slice(t, i, k), "")),
-    ).otherwise(F.array().cast("array<string>"))
+    n = F.greatest(F.size(t) - F.lit(k) + 1, F.lit(0))
+    out = F.slice(t, 1, n)
+    for j in range(2, k + 1):
+        out = F.zip_with(out, F.slice(t, j, n), lambda a, b: F.concat(a, b))
+    return out
 
 
 def split_delimited(text, sep: str = ",") -> Column:

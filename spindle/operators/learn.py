@@ -1,0 +1,309 @@
+"""Sub-word vocabulary learners and appliers.
+
+Learners work on the table of *distinct* words with their frequency, never
+on rows: the corpus is reduced once by a ``groupBy``, then every merge step is
+one pair-count aggregation (map-side combined) plus one top-1 row to the
+driver.  A word is kept as a space-separated symbol string so a merge is a
+single ``regexp_replace`` (narrow, codegen'd).  Each step's table is cached
+and the lineage is cut with a reliable checkpoint every few steps, so a lost
+executor recomputes a few steps, not the whole loop.
+
+Appliers segment the distinct words in ``mapInPandas`` (the model is a
+bounded broadcast) and join the segmentation back to the rows.
+"""
+
+from __future__ import annotations
+
+import math
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .util import cut_lineage
+
+SEP = " "
+
+
+def word_freq(tok: DataFrame, token: str = "token") -> DataFrame:
+    """(word, freq) from a tokens table."""
+    return tok.groupBy(F.col(token).alias("word")).agg(F.count(F.lit(1)).alias("freq"))
+
+
+def _char_symbols(word, continuation: bool):
+    chars = F.filter(F.split(word, ""), lambda c: F.length(c) > 0)
+    if continuation:
+        chars = F.transform(chars, lambda c, i: F.when(i > 0, F.concat(F.lit("##"), c)).otherwise(c))
+    return F.array_join(chars, SEP)
+
+
+def pair_counts(wf: DataFrame, seq: str | None = None) -> DataFrame:
+    """#84: adjacent-symbol pair frequencies weighted by word frequency.
+
+    ``wf(word, freq[, seq])``; without ``seq`` the symbols are the characters.
+    """
+    s = F.split(F.col(seq), SEP) if seq else F.filter(F.split("word", ""), lambda c: F.length(c) > 0)
+    n = F.size(s) - 1
+    pairs = F.arrays_zip(F.slice(s, 1, F.greatest(n, F.lit(0))).alias("left"), F.slice(s, 2, F.greatest(n, F.lit(0))).alias("right"))
+    return (
+        wf.select("freq", F.explode(pairs).alias("p"))
+        .groupBy(F.col("p.left").alias("left"), F.col("p.right").alias("right"))
+        .agg(F.sum("freq").cast("bigint").alias("n"))
+    )
+
+
+def _java_quote(s: str) -> str:
+    return "\\Q" + s.replace("\\E", "\\E\\\\E\\Q") + "\\E"
+
+
+def _java_replacement(s: str) -> str:
+    return s.replace("\\", "\\\\").replace("$", "\\$")
+
+
+def _merge_expr(seq_col, left: str, right: str, continuation: bool):
+    merged = left + (right[2:] if continuation and right.startswith("##") else right)
+    pattern = r"(?<!\S)" + _java_quote(left) + " " + _java_quote(right) + r"(?!\S)"
+    return F.regexp_replace(seq_col, F.lit(pattern), F.lit(_java_replacement(merged))), merged
+
+
+def learn_merges(
+    spark: SparkSession,
+    wf: DataFrame,
+    n_merges: int,
+    min_frequency: int = 2,
+    continuation: bool = False,
+    initial_seq=None,
+    checkpoint_every: int = 10,
+) -> tuple[DataFrame, DataFrame]:
+    """#85 BPE / #86 SPE / #87 WordPiece merge learning.
+
+    Returns ``merges(rank, left, right, merged, n)`` and the final
+    ``words(word, freq, seq)``.  Ties break by (count desc, left, right).
+    Stops early when the best pair occurs fewer than ``min_frequency`` times.
+    """
+    seq0 = initial_seq if initial_seq is not None else _char_symbols(F.col("word"), continuation)
+    cur = wf.select("word", "freq", seq0.alias("seq")).where(F.length("seq") > 0)
+    cur = cut_lineage(cur).persist()
+    merges = []
+    prev = None
+    for r in range(n_merges):
+        top = pair_counts(cur, "seq").orderBy(F.col("n").desc(), "left", "right").limit(1).collect()
+        if prev is not None:
+            prev.unpersist()
+            prev = None
+        if not top or top[0]["n"] < min_frequency:
+            break
+        left, right, n = top[0]["left"], top[0]["right"], int(top[0]["n"])
+        expr, merged = _merge_expr(F.col("seq"), left, right, continuation)
+        merges.append((r + 1, left, right, merged, n))
+        nxt = cur.withColumn("seq", expr)
+        nxt = cut_lineage(nxt).persist() if (r + 1) % checkpoint_every == 0 else nxt.persist()
+        prev, cur = cur, nxt
+    merges_df = spark.createDataFrame(merges, "rank int, left string, right string, merged string, n bigint")
+    return merges_df, cur
+
+
+def learn_spe(spark: SparkSession, rows: DataFrame, tokens_col, vocab_size: int, min_frequency: int = 2, total_symbols: bool = True):
+    """#86: merges over atom tokens of whole rows.
+
+    With ``total_symbols`` the initial distinct symbols count against the
+    budget: merges = vocab_size − #symbols.
+    """
+    toks = rows.select(tokens_col.alias("t")).where(F.size("t") > 0)
+    wf = toks.select(F.array_join("t", SEP).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("freq"))
+    n_symbols = toks.select(F.explode("t").alias("s")).distinct().count() if total_symbols else 0
+    n_merges = max(0, vocab_size - n_symbols)
+    return learn_merges(spark, wf, n_merges, min_frequency, initial_seq=F.col("word"))
+
+
+# ---------------------------------------------------------------------------
+# Appliers: small per-word helpers run in mapInPandas over distinct words.
+# ---------------------------------------------------------------------------
+
+def bpe_segment(word: str, ranks: dict, continuation: bool = False) -> list[str]:
+    """Apply merges to one word: repeatedly merge the lowest-rank adjacent pair."""
+    syms = [c if (i == 0 or not continuation) else "##" + c for i, c in enumerate(word)]
+    while len(syms) > 1:
+        best, bi = None, -1
+        for i in range(len(syms) - 1):
+            rk = ranks.get((syms[i], syms[i + 1]))
+            if rk is not None and (best is None or rk < best):
+                best, bi = rk, i
+        if best is None:
+            break
+        a, b = syms[bi], syms[bi + 1]
+        m = a + (b[2:] if continuation and b.startswith("##") else b)
+        out, i = [], 0
+        while i < len(syms):
+            if i < len(syms) - 1 and syms[i] == a and syms[i + 1] == b:
+                out.append(m)
+                i += 2
+            else:
+                out.append(syms[i])
+                i += 1
+        syms = out
+    return syms
+
+
+def wordpiece_segment(word: str, vocab: set, unk: str = "[UNK]", max_chars: int = 100) -> list[str]:
+    """Greedy longest-match-first; a word with an unmatchable rest becomes [UNK]."""
+    if len(word) > max_chars:
+        return [unk]
+    out, start = [], 0
+    while start < len(word):
+        end, cur = len(word), None
+        while start < end:
+            piece = word[start:end] if start == 0 else "##" + word[start:end]
+            if piece in vocab:
+                cur = piece
+                break
+            end -= 1
+        if cur is None:
+            return [unk]
+        out.append(cur)
+        start = end
+    return out
+
+
+def viterbi_segment(word: str, cost: dict, max_len: int, unk_cost: float) -> tuple[list[str], float]:
+    """Lowest-cost segmentation; single unknown characters cost ``unk_cost``."""
+    n = len(word)
+    best = [0.0] + [math.inf] * n
+    back = [0] * (n + 1)
+    for j in range(1, n + 1):
+        for i in range(max(0, j - max_len), j):
+            piece = word[i:j]
+            c = cost.get(piece)
+            if c is None:
+                if j - i != 1:
+                    continue
+                c = unk_cost
+            if best[i] + c < best[j]:
+                best[j], back[j] = best[i] + c, i
+    pieces, j = [], n
+    while j > 0:
+        pieces.append(word[back[j]:j])
+        j = back[j]
+    return pieces[::-1], best[n]
+
+
+def _segment_words(words: DataFrame, fn, bc) -> DataFrame:
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = bc.value
+        for pdf in it:
+            yield pd.DataFrame({"word": pdf["word"], "pieces": [fn(w, model) for w in pdf["word"]]})
+
+    return words.mapInPandas(run, "word string, pieces array<string>")
+
+
+def apply_merges(tok: DataFrame, merges: DataFrame, continuation: bool = False) -> DataFrame:
+    """#89: BPE pieces for each token of ``tok(..., token)`` → adds ``pieces``."""
+    spark = tok.sparkSession
+    ranks = {(r["left"], r["right"]): r["rank"] for r in merges.select("rank", "left", "right").collect()}
+    bc = spark.sparkContext.broadcast(ranks)
+    words = tok.select(F.col("token").alias("word")).distinct()
+    seg = _segment_words(words, lambda w, m: bpe_segment(w, m, continuation), bc)
+    return tok.join(seg.withColumnRenamed("word", "token"), "token")
+
+
+def apply_wordpiece(tok: DataFrame, vocab: DataFrame) -> DataFrame:
+    """#90: WordPiece pieces for each token."""
+    spark = tok.sparkSession
+    vs = {r["token"] for r in vocab.select("token").collect()}
+    bc = spark.sparkContext.broadcast(vs)
+    words = tok.select(F.col("token").alias("word")).distinct()
+    seg = _segment_words(words, lambda w, m: wordpiece_segment(w, m), bc)
+    return tok.join(seg.withColumnRenamed("word", "token"), "token")
+
+
+def apply_viterbi(tok: DataFrame, lexicon: DataFrame, max_len: int = 8) -> DataFrame:
+    """#91: lowest-cost segmentation of each token under ``lexicon(morph, cost)``."""
+    spark = tok.sparkSession
+    rows = lexicon.select("morph", "cost").collect()
+    cost = {r["morph"]: float(r["cost"]) for r in rows}
+    unk = (max(cost.values()) if cost else 0.0) + 10.0
+    bc = spark.sparkContext.broadcast((cost, unk))
+    words = tok.select(F.col("token").alias("word")).distinct()
+    seg = _segment_words(words, lambda w, m: viterbi_segment(w, m[0], max_len, m[1])[0], bc)
+    return tok.join(seg.withColumnRenamed("word", "token"), "token")
+
+
+def _substrings_upto(col, max_len: int):
+    s = F.col(col)
+    n = F.length(s)
+    return F.flatten(
+        F.transform(
+            F.sequence(F.lit(1), n),
+            lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(max_len), n - i + 1)), lambda ln: F.substring(s, i, ln)),
+        )
+    )
+
+
+def learn_unigram_lexicon(
+    spark: SparkSession, wf: DataFrame, n_types: int, max_len: int = 8, epochs: int = 5, seed_factor: int = 4
+) -> DataFrame:
+    """#88: unigram lexicon by hard EM (Viterbi re-counting).
+
+    Seed: substrings of the distinct words up to ``max_len`` weighted by word
+    frequency, the ``seed_factor·n_types`` most frequent kept plus every
+    single character.  Each epoch segments every distinct word with the
+    current costs (mapInPandas, lexicon broadcast: bounded by the seed size),
+    re-counts morph usage weighted by frequency, and prunes to ``n_types``
+    (single characters always kept).  Returns ``lexicon(morph, count, cost)``.
+    """
+    subs = wf.select("freq", F.explode(_substrings_upto("word", max_len)).alias("morph"))
+    counts = subs.groupBy("morph").agg(F.sum("freq").alias("count"))
+    singles = counts.where(F.length("morph") == 1)
+    multi = counts.where(F.length("morph") > 1).orderBy(F.col("count").desc(), "morph").limit(seed_factor * n_types)
+    lex = singles.unionByName(multi)
+    words = cut_lineage(wf.select(F.col("word"), "freq"))
+    for _ in range(epochs):
+        total = lex.agg(F.sum("count")).first()[0] or 1
+        lex_rows = lex.select("morph", "count").collect()
+        cost = {r["morph"]: -math.log(max(r["count"], 1e-9) / total) for r in lex_rows}
+        unk = max(cost.values()) + 10.0
+        bc = spark.sparkContext.broadcast((cost, unk))
+
+        def run(it: Iterator[pd.DataFrame], bc=bc) -> Iterator[pd.DataFrame]:
+            c, u = bc.value
+            for pdf in it:
+                pieces = [viterbi_segment(w, c, max_len, u)[0] for w in pdf["word"]]
+                yield pd.DataFrame({"freq": pdf["freq"], "pieces": pieces})
+
+        seg = words.mapInPandas(run, "freq bigint, pieces array<string>")
+        used = seg.select("freq", F.explode("pieces").alias("morph")).groupBy("morph").agg(F.sum("freq").alias("count"))
+        keep_multi = used.where(F.length("morph") > 1).orderBy(F.col("count").desc(), "morph").limit(n_types)
+        lex = cut_lineage(used.where(F.length("morph") == 1).unionByName(keep_multi))
+    total = lex.agg(F.sum("count")).first()[0] or 1
+    return lex.select("morph", F.col("count").cast("bigint").alias("count"), (-F.log(F.col("count") / F.lit(float(total)))).alias("cost"))
+
+
+def reference_bpe(words: dict[str, int], n_merges: int, min_frequency: int = 2, continuation: bool = False) -> list[tuple[str, str, int]]:
+    """Plain-Python BPE learner used by the tests as a brute-force oracle."""
+    seqs = {w: [c if (i == 0 or not continuation) else "##" + c for i, c in enumerate(w)] for w in words}
+    out = []
+    for _ in range(n_merges):
+        cnt: dict = {}
+        for w, s in seqs.items():
+            for a, b in zip(s, s[1:]):
+                cnt[(a, b)] = cnt.get((a, b), 0) + words[w]
+        if not cnt:
+            break
+        (a, b), n = min(cnt.items(), key=lambda kv: (-kv[1], kv[0][0], kv[0][1]))
+        if n < min_frequency:
+            break
+        out.append((a, b, n))
+        m = a + (b[2:] if continuation and b.startswith("##") else b)
+        for w, s in seqs.items():
+            o, i = [], 0
+            while i < len(s):
+                if i < len(s) - 1 and s[i] == a and s[i + 1] == b:
+                    o.append(m)
+                    i += 2
+                else:
+                    o.append(s[i])
+                    i += 1
+            seqs[w] = o
+    return out
+
