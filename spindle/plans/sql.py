@@ -46,3 +46,12 @@ def md5_int(expr: str) -> str:
 
 def with_(*ctes: str) -> str:
     return "WITH " + ",\n".join(ctes) + "\n"
+
+
+EXPERIMENTS = """experiments AS (SELECT 'toxic' AS task, tokenizer_type, mol_rep, vocab_size, n, score,
+    score - 1.96e0 * sqrt(score * (1.0 - score) / n) AS score_lb, score + 1.96e0 * sqrt(score * (1.0 - score) / n) AS score_ub, perplexity
+  FROM (SELECT lang AS tokenizer_type, (CAST(regexp_extract(source, '([0-9]+)', 1) AS INTEGER) + 1) * 100 AS vocab_size,
+          CASE WHEN quality = 1 THEN 'smiles' ELSE 'selfies' END AS mol_rep, count(*) AS n,
+          avg(CASE WHEN (l1 > l0) = (y = 1) THEN 1.0 ELSE 0.0 END) AS score,
+          exp(avg(-ln(greatest(CASE WHEN y = 1 THEN 1.0 / (1.0 + exp(l0 - l1)) ELSE 1.0 - 1.0 / (1.0 + exp(l0 - l1)) END, 1e-15)))) AS perplexity
+        FROM predictions GROUP BY 1, 2, 3))"""

@@ -93,3 +93,34 @@ def conversation_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
         .where(F.col("b").isNotNull())
         .select("conv_id", "turn", F.col("text").alias("a"), "b")
     )
+
+
+def experiments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """experiments(task, tokenizer_type, mol_rep, vocab_size, n, score, score_lb, score_ub, perplexity).
+
+    One row per (lang, source, quality) group of the predictions: lang stands
+    for the tokenizer type, the source number for the vocabulary size, the
+    quality label for the representation.  score = accuracy of the hard
+    prediction with a Wald interval; perplexity = exp(mean −ln p(true)).
+    """
+    p = predictions(spark, sf_dir)
+    correct = F.when((F.col("l1") > F.col("l0")) == (F.col("y") == 1), 1.0).otherwise(0.0)
+    p1 = F.lit(1.0) / (F.lit(1.0) + F.exp(F.col("l0") - F.col("l1")))
+    nll = -F.log(F.greatest(F.when(F.col("y") == 1, p1).otherwise(F.lit(1.0) - p1), F.lit(1e-15)))
+    g = p.groupBy(
+        F.col("lang").alias("tokenizer_type"),
+        ((F.regexp_extract("source", r"([0-9]+)", 1).cast("int") + 1) * 100).alias("vocab_size"),
+        F.when(F.col("quality") == 1, "smiles").otherwise("selfies").alias("mol_rep"),
+    ).agg(F.count(F.lit(1)).alias("n"), F.avg(correct).alias("score"), F.exp(F.avg(nll)).alias("perplexity"))
+    half = F.lit(1.96) * F.sqrt(F.col("score") * (F.lit(1.0) - F.col("score")) / F.col("n"))
+    return g.select(
+        F.lit("toxic").alias("task"),
+        "tokenizer_type",
+        "mol_rep",
+        "vocab_size",
+        "n",
+        "score",
+        (F.col("score") - half).alias("score_lb"),
+        (F.col("score") + half).alias("score_ub"),
+        "perplexity",
+    )
