@@ -109,3 +109,94 @@ def pad_rank_join(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     return a.join(b, [*keys, "rank"], "full_outer").select(
         *keys, "rank", F.coalesce(F.col("a"), F.lit(0.0)).alias("a"), F.coalesce(F.col("b"), F.lit(0.0)).alias("b")
     )
+
+
+def collapse_identical_sets(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Group rows whose token sets are identical.
+
+    ``sets(id, token)`` (distinct) → (``reps(id, tokens, n)`` one row per
+    distinct set, represented by its smallest id; ``copies(id, m)`` the
+    multiplicity of every represented set).  A group of copies, however
+    large, becomes one row before any pairing.
+    """
+    per = sets.groupBy("id").agg(F.array_sort(F.collect_set("token")).alias("tokens"))
+    per = per.withColumn("_sig", F.sha2(F.array_join("tokens", "\u0001"), 256))
+    grp = per.groupBy("_sig").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("m"))
+    reps = per.join(grp.select("_sig", "id"), ["_sig", "id"], "left_semi").select("id", "tokens", F.size("tokens").alias("n"))
+    return reps, grp.select("id", "m")
+
+
+def similarity_self_join(sets: DataFrame, threshold: float = 0.6) -> tuple[DataFrame, DataFrame]:
+    """#31 exact Jaccard self-join: pairs of distinct token sets with J > threshold.
+
+    Prefix filtering: tokens are ordered by ascending document frequency;
+    two sets with J ≥ t must share a token among the first
+    n − ceil(t·n) + 1 of each, so only those prefix tokens are joined, plus
+    the length filter t·n_a ≤ n_b.  Candidates are verified exactly with
+    ``array_intersect``.  Identical sets are collapsed first and reported
+    with their multiplicity, so copies never produce quadratic pairs.
+    Returns (pairs(id_a, id_b, n_common, n_union, jaccard), copies(id, m)).
+    """
+    num, den = _ratio(threshold)
+    reps, copies = collapse_identical_sets(sets)
+    reps = reps.where(F.col("n") > 0)
+    ex = reps.select("id", "n", F.explode("tokens").alias("token"))
+    dfreq = ex.groupBy("token").agg(F.count(F.lit(1)).alias("_df"))
+    ranked = ex.join(dfreq, "token").withColumn(
+        "_r", F.row_number().over(Window.partitionBy("id").orderBy("_df", "token"))
+    )
+    # prefix length n - ceil(t n) + 1, computed on integers (floor division) so
+    # rounding can only lengthen it
+    prefix = ranked.where(F.col("_r") <= F.col("n") - F.floor(F.col("n") * F.lit(num) / F.lit(den)) + 1).select("id", "n", "token")
+    a, b = prefix.alias("a"), prefix.alias("b")
+    cand = (
+        a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.id") < F.col("b.id")))
+        .where((F.col("b.n") * F.lit(den) >= F.col("a.n") * F.lit(num)) & (F.col("a.n") * F.lit(den) >= F.col("b.n") * F.lit(num)))
+        .select(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b"))
+        .distinct()
+    )
+    ta = reps.select(F.col("id").alias("id_a"), F.col("tokens").alias("ta"))
+    tb = reps.select(F.col("id").alias("id_b"), F.col("tokens").alias("tb"))
+    v = cand.join(ta, "id_a").join(tb, "id_b")
+    inter = F.size(F.array_intersect("ta", "tb"))
+    union = F.size("ta") + F.size("tb") - inter
+    # exact test J > t on integers: inter * den > num * union for t = num / den
+    out = v.select("id_a", "id_b", inter.alias("n_common"), union.alias("n_union")).where(
+        F.col("n_common") * F.lit(den) > F.lit(num) * F.col("n_union")
+    )
+    return out.withColumn("jaccard", F.col("n_common") / F.col("n_union")), copies
+
+
+def _ratio(t: float) -> tuple[int, int]:
+    from fractions import Fraction
+
+    f = Fraction(t).limit_denominator(10**6)
+    return f.numerator, f.denominator
+
+
+def cosine_pairs_lsh(vecs: DataFrame, min_cosine: float = 0.9, bucket_length: float = 0.5, tables: int = 4, seed: int = 7) -> DataFrame:
+    """#32 (approximate): pairs of L2-normalised vectors with cosine ≥ ``min_cosine``.
+
+    Random-projection LSH (Spark ML) on the unit vectors; Euclidean distance
+    d relates to cosine by cos = 1 − d²/2.  Identical vectors are collapsed
+    first (with their multiplicity) so copies do not fill one bucket.
+    ``vecs(id, v array<double>)`` → (id_a, id_b, cosine, m_a, m_b).
+    """
+    from pyspark.ml.feature import BucketedRandomProjectionLSH
+    from pyspark.ml.functions import array_to_vector
+
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda acc, x: acc + x * x))
+    unit = vecs.select("id", F.transform("v", lambda x: x / norm).alias("u"))
+    grp = unit.groupBy("u").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("m"))
+    feats = grp.select("id", "m", array_to_vector("u").alias("features"))
+    lsh = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=bucket_length, numHashTables=tables, seed=seed)
+    model = lsh.fit(feats)
+    max_d = (2.0 * (1.0 - min_cosine)) ** 0.5
+    j = model.approxSimilarityJoin(feats, feats, max_d, distCol="d")
+    return j.where(F.col("datasetA.id") < F.col("datasetB.id")).select(
+        F.col("datasetA.id").alias("id_a"),
+        F.col("datasetB.id").alias("id_b"),
+        (F.lit(1.0) - F.col("d") * F.col("d") / 2.0).alias("cosine"),
+        F.col("datasetA.m").alias("m_a"),
+        F.col("datasetB.m").alias("m_b"),
+    )
