@@ -42,7 +42,7 @@ def ordered_cumsum(
         keyed.withColumn("_loc", F.sum("_v").over(local))
         .join(offsets, [*g, "_pid"])
         .withColumn(out, F.col("_loc") + F.col("_off"))
-        .drop("_pid", "_v", "_loc", "_off")
+        .select(*[c for c in df.columns if c != out], out)
     )
 
 
