@@ -105,7 +105,7 @@ def softmax2(l0, l1):
 def logit(p) -> Column:
     """#75: ln(p / (1 - p))."""
     p = _c(p)
-    return F.log(p / (F.lit(1.0) - p))
+    return F.log(F.try_divide(p, F.lit(1.0) - p))
 
 
 def l2_norm(arr) -> Column:

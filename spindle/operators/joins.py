@@ -186,7 +186,7 @@ def cosine_pairs_lsh(vecs: DataFrame, min_cosine: float = 0.9, bucket_length: fl
     from pyspark.ml.functions import array_to_vector
 
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda acc, x: acc + x * x))
-    unit = vecs.select("id", F.transform("v", lambda x: x / norm).alias("u"))
+    unit = vecs.where(norm > 0).select("id", F.transform("v", lambda x: F.try_divide(x, norm)).alias("u"))
     grp = unit.groupBy("u").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("m"))
     feats = grp.select("id", "m", array_to_vector("u").alias("features"))
     lsh = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=bucket_length, numHashTables=tables, seed=seed)

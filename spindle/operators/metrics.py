@@ -106,8 +106,8 @@ def delong(pred: DataFrame, score: str = "p", group: tuple = ()) -> DataFrame:
     )
     r = r.join(mn, g)
     pos = F.col("y") == 1
-    v01 = F.when(pos, (F.col("tz") - F.col("tc")) / F.col("n"))
-    v10 = F.when(~pos, F.lit(1.0) - (F.col("tz") - F.col("tc")) / F.col("m"))
+    v01 = F.when(pos, F.try_divide(F.col("tz") - F.col("tc"), F.col("n")))
+    v10 = F.when(~pos, F.lit(1.0) - F.try_divide(F.col("tz") - F.col("tc"), F.col("m")))
     out = r.groupBy(*g).agg(
         F.first("m").alias("m"),
         F.first("n").alias("n"),
@@ -116,8 +116,8 @@ def delong(pred: DataFrame, score: str = "p", group: tuple = ()) -> DataFrame:
         F.var_samp(v10).alias("_v10"),
     )
     valid = (F.col("m") > 0) & (F.col("n") > 0)
-    auc = F.when(valid, F.col("_sz") / F.col("m") / F.col("n") - (F.col("m") + 1.0) / 2.0 / F.col("n"))
-    var = F.when(valid, F.col("_v01") / F.col("m") + F.col("_v10") / F.col("n"))
+    auc = F.when(valid, F.try_divide(F.col("_sz"), F.col("m") * F.col("n")) - F.try_divide(F.col("m") + 1.0, 2.0 * F.col("n")))
+    var = F.when(valid, F.try_divide(F.col("_v01"), F.col("m")) + F.try_divide(F.col("_v10"), F.col("n")))
     return out.select(*g, F.col("m").cast("bigint").alias("n_pos"), F.col("n").cast("bigint").alias("n_neg"), auc.alias("auc"), var.alias("auc_var"))
 
 
@@ -160,8 +160,8 @@ def delong_test(pred: DataFrame, s1: str = "p", s2: str = "p2", group: tuple = (
     pos = F.col("y") == 1
     cols = []
     for nm in ("a", "b"):
-        cols.append(F.when(pos, (F.col(f"tz_{nm}") - F.col(f"tc_{nm}")) / F.col("n")).alias(f"v01_{nm}"))
-        cols.append(F.when(~pos, F.lit(1.0) - (F.col(f"tz_{nm}") - F.col(f"tc_{nm}")) / F.col("m")).alias(f"v10_{nm}"))
+        cols.append(F.when(pos, F.try_divide(F.col(f"tz_{nm}") - F.col(f"tc_{nm}"), F.col("n"))).alias(f"v01_{nm}"))
+        cols.append(F.when(~pos, F.lit(1.0) - F.try_divide(F.col(f"tz_{nm}") - F.col(f"tc_{nm}"), F.col("m"))).alias(f"v10_{nm}"))
         cols.append(F.when(pos, F.col(f"tz_{nm}")).alias(f"sz_{nm}"))
     r = r.select(*g, "m", "n", *cols)
     agg = r.groupBy(*g).agg(
@@ -177,10 +177,10 @@ def delong_test(pred: DataFrame, s1: str = "p", s2: str = "p2", group: tuple = (
         F.covar_samp("v10_a", "v10_b").alias("c10"),
     )
     m, n = F.col("m"), F.col("n")
-    auc_a = F.col("sza") / m / n - (m + 1.0) / 2.0 / n
-    auc_b = F.col("szb") / m / n - (m + 1.0) / 2.0 / n
-    var_diff = (F.col("va01") + F.col("vb01") - 2 * F.col("c01")) / m + (F.col("va10") + F.col("vb10") - 2 * F.col("c10")) / n
-    z = (auc_a - auc_b) / F.sqrt(var_diff)
+    auc_a = F.try_divide(F.col("sza"), m * n) - F.try_divide(m + 1.0, 2.0 * n)
+    auc_b = F.try_divide(F.col("szb"), m * n) - F.try_divide(m + 1.0, 2.0 * n)
+    var_diff = F.try_divide(F.col("va01") + F.col("vb01") - 2 * F.col("c01"), m) + F.try_divide(F.col("va10") + F.col("vb10") - 2 * F.col("c10"), n)
+    z = F.try_divide(auc_a - auc_b, F.sqrt(var_diff))
     return agg.select(
         *g,
         auc_a.alias("auc_1"),

@@ -92,12 +92,12 @@ def corpus_perplexity(scored: DataFrame, key: str, p: float = 0.15, seed: int =
         F.sum("ppl").alias("sum_ppl"),
     )
     return tok.select(
-        F.exp(F.col("nll") / F.col("n")).alias("ppl_per_token"),
-        F.exp(F.col("mnll") / F.col("nm")).alias("ppl_masked"),
-        F.exp(-s.select("sen").scalar() / s.select("words").scalar()).alias("ppl_sen_minus"),
-        F.exp(s.select("sen").scalar() / s.select("words").scalar()).alias("ppl_sen_plus"),
+        F.exp(F.try_divide(F.col("nll"), F.col("n"))).alias("ppl_per_token"),
+        F.exp(F.try_divide(F.col("mnll"), F.col("nm"))).alias("ppl_masked"),
+        F.exp(-F.try_divide(s.select("sen").scalar(), s.select("words").scalar())).alias("ppl_sen_minus"),
+        F.exp(F.try_divide(s.select("sen").scalar(), s.select("words").scalar())).alias("ppl_sen_plus"),
         s.select("mean_ppl").scalar().alias("ppl_mean"),
-        (s.select("sum_ppl").scalar() / F.col("n")).alias("ppl_sum_per_token"),
+        F.try_divide(s.select("sum_ppl").scalar(), F.col("n")).alias("ppl_sum_per_token"),
     )
 
 
@@ -116,7 +116,7 @@ def train_log_odds(rows: DataFrame, key: str = "id", text: str = "text", label:
     tot = cnt.agg(F.sum("tp").alias("P"), F.sum("fp").alias("N"), F.count(F.lit(1)).alias("V"))
     P, N, V = (tot.select(c).scalar() for c in ("P", "N", "V"))
     w = cnt.select("token", (F.log((F.col("tp") + 1) / (P + V)) - F.log((F.col("fp") + 1) / (N + V))).alias("w"))
-    lab = rows.agg(F.log(F.sum(F.col(label)) / F.sum(F.lit(1) - F.col(label))).alias("prior"))
+    lab = rows.agg(F.log(F.try_divide(F.sum(F.col(label)), F.sum(F.lit(1) - F.col(label)))).alias("prior"))
     return w, lab.select("prior").scalar()
 
 

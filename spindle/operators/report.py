@@ -87,10 +87,10 @@ def training_log(lines: DataFrame, text: str = "line") -> DataFrame:
     has_eval = F.get_json_object(j, "$.eval_loss").isNotNull()
     base = lines.select(
         F.when(has_eval, "eval").when(has_loss, "train").alias("kind"),
-        F.get_json_object(j, "$.epoch").cast("double").alias("epoch"),
-        F.get_json_object(j, "$.loss").cast("double").alias("loss"),
-        F.get_json_object(j, "$.eval_loss").cast("double").alias("eval_loss"),
-        F.get_json_object(j, "$.eval_auc").cast("double").alias("eval_auc"),
+        F.get_json_object(j, "$.epoch").try_cast("double").alias("epoch"),
+        F.get_json_object(j, "$.loss").try_cast("double").alias("loss"),
+        F.get_json_object(j, "$.eval_loss").try_cast("double").alias("eval_loss"),
+        F.get_json_object(j, "$.eval_auc").try_cast("double").alias("eval_auc"),
     ).where(F.col("kind").isNotNull())
     long = base.unpivot(["kind", "epoch"], ["loss", "eval_loss", "eval_auc"], "metric", "value").where(F.col("value").isNotNull())
     return long

@@ -61,7 +61,7 @@ def group_disjoint_split(df: DataFrame, group: str, fractions=(0.8, 0.1, 0.1)) -
 def rotate_words(words: Column, k: Column) -> Column:
     """Variant k of a token array: rotated left by k mod n (n = 0 → empty)."""
     n = F.size(words)
-    s = k % n
+    s = F.when(n > 0, k % n).otherwise(F.lit(0))
     return F.when(n > 0, F.concat(F.slice(words, s + 1, n - s), F.slice(words, 1, s))).otherwise(words)
 
 

@@ -111,8 +111,8 @@ def roc_curve(pred: DataFrame, score: str = "p", label: str = "y", group: tuple
         F.col(score).alias("threshold"),
         F.col("tp").cast("bigint").alias("tp"),
         F.col("fp").cast("bigint").alias("fp"),
-        (F.col("tp") / F.col("_npos")).alias("tpr"),
-        (F.col("fp") / F.col("_nneg")).alias("fpr"),
+        F.try_divide(F.col("tp"), F.col("_npos")).alias("tpr"),
+        F.try_divide(F.col("fp"), F.col("_nneg")).alias("fpr"),
     )
 
 

@@ -62,7 +62,7 @@ def q_contains(spark, sf):
 def q_parse_list_literal(spark, sf):
     e = X.table(spark, sf, "events")
     lst = T.parse_double_list(F.concat(F.lit("["), F.col("value").cast("string"), F.lit(", "), F.col("user_id").cast("string"), F.lit("]")))
-    return e.select("event_id", F.from_json("props", "map<string,double>")["k"].alias("k"), lst[1].alias("second"))
+    return e.select("event_id", F.try_element_at(F.from_json("props", "map<string,double>"), F.lit("k")).alias("k"), lst[1].alias("second"))
 
 
 @query(

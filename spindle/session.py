@@ -21,7 +21,6 @@ _LOCAL_CONF = {
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
     "spark.driver.memory": "16g",
-    "spark.sql.ansi.enabled": "false",
 }
 
 

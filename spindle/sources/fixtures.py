@@ -19,8 +19,22 @@ TABLES = (
 ).split()
 
 
+TEXT_TABLES = {"documents", "conversations", "pages", "benchmark"}
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Spread a scan that is narrower than the cluster (e.g. one parquet row
+    group) before per-row text work.  On large inputs the scan already has
+    more splits than cores and nothing is added."""
+    sc = df.sparkSession.sparkContext
+    if df.rdd.getNumPartitions() < sc.defaultParallelism:
+        return df.repartition(sc.defaultParallelism)
+    return df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spread(df) if name in TEXT_TABLES else df
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,7 +123,7 @@ def experiments(spark: SparkSession, sf_dir: str) -> DataFrame:
     nll = -F.log(F.greatest(F.when(F.col("y") == 1, p1).otherwise(F.lit(1.0) - p1), F.lit(1e-15)))
     g = p.groupBy(
         F.col("lang").alias("tokenizer_type"),
-        ((F.regexp_extract("source", r"([0-9]+)", 1).cast("int") + 1) * 100).alias("vocab_size"),
+        ((F.regexp_extract("source", r"([0-9]+)", 1).try_cast("int") + 1) * 100).alias("vocab_size"),
         F.when(F.col("quality") == 1, "smiles").otherwise("selfies").alias("mol_rep"),
     ).agg(F.count(F.lit(1)).alias("n"), F.avg(correct).alias("score"), F.exp(F.avg(nll)).alias("perplexity"))
     half = F.lit(1.96) * F.sqrt(F.col("score") * (F.lit(1.0) - F.col("score")) / F.col("n"))
