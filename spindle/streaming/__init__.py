@@ -1,0 +1 @@
+"""Streaming adapters (the reference itself has no streaming operators)."""

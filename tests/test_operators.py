@@ -202,3 +202,21 @@ def test_cosine_lsh_finds_near_duplicates(spark):
     df = spark.createDataFrame(rows, "id long, v array<double>")
     got = {(r["id_a"], r["id_b"]) for r in J.cosine_pairs_lsh(df, 0.95, bucket_length=2.0, tables=6).collect()}
     assert (1, 2) in got and all(3 not in p for p in got)
+
+
+def test_streaming_token_counts_match_batch(spark):
+    from spindle.streaming.stream import document_stream, run_to_memory, streaming_token_counts
+
+    folder = "/root/testdata/sf0.001"
+    import os
+    import shutil
+    import tempfile
+
+    src = tempfile.mkdtemp(prefix="spindle-stream-src-")
+    shutil.copy(os.path.join(folder, "documents.parquet"), os.path.join(src, "part-0.parquet"))
+    q = run_to_memory(spark, streaming_token_counts(document_stream(spark, src)), "tok_stream")
+    got = {r["token"]: r["n"] for r in spark.table("tok_stream").collect()}
+    q.stop()
+    batch = spark.read.parquet(os.path.join(folder, "documents.parquet")).select(F.explode(T.word_tokens("text")).alias("token"))
+    want = {r["token"]: r["count"] for r in batch.groupBy("token").count().collect()}
+    assert got == want
