@@ -64,17 +64,40 @@ def attr_sampled(tw: DataFrame, key: list[str], prior: Column, samples: int = 16
     """#140: LIME-style local effect.  Sample s of rep r keeps a position when
     md5(seed:rep:key:s:pos) is odd; the effect of a position is mean score of
     the samples that keep it minus mean score of those that drop it (0 when
-    one side is empty), mean-centred per (row, rep)."""
-    t = _reps(tw.select(*key, "pos", "token", "w"), reps).withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))))
-    t = t.withColumn("bit", _bit(seed, F.col("rep"), *[F.col(k) for k in key], F.col("s"), F.col("pos")))
+    one side is empty), mean-centred per (row, rep).
+
+    The sample scores are one map-side-combined aggregate per (row, rep, s);
+    they come back to the positions as a ``samples``-long array per (row, rep)
+    and the keep bits are recomputed in place, so the positions × samples
+    table is never shuffled."""
+    base = _reps(tw.select(*key, "pos", "token", "w"), reps)
+    kcols = [F.col(k) for k in key]
+    t = base.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))))
+    t = t.withColumn("bit", _bit(seed, F.col("rep"), *kcols, F.col("s"), F.col("pos")))
     sc = t.groupBy(*key, "rep", "s").agg((prior + F.sum(F.col("w") * F.col("bit"))).alias("sc"))
-    j = t.join(sc, [*key, "rep", "s"])
-    eff = j.groupBy(*key, "rep", "pos", "token").agg(
-        F.avg(F.when(F.col("bit") == 1, F.col("sc"))).alias("_in"), F.avg(F.when(F.col("bit") == 0, F.col("sc"))).alias("_out")
+    arr = sc.groupBy(*key, "rep").agg(F.array_sort(F.collect_list(F.struct("s", "sc"))).alias("_sc"))
+    j = base.join(arr, [*key, "rep"])
+    pairs = F.transform(
+        F.sequence(F.lit(0), F.lit(samples - 1)),
+        lambda s: F.struct(_bit(seed, F.col("rep"), *kcols, s, F.col("pos")).alias("b"), F.element_at(F.col("_sc"), s + 1)["sc"].alias("v")),
+    )
+    zero = F.struct(F.lit(0.0).alias("si"), F.lit(0).alias("ni"), F.lit(0.0).alias("so"), F.lit(0).alias("no"))
+    acc = F.aggregate(
+        pairs,
+        zero,
+        lambda a, x: F.struct(
+            (a["si"] + F.when(x["b"] == 1, x["v"]).otherwise(F.lit(0.0))).alias("si"),
+            (a["ni"] + F.when(x["b"] == 1, 1).otherwise(0)).alias("ni"),
+            (a["so"] + F.when(x["b"] == 0, x["v"]).otherwise(F.lit(0.0))).alias("so"),
+            (a["no"] + F.when(x["b"] == 0, 1).otherwise(0)).alias("no"),
+        ),
+    )
+    e = j.select(*key, "rep", "pos", "token", acc.alias("_a")).withColumn(
+        "e",
+        F.coalesce(F.try_divide(F.col("_a.si"), F.col("_a.ni")) - F.try_divide(F.col("_a.so"), F.col("_a.no")), F.lit(0.0)),
     )
-    eff = eff.withColumn("e", F.coalesce(F.col("_in") - F.col("_out"), F.lit(0.0)))
     centred = F.col("e") - F.avg("e").over(Window.partitionBy(*key, "rep"))
-    return eff.select(*key, "rep", "pos", "token", centred.alias("score"), F.lit("sampled").alias("method"))
+    return e.select(*key, "rep", "pos", "token", centred.alias("score"), F.lit("sampled").alias("method"))
 
 
 def explain_all_methods(tw: DataFrame, key: list[str], prior: Column, reps: int = 2, samples: int = 16, seed: int = 42) -> DataFrame:

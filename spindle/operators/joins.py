@@ -89,10 +89,17 @@ def join_vocab_ids(tok: DataFrame, vocab: DataFrame, unk_id: int = 11) -> DataFr
 
 
 def group_argmax(df: DataFrame, group: list[str], order_col: str, tie: str, desc: bool = True) -> DataFrame:
-    """#41: the row with the max (min) value per group, first by ``tie`` on ties."""
-    o = F.col(order_col).desc() if desc else F.col(order_col).asc()
-    w = Window.partitionBy(*group).orderBy(o, F.col(tie).asc())
-    return df.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+    """#41: the row with the max (min) value per group, the smallest ``tie`` on ties.
+
+    An aggregate (``max_by`` / ``min_by`` over the whole row), so it is
+    combined map-side and a group holding most of the rows is no hot task.
+    ``tie`` must be numeric (it is negated for the max)."""
+    row = F.struct(*[F.col(c) for c in df.columns])
+    if desc:
+        pick = F.max_by(row, F.struct(F.col(order_col), -F.col(tie)))
+    else:
+        pick = F.min_by(row, F.struct(F.col(order_col), F.col(tie)))
+    return df.groupBy(*group).agg(pick.alias("_r")).select("_r.*")
 
 
 def zip_rank_join(a: DataFrame, b: DataFrame, keys: list[str], va: str, vb: str, order_a: str, order_b: str) -> DataFrame:

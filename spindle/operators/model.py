@@ -81,23 +81,30 @@ def loss_per_position(scored: DataFrame, key: str, p: float = 0.15, seed: int =
 
 
 def corpus_perplexity(scored: DataFrame, key: str, p: float = 0.15, seed: int = 42) -> DataFrame:
-    """#133: the six corpus-level perplexity formulas in one aggregate."""
-    sen = sentence_loss(scored, key)
+    """#133: the six corpus-level perplexity formulas.
+
+    One per-row aggregate (tokens, Σ ln p, masked −ln p) followed by one
+    global aggregate over the rows: the scoring pipeline runs once."""
     masked = F.when(masked_positions(scored, key, p, seed), -F.col("logp"))
-    tok = scored.agg(F.sum(-F.col("logp")).alias("nll"), F.count(F.lit(1)).alias("n"), F.sum(masked).alias("mnll"), F.count(masked).alias("nm"))
-    s = sen.agg(
-        F.sum("sum_logp").alias("sen"),
-        F.sum(F.col("n_tokens") - 1).alias("words"),
+    per = scored.groupBy(key).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("logp").alias("sl"), F.sum(masked).alias("mnll"), F.count(masked).alias("nm")
+    ).withColumn("ppl", F.exp(-F.col("sl") / F.col("n")))
+    g = per.agg(
+        F.sum("n").alias("N"),
+        F.sum("sl").alias("SL"),
+        F.sum("mnll").alias("M"),
+        F.sum("nm").alias("NM"),
+        F.sum(F.col("n") - 1).alias("W"),
         F.avg("ppl").alias("mean_ppl"),
         F.sum("ppl").alias("sum_ppl"),
     )
-    return tok.select(
-        F.exp(F.try_divide(F.col("nll"), F.col("n"))).alias("ppl_per_token"),
-        F.exp(F.try_divide(F.col("mnll"), F.col("nm"))).alias("ppl_masked"),
-        F.exp(-F.try_divide(s.select("sen").scalar(), s.select("words").scalar())).alias("ppl_sen_minus"),
-        F.exp(F.try_divide(s.select("sen").scalar(), s.select("words").scalar())).alias("ppl_sen_plus"),
-        s.select("mean_ppl").scalar().alias("ppl_mean"),
-        F.try_divide(s.select("sum_ppl").scalar(), F.col("n")).alias("ppl_sum_per_token"),
+    return g.select(
+        F.exp(F.try_divide(-F.col("SL"), F.col("N"))).alias("ppl_per_token"),
+        F.exp(F.try_divide(F.col("M"), F.col("NM"))).alias("ppl_masked"),
+        F.exp(-F.try_divide(F.col("SL"), F.col("W"))).alias("ppl_sen_minus"),
+        F.exp(F.try_divide(F.col("SL"), F.col("W"))).alias("ppl_sen_plus"),
+        F.col("mean_ppl").alias("ppl_mean"),
+        F.try_divide(F.col("sum_ppl"), F.col("N")).alias("ppl_sum_per_token"),
     )
 
 

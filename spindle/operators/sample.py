@@ -8,6 +8,8 @@ a single-partition ``row_number``.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -127,20 +129,42 @@ def perturb_replace_token(tok: DataFrame, seed: int = 42) -> DataFrame:
     )
 
 
-def bootstrap_ci(values: DataFrame, value: str, group: tuple = (), reps: int = 10000, seed: int = 40, lo: float = 0.025, hi: float = 0.975) -> DataFrame:
-    """#112: percentile interval of the mean over ``reps`` resamples with replacement.
+def poisson_thresholds(k_max: int = 12) -> list[float]:
+    """Cumulative Poisson(1) probabilities P(X ≤ k), k = 0 … k_max-1, from the formula
+    e^-1 Σ_{j≤k} 1/j! (the last class k_max takes the remaining mass)."""
+    out, term, acc = [], math.exp(-1.0), 0.0
+    for k in range(k_max):
+        acc += term
+        out.append(acc)
+        term /= k + 1
+    return out
+
+
+def poisson_weight(u: Column, k_max: int = 12) -> Column:
+    """Inverse-CDF draw of a Poisson(1) count from a uniform u in [0, 1)."""
+    w = None
+    for k, c in enumerate(poisson_thresholds(k_max)):
+        w = F.when(u < F.lit(c), F.lit(k)) if w is None else w.when(u < F.lit(c), F.lit(k))
+    return w.otherwise(F.lit(k_max))
+
+
+def bootstrap_ci(
+    values: DataFrame, value: str, key: str = "id", group: tuple = (), reps: int = 10000, seed: int = 40, lo: float = 0.025, hi: float = 0.975
+) -> DataFrame:
+    """#112: percentile interval of the mean over ``reps`` bootstrap resamples.
 
-    Each row explodes one draw slot per resample; slot (rep, j) takes the
-    row with index md5(seed:group:rep:j) mod n — an equi-join, no cross product."""
+    Poisson bootstrap: in resample r every row enters w ~ Poisson(1) times,
+    w drawn from md5(seed:group:r:key).  Each resample mean is
+    Σ w·x / Σ w, a sum that Spark combines map-side, so the shuffle holds
+    one partial per (partition, group, resample) — no row-level join and no
+    gathering of a group in one task."""
     g = list(group) or ["_all"]
     v = values if group else values.withColumn("_all", F.lit(0))
-    idx = ordinal_index(v.select(*g, value), [F.col(value)], tuple(g), "_i")
-    idx = idx.join(idx.groupBy(*g).agg(F.count(F.lit(1)).alias("_n")), g)
-    slots = idx.select(*g, "_n", F.col("_i").alias("_j"), F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"))
     gkey = F.concat_ws("|", *[F.col(c).cast("string") for c in g])
-    slots = slots.select(*g, "rep", (T.md5_int(seed, gkey, F.col("rep"), F.col("_j")) % F.col("_n")).alias("_i"))
-    drawn = slots.join(idx.select(*g, "_i", value), [*g, "_i"])
-    means = drawn.groupBy(*g, "rep").agg(F.avg(value).alias("m"))
+    slots = v.select(*g, key, value, F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"))
+    u = T.md5_int(seed, gkey, F.col("rep"), F.col(key)) / F.lit(4294967296.0)
+    slots = slots.withColumn("_w", poisson_weight(u))
+    means = slots.groupBy(*g, "rep").agg(F.try_divide(F.sum(F.col("_w") * F.col(value)), F.sum("_w")).alias("m"))
     point = v.groupBy(*g).agg(F.avg(value).alias("mean"))
     ci = means.groupBy(*g).agg(F.percentile("m", lo).alias("ci_lo"), F.percentile("m", hi).alias("ci_hi"))
     out = point.join(ci, g)

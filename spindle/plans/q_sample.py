@@ -130,15 +130,20 @@ def q_perturb_replace_token(spark, sf):
     return p.select("id", "target", "replacement", F.md5(F.array_join("tokens", " ")).alias("sig"))
 
 
+def _poisson_sql(u: str) -> str:
+    cases = " ".join(f"WHEN {u} < {c!r}e0 THEN {k}" if "e" not in repr(c) else f"WHEN {u} < {c!r} THEN {k}" for k, c in enumerate(SM.poisson_thresholds()))
+    return f"CASE {cases} ELSE {len(SM.poisson_thresholds())} END"
+
+
 @query(
     "bootstrap_ci",
     S.with_(S.LABELLED, S.PREDICTIONS)
-    + f""", idx AS (SELECT lang, p, row_number() OVER (PARTITION BY lang ORDER BY p) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n FROM predictions),
-slots AS (SELECT lang, rep, {S.md5_int("'40:' || lang || ':' || rep || ':' || i")} % n AS j FROM idx, range(0, 10000) r(rep)),
-means AS (SELECT s.lang, s.rep, avg(x.p) AS m FROM slots s JOIN idx x ON s.lang = x.lang AND s.j = x.i GROUP BY s.lang, s.rep)
+    + f""", slots AS (SELECT lang, id, p, rep, {_poisson_sql(S.md5_int("'40:' || lang || ':' || rep || ':' || id") + " / 4294967296e0")} AS w
+  FROM predictions, range(0, 10000) r(rep)),
+means AS (SELECT lang, rep, sum(w * p) / sum(w) AS m FROM slots GROUP BY lang, rep)
 SELECT m.lang, round(a.mean, 6) AS mean, round(quantile_cont(m.m, 0.025), 6) AS ci_lo, round(quantile_cont(m.m, 0.975), 6) AS ci_hi
 FROM means m JOIN (SELECT lang, avg(p) AS mean FROM predictions GROUP BY lang) a ON m.lang = a.lang GROUP BY m.lang, a.mean""",
 )
 def q_bootstrap_ci(spark, sf):
-    b = SM.bootstrap_ci(X.predictions(spark, sf).select("lang", "p"), "p", ("lang",), reps=10000, seed=40)
+    b = SM.bootstrap_ci(X.predictions(spark, sf).select("id", "lang", "p"), "p", "id", ("lang",), reps=10000, seed=40)
     return b.select("lang", *[F.round(c, 6).alias(c) for c in ("mean", "ci_lo", "ci_hi")])

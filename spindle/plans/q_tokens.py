@@ -360,9 +360,9 @@ def _profile_sql():
     toks = {
         "word": f"unnest(regexp_extract_all(lower(text), '{S.WORD_RE}', 1))",
         "char": "unnest(regexp_extract_all(lower(text), '(\\S)', 1))",
-        "word3": f"""unnest(list_transform(range(1, len(regexp_extract_all(lower(text), '{S.WORD_RE}', 1)) - 1),
-            lambda i: array_to_string(regexp_extract_all(lower(text), '{S.WORD_RE}', 1)[i:i + 2], '')))""",
+        "word3": "unnest(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], '')))",
     }
+    src = f"(SELECT text, regexp_extract_all(lower(text), '{S.WORD_RE}', 1) AS w FROM documents)"
     parts = []
     for name, expr in toks.items():
         for k in (100, 1000):
@@ -370,8 +370,8 @@ def _profile_sql():
                 f"""SELECT '{name}' AS tokenizer, {k} AS vocab_size, (SELECT count(*) FROM documents) AS rows, count(*) AS tokens,
   round(avg(CASE WHEN v.token IS NULL THEN 1.0 ELSE 0.0 END), 6) AS unk_share,
   round(count(*) / (SELECT count(*) FROM documents), 6) AS tokens_per_row
-FROM (SELECT {expr} AS token FROM documents) t LEFT JOIN (
-  SELECT token FROM (SELECT token, count(*) AS n FROM (SELECT {expr} AS token FROM documents) GROUP BY token)
+FROM (SELECT {expr} AS token FROM {src}) t LEFT JOIN (
+  SELECT token FROM (SELECT token, count(*) AS n FROM (SELECT {expr} AS token FROM {src}) GROUP BY token)
   ORDER BY n DESC, token LIMIT {k}) v ON v.token = t.token"""
             )
     return "\nUNION ALL\n".join(parts)
