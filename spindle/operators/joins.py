@@ -45,6 +45,7 @@ def containment_join(
     max_len: int = 40,
     lower: bool = True,
     bnlj_max_tokens: int = 5000,
+    letters_only: bool = False,
 ) -> DataFrame:
     """#30 ``containment_join``: (token, id) for every doc whose text contains the token.
 
@@ -53,7 +54,9 @@ def containment_join(
     text, so the theta join becomes an equi-join between the tokens and the
     substrings of the *distinct* words (exact).  Other tokens go through a
     broadcast nested loop if there are few of them (size checked), otherwise
-    through all text substrings (exact, heavier).
+    through all text substrings (exact, heavier).  ``letters_only`` states that
+    every candidate is a letter run (e.g. word-regex tokens), which skips the
+    size check and the other path.
     """
     text = F.lower(F.col("text")) if lower else F.col("text")
     cands = cands.select("token").distinct()
@@ -68,6 +71,8 @@ def containment_join(
         .join(letter, "token", "left_semi")
     )
     via_words = doc_words.join(word_subs, "word").select("token", "id").distinct()
+    if letters_only:
+        return via_words
 
     small_other = bounded_broadcast(other, bnlj_max_tokens)
     if small_other is not None:

@@ -17,6 +17,8 @@ from .windows import midrank
 
 # Fixed values
 Z_975 = 1.959963984540054  # two-sided 95 % normal quantile
+# Chebyshev fit of erfc(x) = t·exp(−x² + P(t)), t = 1 / (1 + x/2): coefficients of P, lowest order first
+ERFC_COEFFS = [-1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806, 0.27886807, -1.13520398, 1.48851587, -0.82215223, 0.17087277]
 
 
 def hard_pred(l0: str = "l0", l1: str = "l1") -> Column:
@@ -135,7 +137,7 @@ def normal_sf(z: Column) -> Column:
     """
     x = z / math.sqrt(2.0)
     t = F.lit(1.0) / (F.lit(1.0) + F.lit(0.5) * x)
-    coeffs = [-1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806, 0.27886807, -1.13520398, 1.48851587, -0.82215223, 0.17087277]
+    coeffs = ERFC_COEFFS
     poly = F.lit(coeffs[-1])
     for c in reversed(coeffs[:-1]):
         poly = F.lit(c) + t * poly

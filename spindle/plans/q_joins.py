@@ -87,7 +87,8 @@ def q_similarity_copies(spark, sf):
 @query("cosine_pairs")
 def q_cosine_pairs(spark, sf):
     e = X.table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
-    return J.cosine_pairs_lsh(e, 0.9).select("id_a", "id_b", F.round("cosine", 6).alias("cosine"), "m_a", "m_b")
+    # the driver embeddings are spread out (max cosine about 0.5), hence the low threshold
+    return J.cosine_pairs_lsh(e, 0.4, bucket_length=1.0, tables=8).select("id_a", "id_b", F.round("cosine", 6).alias("cosine"), "m_a", "m_b")
 
 
 _ROLE_RANK = """r AS (SELECT conv_id, role, length(text) AS len, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS rank FROM conversations),

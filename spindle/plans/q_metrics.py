@@ -147,7 +147,40 @@ def q_auc_delong_ci(spark, sf):
     return d.select("lang", *[F.round(c, 6).alias(c) for c in ("auc", "auc_lb", "auc_ub")])
 
 
-@query("m_delong_test")
+def _erfc_sql(x: str) -> str:
+    t = f"(1.0 / (1.0 + 5e-1 * {x}))"
+    poly = f"{M.ERFC_COEFFS[-1]!r}e0"
+    for c in reversed(M.ERFC_COEFFS[:-1]):
+        poly = f"({c!r}e0 + {t} * {poly})"
+    return f"({t} * exp(-({x}) * ({x}) + {poly}))"
+
+
+def _ranks(col: str, sfx: str) -> str:
+    return (
+        f"rank() OVER (PARTITION BY lang ORDER BY {col}) + (count(*) OVER (PARTITION BY lang, {col}) - 1) / 2.0 AS tz{sfx}, "
+        f"rank() OVER (PARTITION BY lang, y ORDER BY {col}) + (count(*) OVER (PARTITION BY lang, y, {col}) - 1) / 2.0 AS tc{sfx}"
+    )
+
+
+_DELONG_TEST = (
+    _P
+    + f""", r AS (SELECT lang, id, y, {_ranks('p', 'a')}, {_ranks('p2', 'b')} FROM predictions),
+mn AS (SELECT lang, CAST(sum(y) AS DOUBLE) AS m, CAST(sum(1 - y) AS DOUBLE) AS n FROM predictions GROUP BY lang),
+v AS (SELECT r.lang, m, n,
+  CASE WHEN y = 1 THEN (tza - tca) / n END AS v01a, CASE WHEN y = 0 THEN 1.0 - (tza - tca) / m END AS v10a,
+  CASE WHEN y = 1 THEN (tzb - tcb) / n END AS v01b, CASE WHEN y = 0 THEN 1.0 - (tzb - tcb) / m END AS v10b,
+  CASE WHEN y = 1 THEN tza END AS sza, CASE WHEN y = 1 THEN tzb END AS szb FROM r JOIN mn ON r.lang = mn.lang),
+ag AS (SELECT lang, max(m) AS m, max(n) AS n, sum(sza) AS sza, sum(szb) AS szb, var_samp(v01a) AS va01, var_samp(v10a) AS va10,
+  var_samp(v01b) AS vb01, var_samp(v10b) AS vb10, covar_samp(v01a, v01b) AS c01, covar_samp(v10a, v10b) AS c10 FROM v GROUP BY lang),
+zz AS (SELECT lang, sza / (m * n) - (m + 1.0) / (2.0 * n) AS a1, szb / (m * n) - (m + 1.0) / (2.0 * n) AS a2,
+  (va01 + vb01 - 2 * c01) / m + (va10 + vb10 - 2 * c10) / n AS vd FROM ag),
+zs AS (SELECT lang, a1, a2, (a1 - a2) / sqrt(vd) AS z FROM zz)
+SELECT lang, round(a1, 6) AS auc_1, round(a2, 6) AS auc_2, round(z, 6) AS z,
+  round(log10({_erfc_sql("abs(z) / sqrt(2.0)")}), 6) AS log10_p FROM zs"""
+)
+
+
+@query("m_delong_test", _DELONG_TEST)
 def q_delong_test(spark, sf):
     t = M.delong_test(X.predictions(spark, sf), "p", "p2", G)
     return t.select("lang", *[F.round(c, 6).alias(c) for c in ("auc_1", "auc_2", "z", "log10_p")])
