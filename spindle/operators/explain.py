@@ -56,13 +56,21 @@ def attr_occlusion(tw: DataFrame, key: list[str], reps: int = 1) -> DataFrame:
     return _reps(duplicate_token_restore(tw, per, key), reps).withColumn("method", F.lit("occlusion"))
 
 
-def _bit(seed, *cols) -> Column:
-    return T.md5_int(seed, *cols) % 2
+def _sample_hashes(seed, samples: int, kcols: list) -> Column:
+    """One 32-bit md5 key per 32 samples: md5(seed:rep:key:chunk:pos)."""
+    return F.array(*[T.md5_int(seed, F.col("rep"), *kcols, F.lit(c), F.col("pos")) for c in range((samples + 31) // 32)])
+
+
+def _sample_bit(s) -> Column:
+    """Keep bit of sample s: bit (s mod 32) of hash number (s div 32); the
+    hashes are < 2^32, so h / 2^k is exact in double."""
+    h = F.element_at(F.col("_h"), F.floor(s / F.lit(32)).cast("int") + 1)
+    return (F.floor(h / F.pow(F.lit(2.0), s % F.lit(32))) % F.lit(2)).cast("int")
 
 
 def attr_sampled(tw: DataFrame, key: list[str], prior: Column, samples: int = 16, reps: int = 1, seed: int = 42) -> DataFrame:
     """#140: LIME-style local effect.  Sample s of rep r keeps a position when
-    md5(seed:rep:key:s:pos) is odd; the effect of a position is mean score of
+    bit s mod 32 of md5(seed:rep:key:s div 32:pos) is set; the effect of a position is mean score of
     the samples that keep it minus mean score of those that drop it (0 when
     one side is empty), mean-centred per (row, rep).
 
@@ -70,16 +78,16 @@ def attr_sampled(tw: DataFrame, key: list[str], prior: Column, samples: int = 16
     they come back to the positions as a ``samples``-long array per (row, rep)
     and the keep bits are recomputed in place, so the positions × samples
     table is never shuffled."""
-    base = _reps(tw.select(*key, "pos", "token", "w"), reps)
     kcols = [F.col(k) for k in key]
+    base = _reps(tw.select(*key, "pos", "token", "w"), reps).withColumn("_h", _sample_hashes(seed, samples, kcols))
     t = base.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))))
-    t = t.withColumn("bit", _bit(seed, F.col("rep"), *kcols, F.col("s"), F.col("pos")))
+    t = t.withColumn("bit", _sample_bit(F.col("s")))
     sc = t.groupBy(*key, "rep", "s").agg((prior + F.sum(F.col("w") * F.col("bit"))).alias("sc"))
     arr = sc.groupBy(*key, "rep").agg(F.array_sort(F.collect_list(F.struct("s", "sc"))).alias("_sc"))
     j = base.join(arr, [*key, "rep"])
     pairs = F.transform(
         F.sequence(F.lit(0), F.lit(samples - 1)),
-        lambda s: F.struct(_bit(seed, F.col("rep"), *kcols, s, F.col("pos")).alias("b"), F.element_at(F.col("_sc"), s + 1)["sc"].alias("v")),
+        lambda s: F.struct(_sample_bit(s).alias("b"), F.element_at(F.col("_sc"), s + 1)["sc"].alias("v")),
     )
     zero = F.struct(F.lit(0.0).alias("si"), F.lit(0).alias("ni"), F.lit(0.0).alias("so"), F.lit(0).alias("no"))
     acc = F.aggregate(

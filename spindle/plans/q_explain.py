@@ -51,7 +51,7 @@ occ_t AS (SELECT id, token, count(*) * first(w) AS score FROM tww GROUP BY id, t
 occ AS (SELECT 'occlusion' AS method, t.id, rep, t.pos, t.token, coalesce(o.score, 0.0) AS score FROM tww t
    LEFT JOIN occ_t o ON o.id = t.id AND o.token = t.token, reps),
 ts AS (SELECT t.id, t.pos, t.token, t.w, r.rep, s.s,
-   {S.md5_int(f"'{SEED}:' || r.rep || ':' || t.id || ':' || s.s || ':' || t.pos")} % 2 AS bit
+   ({S.md5_int(f"'{SEED}:' || r.rep || ':' || t.id || ':' || (s.s // 32) || ':' || t.pos")} >> (s.s % 32)) & 1 AS bit
    FROM tww t, reps r, range(0, {SAMPLES}) s(s)),
 ss AS (SELECT id, rep, s, (SELECT prior FROM prior) + sum(w * bit) AS sc FROM ts GROUP BY id, rep, s),
 eff AS (SELECT ts.id, ts.rep, ts.pos, ts.token,
