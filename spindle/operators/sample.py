@@ -155,7 +155,7 @@ def bootstrap_ci(
 
     Poisson bootstrap: in resample r every row enters w ~ Poisson(1) times,
     w drawn from md5(seed:group:r:key).  Each resample mean is
-    Σ w·x / Σ w, a sum that Spark combines map-side, so the shuffle holds
+    Σ w·x / Σ w (a resample with Σ w = 0 is empty and skipped), a sum that Spark combines map-side, so the shuffle holds
     one partial per (partition, group, resample) — no row-level join and no
     gathering of a group in one task."""
     g = list(group) or ["_all"]

@@ -140,7 +140,7 @@ def _poisson_sql(u: str) -> str:
     S.with_(S.LABELLED, S.PREDICTIONS)
     + f""", slots AS (SELECT lang, id, p, rep, {_poisson_sql(S.md5_int("'40:' || lang || ':' || rep || ':' || id") + " / 4294967296e0")} AS w
   FROM predictions, range(0, 10000) r(rep)),
-means AS (SELECT lang, rep, sum(w * p) / sum(w) AS m FROM slots GROUP BY lang, rep)
+means AS (SELECT lang, rep, CASE WHEN sum(w) > 0 THEN sum(w * p) / sum(w) END AS m FROM slots GROUP BY lang, rep)
 SELECT m.lang, round(a.mean, 6) AS mean, round(quantile_cont(m.m, 0.025), 6) AS ci_lo, round(quantile_cont(m.m, 0.975), 6) AS ci_hi
 FROM means m JOIN (SELECT lang, avg(p) AS mean FROM predictions GROUP BY lang) a ON m.lang = a.lang GROUP BY m.lang, a.mean""",
 )
