@@ -144,7 +144,8 @@ def similarity_self_join(sets: DataFrame, threshold: float = 0.6) -> tuple[DataF
     Prefix filtering: tokens are ordered by ascending document frequency;
     two sets with J ≥ t must share a token among the first
     n − ceil(t·n) + 1 of each, so only those prefix tokens are joined, plus
-    the length filter t·n_a ≤ n_b.  Candidates are verified exactly with
+    the length filter t·n_a ≤ n_b and the positional filter on the first
+    shared token (all bounds exact, in integer arithmetic).  Candidates are verified exactly with
     ``array_intersect``.  Identical sets are collapsed first and reported
     with their multiplicity, so copies never produce quadratic pairs.
     Returns (pairs(id_a, id_b, n_common, n_union, jaccard), copies(id, m)).
@@ -159,14 +160,19 @@ def similarity_self_join(sets: DataFrame, threshold: float = 0.6) -> tuple[DataF
     )
     # prefix length n - ceil(t n) + 1, computed on integers (floor division) so
     # rounding can only lengthen it
-    prefix = ranked.where(F.col("_r") <= F.col("n") - F.floor(F.col("n") * F.lit(num) / F.lit(den)) + 1).select("id", "n", "token")
+    prefix = ranked.where(F.col("_r") <= F.col("n") - F.floor(F.col("n") * F.lit(num) / F.lit(den)) + 1).select("id", "n", "token", "_r")
     a, b = prefix.alias("a"), prefix.alias("b")
-    cand = (
-        a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.id") < F.col("b.id")))
-        .where((F.col("b.n") * F.lit(den) >= F.col("a.n") * F.lit(num)) & (F.col("a.n") * F.lit(den) >= F.col("b.n") * F.lit(num)))
-        .select(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b"))
-        .distinct()
+    matches = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.id") < F.col("b.id"))).where(
+        (F.col("b.n") * F.lit(den) >= F.col("a.n") * F.lit(num)) & (F.col("a.n") * F.lit(den) >= F.col("b.n") * F.lit(num))
+    )
+    # positional filter: the first common token sits at ranks (i, j), so the
+    # overlap is at most 1 + min(n_a - i, n_b - j); J > t needs
+    # overlap·(den + num) > num·(n_a + n_b)
+    per_pair = matches.groupBy(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b")).agg(
+        F.min(F.col("a._r")).alias("_i"), F.min(F.col("b._r")).alias("_j"), F.first(F.col("a.n")).alias("_na"), F.first(F.col("b.n")).alias("_nb")
     )
+    bound = F.lit(1) + F.least(F.col("_na") - F.col("_i"), F.col("_nb") - F.col("_j"))
+    cand = per_pair.where(bound * F.lit(den + num) > F.lit(num) * (F.col("_na") + F.col("_nb"))).select("id_a", "id_b")
     ta = reps.select(F.col("id").alias("id_a"), F.col("tokens").alias("ta"))
     tb = reps.select(F.col("id").alias("id_b"), F.col("tokens").alias("tb"))
     v = cand.join(ta, "id_a").join(tb, "id_b")

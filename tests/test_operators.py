@@ -220,3 +220,24 @@ def test_streaming_token_counts_match_batch(spark):
     batch = spark.read.parquet(os.path.join(folder, "documents.parquet")).select(F.explode(T.word_tokens("text")).alias("token"))
     want = {r["token"]: r["count"] for r in batch.groupBy("token").count().collect()}
     assert got == want
+
+
+def test_similarity_join_large_sets_brute_force(spark):
+    rnd = random.Random(11)
+    vocab = [f"t{i}" for i in range(120)]
+    weights = [1.0 / (i + 1) for i in range(120)]
+    base = [set(rnd.choices(vocab, weights, k=rnd.randint(5, 60))) for _ in range(12)]
+    sets = {}
+    for i in range(150):
+        b = set(base[i % 12])
+        drop = rnd.sample(sorted(b), k=rnd.randint(0, max(0, len(b) // 3)))
+        sets[i] = (b - set(drop)) | set(rnd.sample(vocab, rnd.randint(0, 6)))
+    rows = [(i, t) for i, s in sets.items() for t in s]
+    pairs, _ = J.similarity_self_join(spark.createDataFrame(rows, "id long, token string"), 0.6)
+    got = {(r["id_a"], r["id_b"]) for r in pairs.collect()}
+    rep = {}
+    for i in sorted(sets):
+        rep.setdefault(frozenset(sets[i]), i)
+    reps = sorted(rep.values())
+    want = {(x, y) for x in reps for y in reps if x < y and len(sets[x] & sets[y]) / len(sets[x] | sets[y]) > 0.6}
+    assert got == want and len(want) > 20
