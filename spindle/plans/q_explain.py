@@ -168,7 +168,7 @@ fr AS (SELECT method, id, y, abs(greatest(1.0 / (1.0 + exp(-logit)), 1.0 - 1.0 /
 )
 def q_faithfulness(spark, sf):
     _, _, prior, tw, logits = _setup(spark, sf)
-    attr = EX.explain_all_methods(tw, KEY, prior, REPS, SAMPLES, SEED)
+    attr = EX.explain_all_methods(tw, KEY, prior, 1, SAMPLES, SEED)  # only rep 0 is used
     f = Q.faithfulness(attr, tw, logits, KEY)
     return f.select("method", "n", F.round("faithfulness", 6).alias("faithfulness"), F.round("std", 6).alias("std"))
 
@@ -214,7 +214,7 @@ te AS (SELECT imp.method, imp.id, imp.token, imp.importance, dl.delta FROM imp J
 )
 def q_basic_fidelity(spark, sf):
     _, _, prior, tw, _ = _setup(spark, sf)
-    attr = EX.explain_all_methods(tw, KEY, prior, REPS, SAMPLES, SEED)
+    attr = EX.explain_all_methods(tw, KEY, prior, 1, SAMPLES, SEED)  # only rep 0 is used
     return Q.basic_fidelity(attr, tw, KEY).select("method", F.round("basic_fidelity", 4).alias("basic_fidelity"))
 
 
@@ -224,7 +224,7 @@ def q_basic_fidelity(spark, sf):
 )
 def q_pearson_fidelity(spark, sf):
     _, _, prior, tw, _ = _setup(spark, sf)
-    attr = EX.explain_all_methods(tw, KEY, prior, REPS, SAMPLES, SEED)
+    attr = EX.explain_all_methods(tw, KEY, prior, 1, SAMPLES, SEED)  # only rep 0 is used
     return Q.pearson_fidelity(attr, tw, KEY).select("method", F.round("pearson_fidelity", 4).alias("pearson_fidelity"), "n")
 
 
@@ -248,7 +248,9 @@ SELECT method, count(*) AS n_positive, count(a.token) AS n_alerts, round(count(a
 FROM pos LEFT JOIN alerts a ON a.token = pos.token GROUP BY method""",
 )
 def q_alerts_intersection(spark, sf):
-    r = Q.alerts_intersection(_attr(spark, sf), _toxic_alerts(spark, sf))
+    _, _, prior, tw, _ = _setup(spark, sf)
+    attr = EX.explain_all_methods(tw, KEY, prior, 1, SAMPLES, SEED)  # only rep 0 is used
+    r = Q.alerts_intersection(attr, _toxic_alerts(spark, sf))
     return r.select("method", "n_positive", "n_alerts", F.round("share", 6).alias("share"))
 
 
@@ -263,7 +265,7 @@ SELECT method, round((m1 - m0) / sqrt(v1 / n1 + v0 / n0), 6) AS t,
 )
 def q_welch(spark, sf):
     _, _, prior, tw, logits = _setup(spark, sf)
-    attr = EX.explain_all_methods(tw, KEY, prior, REPS, SAMPLES, SEED)
+    attr = EX.explain_all_methods(tw, KEY, prior, 1, SAMPLES, SEED)  # only rep 0 is used
     fr = Q.faithfulness_rows(attr, tw, logits, KEY).join(logits.select("id", "y"), "id")
     w = Q.welch(fr, "faith", "y")
     return w.select("method", F.round("t", 6).alias("t"), F.round("df", 6).alias("df"), "n1", "n0")
@@ -277,7 +279,7 @@ FROM fr GROUP BY method ORDER BY score DESC""",
 )
 def q_score_report(spark, sf):
     _, _, prior, tw, logits = _setup(spark, sf)
-    attr = EX.explain_all_methods(tw, KEY, prior, REPS, SAMPLES, SEED)
+    attr = EX.explain_all_methods(tw, KEY, prior, 1, SAMPLES, SEED)  # only rep 0 is used
     f = Q.faithfulness(attr, tw, logits, KEY)
     r = f.select(
         "method", F.round("faithfulness", 6).alias("score"), F.round(F.lit(Q.Z_95) * F.col("std") / F.sqrt("n"), 6).alias("margin")
