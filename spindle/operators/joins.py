@@ -86,13 +86,6 @@ def containment_join(
     return via_words.unionByName(via_other).distinct()
 
 
-def join_vocab_ids(tok: DataFrame, vocab: DataFrame, unk_id: int = 11) -> DataFrame:
-    """#28: token → id with the [UNK] id as default (vocab is bounded by its size parameter)."""
-    return tok.join(F.broadcast(vocab.select("token", "id")), "token", "left").withColumn(
-        "id_", F.coalesce(F.col("id"), F.lit(unk_id))
-    ).drop("id").withColumnRenamed("id_", "tid")
-
-
 def group_argmax(df: DataFrame, group: list[str], order_col: str, tie: str, desc: bool = True) -> DataFrame:
     """#41: the row with the max (min) value per group, the smallest ``tie`` on ties.
 
