@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, topk
+from . import bpe, chat, topk
 
 _QUERIES = {
     "op1_topk_search": topk.op1_topk_search,
     "op4_chat_format": chat.op4_chat_format,
+    "op6_bpe_codec": bpe.op6_bpe_codec,
 }
 _ORACLES = {
     "op1_topk_search": topk.OP1_SQL,
