@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, packing, topk
+from . import bpe, chat, packing, topk, warc
 
 _QUERIES = {
     "op1_topk_search": topk.op1_topk_search,
     "op4_chat_format": chat.op4_chat_format,
     "op6_bpe_codec": bpe.op6_bpe_codec,
+    "op7_warc_derivatives": warc.op7_warc_derivatives,
     "op10_pack_documents": packing.op10_pack_documents,
 }
 _ORACLES = {
