@@ -6,18 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, packing, topk, warc
+from . import bpe, chat, packing, rules, topk, warc
 
 _QUERIES = {
     "op1_topk_search": topk.op1_topk_search,
     "op4_chat_format": chat.op4_chat_format,
     "op6_bpe_codec": bpe.op6_bpe_codec,
     "op7_warc_derivatives": warc.op7_warc_derivatives,
+    "op8_host_rules": rules.op8_host_rules,
     "op10_pack_documents": packing.op10_pack_documents,
 }
 _ORACLES = {
     "op1_topk_search": topk.OP1_SQL,
     "op4_chat_format": chat.OP4_SQL,
+    "op8_host_rules": rules.OP8_SQL,
 }
 
 
