@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, packing, rules, topk, warc
+from . import bpe, chat, licences, packing, rules, topk, warc
 
 _QUERIES = {
     "op1_topk_search": topk.op1_topk_search,
+    "op2_licence_scan": licences.op2_licence_scan,
     "op4_chat_format": chat.op4_chat_format,
     "op6_bpe_codec": bpe.op6_bpe_codec,
     "op7_warc_derivatives": warc.op7_warc_derivatives,
@@ -18,6 +19,7 @@ _QUERIES = {
 }
 _ORACLES = {
     "op1_topk_search": topk.OP1_SQL,
+    "op2_licence_scan": licences.OP2_SQL,
     "op4_chat_format": chat.OP4_SQL,
     "op8_host_rules": rules.OP8_SQL,
 }
