@@ -40,6 +40,11 @@ def lower_az(c: Column) -> Column:
     return F.when(ascii_only, F.lower(c)).otherwise(F.translate(c, upper, lower))
 
 
+def split_words(text: Column, gap: str) -> Column:
+    """Words between gaps.  ``split`` is linear in the text, unlike ``regexp_extract_all``, which copies it for each match."""
+    return F.array_remove(F.split(text, gap, -1), "")
+
+
 def row_key(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Add ``_k``: one value per distinct (id, text), for joining a result back to its rows.
 

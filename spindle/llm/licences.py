@@ -31,12 +31,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import lower_az, read_table, row_key, written
+from .common import lower_az, read_table, row_key, split_words, written
 
 K = 3
 DRIFT, COVERAGE, STRETCH = 4, 0.6, 1.5
-#: Characters of words; A-Z are lower-cased first.
-WORD = r"([^\x00-\x2F\x3A-\x60\x7B-\x7F]+)"
+#: What stands between words; A-Z are lower-cased first.
+GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 # Phrases that count as base places, with their labels.
 PHRASES = (
@@ -91,7 +91,7 @@ def catalogue(spark: SparkSession) -> DataFrame:
 def licence_hits(docs: DataFrame) -> DataFrame:
     """(_k, doc_id, n_words, p, at): the first word of every row, and every k-gram that the catalogue has."""
     rows = row_key(docs.select("doc_id", "text"))
-    words = rows.select("_k", "doc_id", F.regexp_extract_all(lower_az(F.coalesce("text", F.lit(""))), F.lit(WORD), F.lit(1)).alias("w"))
+    words = rows.select("_k", "doc_id", split_words(lower_az(F.coalesce("text", F.lit(""))), GAP).alias("w"))
     each = words.select("_k", "doc_id", F.size("w").cast("bigint").alias("n_words"), F.col("w").alias("_w"), F.posexplode_outer("w").alias("p", "w0"))
     gram = ["w0", *[F.get("_w", F.col("p") + i) for i in range(1, K)]]
     grams = F.broadcast(catalogue_grams(docs.sparkSession))
