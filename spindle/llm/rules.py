@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.util import cut_lineage
-from .common import WORD, read_table, row_key
+from .common import BLANK, WORD, read_table, row_key, split_words
 
 SYMBOLS = "[#*$%&|<>]"
 #: Rules by name: (condition that fails a document, largest shrunk failure rate of a host).
@@ -50,7 +50,7 @@ STRENGTH = (2.0, 1000.0)
 def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """Add n_words, word_chars, n_symbols, n_lines, n_dup_lines and n_repeat_words to every row."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    df = docs.withColumn("_words", F.regexp_extract_all(text, F.lit(f"({WORD})"), F.lit(1)))
+    df = docs.withColumn("_words", split_words(text, f"[{BLANK}]+"))
     df = df.withColumn("_lines", F.filter(F.split(text, "\n", -1), lambda x: x.rlike(WORD)))
     n = F.size("_words")
     # Bits for a window's place: 16, or as many as the text's length needs.
@@ -87,7 +87,7 @@ def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
         *docs.columns,
         n.cast("bigint").alias("n_words"),
         F.char_length(F.array_join("_words", "")).cast("bigint").alias("word_chars"),
-        F.regexp_count(text, F.lit(SYMBOLS)).cast("bigint").alias("n_symbols"),
+        (F.size(F.split(text, SYMBOLS, -1)) - 1).cast("bigint").alias("n_symbols"),
         F.size("_lines").cast("bigint").alias("n_lines"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("bigint").alias("n_dup_lines"),
         covered.alias("n_repeat_words"),
