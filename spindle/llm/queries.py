@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, licences, packing, rules, topk, warc
+from . import bpe, chat, licences, packing, pii, rules, topk, warc
 
 _QUERIES = {
     "op1_topk_search": topk.op1_topk_search,
@@ -15,6 +15,7 @@ _QUERIES = {
     "op6_bpe_codec": bpe.op6_bpe_codec,
     "op7_warc_derivatives": warc.op7_warc_derivatives,
     "op8_host_rules": rules.op8_host_rules,
+    "op9_personal_data": pii.op9_personal_data,
     "op10_pack_documents": packing.op10_pack_documents,
 }
 _ORACLES = {
