@@ -16,11 +16,12 @@ about their Jaccard similarity.
    can't reach the threshold (by size, or by more than six standard errors of
    the estimate) are dropped, the others are confirmed on their full sets.
 4. Confirmed links give components.  Buckets whose classes lie in one
-   component are settled.  In the others, classes of different components are
-   paired: at first each with one other by turns (``TURNS`` stars around other
-   centres), then all pairs of different components that haven't been tried.
-   So no link between classes of a bucket is lost, while a group of copies
-   that hangs together never gives all its pairs.
+   component are settled.  The classes of all other buckets are joined exactly:
+   two sets at the threshold share one of the rarest shingles of each (a
+   quarter of the set and one more, by document frequency).  Only pairs of
+   different components count, and a shingle of one large component and a few
+   other classes meets those few only, so a group of copies that hangs
+   together never gives all its pairs, and no link is lost.
 
 A band of 4 registers agrees with probability 0.75^4 for two sets at the
 threshold; all 40 bands miss such a pair with probability 2.5e-7.
@@ -41,6 +42,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from .common import arrow_schema, read_table, slices, written
 from .components import components
@@ -50,8 +52,8 @@ BANDS, ROWS = 40, 4
 M = BANDS * ROWS
 #: Base, rate and largest value of the registers.
 B, RATE, Q = 1.001, 20.0, (1 << 16) - 2
-#: Stars around other centres before all pairs are tried; bytes of text worked on at a time; bytes hashed at a time.
-TURNS, SLICE_BYTES, PIECE = 3, 4 << 20, 1 << 22
+#: Bytes of text worked on at a time; bytes hashed at a time.
+SLICE_BYTES, PIECE = 4 << 20, 1 << 22
 #: Standard errors of the estimate that a pair may lie below the threshold.
 ERRORS = 6
 
@@ -232,24 +234,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     shared = keys.groupBy("key").agg(F.min("rep").alias("centre"), F.max("rep").alias("other")).where("centre < other").select("key", "centre")
     members = written(keys.join(shared, "key").select("key", "rep", "centre"), "neardup-buckets")
     pairs = members.where("rep <> centre").select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct()
-    tried = written(_likely(pairs, classes), "neardup-likely")
-    seen = pairs
-    links = written(_confirmed(tried, docs), "neardup-links")
+    links = written(_confirmed(_likely(pairs, classes), docs), "neardup-links")
     found = components(links)
-    for turn in range(TURNS + 1):
-        label = F.coalesce("component", F.col("rep"))
-        placed = members.select("key", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", label.alias("component"))
-        open_keys = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-        left = written(placed.join(open_keys, "key"), "neardup-open")
-        if left.isEmpty():
-            break
-        more = (_star(left, turn) if turn < TURNS else _all_pairs(left)).join(seen, ["a", "b"], "left_anti")
-        more = written(more, "neardup-pairs")
-        seen = seen.unionByName(more)
-        new = written(_confirmed(_likely(more, classes), docs), "neardup-links")
-        if not new.isEmpty():
-            links = links.unionByName(new)
-            found = components(links)
+    label = F.coalesce("component", F.col("rep")).alias("component")
+    placed = members.select("key", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", label)
+    mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
+    left = placed.join(mixed, "key").select("rep", "component").distinct()
+    left = written(left.join(classes.select("rep", "fp", "n"), "rep"), "neardup-open")
+    more = written(_exact_pairs(left, docs), "neardup-pairs")
+    new = written(_confirmed(more, docs), "neardup-links")
+    if not new.isEmpty():
+        found = components(links.unionByName(new))
     classes = classes.select("fp", F.col("n").alias("n_shingles"), "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left")
     named = classes.select("fp", "n_shingles", F.coalesce("component", F.col("rep")).alias("component_id"))
     linked = full.select("doc_id", "n_shingles", "fp").join(named, ["fp", "n_shingles"]).select("doc_id", "n_shingles", "component_id")
@@ -257,22 +252,48 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return linked.unionByName(alone).withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 
-def _star(left: DataFrame, turn: int) -> DataFrame:
-    """In each open bucket, every class with one class of another component: the one that comes first in this turn's order."""
-    order = F.xxhash64(F.lit(turn), "rep")
-    # The first class of the turn, and the first one outside that class's component.
-    first = left.groupBy("key").agg(F.min_by(F.struct("rep", "component"), order).alias("c"))
-    centred = left.join(first, "key")
-    second = centred.where("component <> c.component").groupBy("key").agg(F.min_by(F.struct("rep", "component"), order).alias("d"))
-    at = F.when(F.col("component") != F.col("c.component"), F.col("c.rep")).otherwise(F.col("d.rep"))
-    pairs = centred.join(second, "key").select(F.col("rep").alias("x"), at.alias("y"))
-    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-
+def _shingles(left: DataFrame, docs: DataFrame) -> DataFrame:
+    """(rep, component, n, h): every shingle of the open classes."""
+    texts = left.join(docs.select(F.col("doc_id").cast("long").alias("rep"), "text"), "rep").select("rep", "component", "n", "fp", "text")
+    longs = [T.StructField(c, T.LongType()) for c in ("rep", "component", "n")]
+    out = T.StructType([*longs, T.StructField("hs", T.ArrayType(T.LongType(), False))])
+    schema = arrow_schema(out)
 
-def _all_pairs(left: DataFrame) -> DataFrame:
-    """All pairs of classes of different components in the buckets that stayed open."""
-    x, y = left.select("key", F.col("rep").alias("a"), F.col("component").alias("ca")), left.select("key", F.col("rep").alias("b"), F.col("component").alias("cb"))
-    return x.join(y, "key").where("a < b AND ca <> cb").select("a", "b").distinct()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "text", SLICE_BYTES):
+            sets = [shingle_set(t.as_py()) for t in b.column(4)]
+            ok = np.array([fingerprint(s) == fp.as_py() for s, fp in zip(sets, b.column(3), strict=True)], bool)
+            sets = [s.view(np.int64) for s, o in zip(sets, ok, strict=True) if o]
+            ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*sets, np.empty(0, np.int64)])), type=schema.field(3).type)
+            yield pa.RecordBatch.from_arrays([*(b.column(i).filter(pa.array(ok)) for i in range(3)), lists], schema=schema)
+
+    return texts.mapInArrow(run, out).select("rep", "component", "n", F.explode("hs").alias("h"))
+
+
+def _exact_pairs(left: DataFrame, docs: DataFrame) -> DataFrame:
+    """Pairs (a, b, fp_a, fp_b) of different components that may reach the threshold, by prefix, size and position."""
+    shingles = written(_shingles(left, docs), "neardup-shingles")
+    frequent = shingles.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    by_rarity = Window.partitionBy("rep").orderBy("df", "h")
+    ranked = shingles.join(frequent, "h").withColumn("place", F.row_number().over(by_rarity))
+    ranked = ranked.withColumn("place", F.col("place") + F.col("n") - F.count(F.lit(1)).over(Window.partitionBy("rep")))  # the others stand in one set only
+    # 1-based places of the prefix: n - ceil(t n) + 1.
+    prefix = written(ranked.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1).drop("df"), "neardup-prefix")
+    largest = (
+        prefix.groupBy("h", "component").count()
+        .groupBy("h").agg(F.max_by("component", F.struct("count", "component")).alias("largest"), F.count(F.lit(1)).alias("n_components"))
+        .where("n_components > 1")
+    )
+    x = prefix.join(largest.select("h", "largest"), "h")
+    few = x.where("component <> largest").select("h", *[F.col(c).alias(f"{c}_x") for c in ("rep", "component", "n", "place")])
+    # The shared shingle and what can follow it in both sets bound the intersection.
+    reach = 1 + F.least(F.col("n_x") - F.col("place_x"), F.col("n") - F.col("place"))
+    enough = (100 + PERCENT) * reach >= PERCENT * (F.col("n_x") + F.col("n"))
+    met = few.join(x, "h").where((F.col("component_x") != F.col("component")) & _fits("n_x", "n") & enough)
+    pairs = met.select(F.least("rep", "rep_x").alias("a"), F.greatest("rep", "rep_x").alias("b")).distinct()
+    side = lambda c: left.select(F.col("rep").alias(c), F.col("fp").alias(f"fp_{c}"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "fp_a", "fp_b")
 
 
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
