@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, licences, neardup, packing, pii, rules, topk, warc
+from . import bpe, chat, crf, licences, neardup, packing, pii, rules, topk, warc
 
 _QUERIES = {
     "op1_topk_search": topk.op1_topk_search,
     "op2_licence_scan": licences.op2_licence_scan,
+    "op3_line_crf": crf.op3_line_crf,
     "op4_chat_format": chat.op4_chat_format,
     "op5_near_duplicates": neardup.op5_near_duplicates,
     "op6_bpe_codec": bpe.op6_bpe_codec,
