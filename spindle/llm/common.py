@@ -45,8 +45,8 @@ def split_words(text: Column, gap: str) -> Column:
     return F.array_remove(F.split(text, gap, -1), "")
 
 
-def row_key(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Add ``_k``: one value per distinct (id, text), for joining a result back to its rows.
+def row_key(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: str = "_k") -> DataFrame:
+    """Add the column ``key``: one value per distinct (id, text), for joining a result back to its rows.
 
     Equal rows share a key and so get equal results; rows that share only the
     id stay apart.
@@ -57,7 +57,7 @@ def row_key(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         F.coalesce(F.xxhash64(F.col(text_col)).cast("string"), F.lit("null")),
         F.coalesce(F.crc32(F.col(text_col).cast("binary")).cast("string"), F.lit("null")),
     )
-    return df.withColumn("_k", F.when(F.col(text_col).isNull(), F.concat_ws("|", F.lit("null"), F.col(id_col).cast("string"))).otherwise(k))
+    return df.withColumn(key, k)
 
 
 def slices(batches: Iterable[pa.RecordBatch], column: str, max_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:

@@ -253,24 +253,35 @@ SCORES = T.StructType(
 )
 
 
-def scores(docs: DataFrame, theta: list[float], keep: bool = False) -> DataFrame:
-    """(doc_id, score, n_lines, n_bad_lines) of every row; with ``keep``, all columns of the rows and their ``score``."""
+def _scored(column: pa.Array, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    texts = _bytes(column)
+    if len(weights) == 1:
+        return np.full(len(texts), weights[0]), np.ones(len(texts), np.int64), np.zeros(len(texts), np.int64)
+    return score(texts, weights)
+
+
+def scores(docs: DataFrame, theta: list[float]) -> DataFrame:
+    """(doc_id, score, n_lines, n_bad_lines) of every row."""
+    weights, schema = np.array(theta), arrow_schema(SCORES)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "text", SLICE_BYTES):
+            got = _scored(b.column(1), weights)
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, f.type) for c, f in zip(got, list(schema)[1:], strict=True))], schema=schema)
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCORES)
+
+
+def good_documents(docs: DataFrame, theta: list[float]) -> DataFrame:
+    """The rows whose score reaches GOOD, with all their columns."""
     weights = np.array(theta)
-    schema = T.StructType([*docs.schema.fields, T.StructField("_score", T.DoubleType())]) if keep else SCORES
-    out = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text", SLICE_BYTES):
-            texts = _bytes(b.column(b.schema.get_field_index("text")))
-            if len(weights) == 1:
-                got = (np.full(len(texts), weights[0]), np.ones(len(texts), np.int64), np.zeros(len(texts), np.int64))
-            else:
-                got = score(texts, weights)
-            cols = list(b.columns) + [pa.array(got[0])] if keep else [b.column(0), *(pa.array(c, f.type) for c, f in zip(got, list(out)[1:], strict=True))]
-            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(cols, out, strict=True)], schema=out)
-
-    rows = docs if keep else docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(run, schema)
+            got = _scored(b.column(b.schema.get_field_index("text")), weights)
+            yield b.filter(pa.array(got[0] >= GOOD))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op3_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
