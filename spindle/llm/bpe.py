@@ -78,7 +78,10 @@ class Codec:
     def __init__(self, path: str) -> None:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        vocab, alphabet = spec["model"]["vocab"], byte_alphabet()
+        pre, model = spec["pre_tokenizer"] or {}, spec["model"]
+        if spec["normalizer"] or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or model.get("end_of_word_suffix") or model.get("ignore_merges"):
+            raise ValueError(f"{path} isn't a plain byte-level BPE vocabulary")
+        vocab, alphabet = model["vocab"], byte_alphabet()
         self.size = 1 + max([*vocab.values(), *(t["id"] for t in spec["added_tokens"])])
         self.token = [b""] * self.size
         for s, i in vocab.items():
@@ -90,7 +93,7 @@ class Codec:
         self.byte_id = np.zeros(256, np.int64)
         for c, b in alphabet.items():
             self.byte_id[b] = vocab[c]
-        pairs = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
+        pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
         left, right = (np.array([vocab[p[k]] for p in pairs], np.int64) for k in (0, 1))
         self.made = np.array([vocab[a + b] for a, b in pairs], np.int32)
         key = left * self.size + right
