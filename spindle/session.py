@@ -83,7 +83,15 @@ def ship_package(spark: SparkSession) -> None:
     _SHIPPED.add(sc.applicationId)
 
 
+#: Rows of an Arrow batch.  Spark's default of 10,000 whole texts would hold tens of MB in every task, on both sides.
+_ARROW_ROWS = ("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "1000")
+
+
 def prepare(spark: SparkSession) -> None:
-    """What every registered query needs: the checkpoint folder and the package on the workers."""
+    """What every registered query needs: the checkpoint folder, the package on the workers, and Arrow batches
+    for long rows (a value other than Spark's default is left alone)."""
     ensure_checkpoint_dir(spark)
     ship_package(spark)
+    key, default, rows = _ARROW_ROWS
+    if spark.conf.get(key) == default:
+        spark.conf.set(key, rows)
