@@ -52,8 +52,10 @@ BANDS, ROWS = 40, 4
 M = BANDS * ROWS
 #: Base, rate and largest value of the registers.
 B, RATE, Q = 1.001, 20.0, (1 << 16) - 2
+#: Slots of the table that marks the texts a join needs.
+SLOTS = 1 << 20
 #: Bytes of text worked on at a time; bytes hashed at a time.
-SLICE_BYTES, PIECE = 4 << 20, 1 << 22
+SLICE_BYTES, PIECE = 1 << 20, 1 << 22
 #: Standard errors of the estimate that a pair may lie below the threshold.
 ERRORS = 6
 
@@ -167,6 +169,19 @@ def sketches(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SKETCHES)
 
 
+def _texts(docs: DataFrame, ids: DataFrame, name: str) -> DataFrame:
+    """(name, text) of at least the documents in the first column of ``ids``.
+
+    The ids mark the slots of a table of fixed size (``SLOTS`` rows at most, so
+    it may be broadcast); documents in unmarked slots aren't needed and don't
+    enter the shuffle of the join that follows.
+    """
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(SLOTS)).cast("int").alias("_slot")
+    marked = ids.select(slot(F.col(ids.columns[0]))).distinct()
+    rows = docs.select(F.col("doc_id").cast("long").alias(name), "text").withColumn("_slot", slot(F.col(name)))
+    return rows.join(F.broadcast(marked), "_slot", "left_semi").drop("_slot")
+
+
 def _fits(a: str, b: str) -> Column:
     """The sizes alone allow the threshold."""
     return 100 * F.least(a, b) >= PERCENT * F.greatest(a, b)
@@ -195,7 +210,9 @@ def _likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
 def _confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """Pairs (a, b) whose full sets reach the threshold."""
-    side = lambda c: docs.select(F.col("doc_id").cast("long").alias(c), F.col("text").alias(f"t_{c}"))
+    pairs = written(pairs, "neardup-likely")
+    ids = pairs.select("a").unionByName(pairs.select(F.col("b").alias("a")))
+    side = lambda c: _texts(docs, ids, c).withColumnRenamed("text", f"t_{c}")
     texts = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "fp_a", "fp_b", "t_a", "t_b")
     out = T.StructType([T.StructField(c, T.LongType()) for c in ("a", "b")])
     schema = arrow_schema(out)
@@ -254,7 +271,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def _shingles(left: DataFrame, docs: DataFrame) -> DataFrame:
     """(rep, component, n, h): every shingle of the open classes."""
-    texts = left.join(docs.select(F.col("doc_id").cast("long").alias("rep"), "text"), "rep").select("rep", "component", "n", "fp", "text")
+    texts = left.join(_texts(docs, left.select("rep"), "rep"), "rep").select("rep", "component", "n", "fp", "text")
     longs = [T.StructField(c, T.LongType()) for c in ("rep", "component", "n")]
     out = T.StructType([*longs, T.StructField("hs", T.ArrayType(T.LongType(), False))])
     schema = arrow_schema(out)
