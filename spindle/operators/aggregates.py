@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .metrics import hard_pred
+from .util import with_group_stats
 from .vocab import UNK_ID, lookup_ids
 
 Z_95 = 1.96  # fixed value: normal quantile used for marginal errors
@@ -41,11 +42,9 @@ def marginal_error(df: DataFrame, value: str, group: tuple = (), z: float = Z_95
 def minmax_normalise(df: DataFrame, value: str, group: tuple = (), out: str | None = None) -> DataFrame:
     """#45: (x − min) / (max − min) within each group (0 when max = min)."""
     out = out or f"{value}_norm"
-    if not group:
-        return minmax_normalise(df.withColumn("_all", F.lit(0)), value, ("_all",), out).drop("_all")
     g = list(group)
     m = df.groupBy(*g).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
-    j = df.join(m, g)
+    j = with_group_stats(df, m, g)
     rng = F.col("_hi") - F.col("_lo")
     return j.withColumn(out, F.when(rng > 0, (F.col(value) - F.col("_lo")) / rng).otherwise(F.lit(0.0))).drop("_lo", "_hi")
 
@@ -54,7 +53,7 @@ def signed_intensity(df: DataFrame, value: str, group: tuple = ()) -> DataFrame:
     """#46: sign(x) and 0.5 + 0.5·|x| / max|x| within the group."""
     g = list(group)
     m = df.groupBy(*g).agg(F.max(F.abs(value)).alias("_mx"))
-    j = df.join(m, g)
+    j = with_group_stats(df, m, g)
     inten = F.when(F.col("_mx") > 0, F.lit(0.5) + F.lit(0.5) * F.abs(value) / F.col("_mx")).otherwise(F.lit(0.5))
     return j.withColumn("sign", F.signum(value)).withColumn("intensity", inten).drop("_mx")
 

@@ -41,7 +41,7 @@ def alert_ppv(rows: DataFrame, min_count: int = 3, min_len: int = 2, max_len: in
     pos_tok = _labelled_words(rows.where("label = 1"), group)
     cands = alert_candidates(pos_tok, min_count, min_len, max_len, group)
     docs = rows.select("id", "text").distinct() if g else rows.select("id", "text")
-    contains = containment_join(cands.select("token"), docs, min_len, max_len, letters_only=True)  # word-regex tokens
+    contains = containment_join(cands.select("token"), docs, letters_only=True)  # word-regex tokens
     neg = rows.where("label = 0").select(*g, "id")
     # (token, id) and (group, id) are both distinct, so a plain count is the number of rows
     fp = contains.join(neg, "id").groupBy(*g, "token").agg(F.count(F.lit(1)).alias("fp"))

@@ -2,8 +2,7 @@
 
 All joins are equi-joins on explicit ids so Catalyst can pick broadcast /
 sort-merge and AQE can split skewed keys.  Theta joins are rewritten into
-equi-joins where that is exact (#30), and only fall back to a broadcast
-nested loop behind a size check.
+equi-joins (#30).
 """
 
 from __future__ import annotations
@@ -13,7 +12,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
-from .util import bounded_broadcast
 
 LETTERS_ONLY = r"^\p{L}+$"
 
@@ -23,67 +21,58 @@ def join_by_id(left: DataFrame, right: DataFrame, on: str = "id") -> tuple[DataF
     return left.join(right, on, "inner"), left.join(right, on, "left_anti")
 
 
-def substrings(col, min_len: int, max_len: int):
-    """All substrings of length [min_len, max_len] of a string column, distinct."""
-    s = F.col(col) if isinstance(col, str) else col
-    n = F.length(s)
-    starts = F.sequence(F.lit(1), F.greatest(n - F.lit(min_len) + 1, F.lit(1)))
-    per_start = F.transform(
-        starts,
-        lambda i: F.transform(
-            F.sequence(F.lit(min_len), F.greatest(F.least(F.lit(max_len), n - i + 1), F.lit(min_len))),
-            lambda ln: F.substring(s, i, ln),
-        ),
-    )
-    return F.when(n >= min_len, F.array_distinct(F.flatten(per_start))).otherwise(F.array().cast("array<string>"))
-
-
-def containment_join(
-    cands: DataFrame,
-    docs: DataFrame,
-    min_len: int = 2,
-    max_len: int = 40,
-    lower: bool = True,
-    bnlj_max_tokens: int = 5000,
-    letters_only: bool = False,
-) -> DataFrame:
-    """#30 ``containment_join``: (token, id) for every doc whose text contains the token.
-
-    ``cands(token)``; ``docs(id, text)``.  Letter-only tokens of length
-    [min_len, max_len] can only occur inside one maximal letter run of the
-    text, so the theta join becomes an equi-join between the tokens and the
-    substrings of the *distinct* words (exact).  Other tokens go through a
-    broadcast nested loop if there are few of them (size checked), otherwise
-    through all text substrings (exact, heavier).  ``letters_only`` states that
-    every candidate is a letter run (e.g. word-regex tokens), which skips the
-    size check and the other path.
+def _pieces(chars, start, length):
+    """``length`` characters of an array of characters from 1-based ``start``, as a string."""
+    return F.array_join(F.slice(chars, start, length), "")
+
+
+#: Longest part of a token that is joined on; the rest of a longer token is compared in place.
+ANCHOR = 8
+
+
+def containment_join(cands: DataFrame, docs: DataFrame, lower: bool = True, letters_only: bool = False) -> DataFrame:
+    """#30 ``containment_join``: (token, id) for every doc whose text contains the token, whatever its length.
+
+    ``cands(token)``; ``docs(id, text)``.  Exact for all tokens:
+
+    * a token of letters can only occur inside one letter run of the text, so
+      runs are reduced to distinct words before they are searched;
+    * other tokens are searched in the texts as they are;
+    * an empty token is in every text.
+
+    A search is an equi-join on the first ``ANCHOR`` characters (fewer for
+    shorter tokens): every place of a text gives one piece per anchor length
+    that the tokens have, and the rest of a longer token is compared in place.
+    ``letters_only`` states that every candidate is a letter run (e.g.
+    word-regex tokens), so that the other search is left out.
     """
     text = F.lower(F.col("text")) if lower else F.col("text")
     cands = cands.select("token").distinct()
     letter = cands.where(F.col("token").rlike(LETTERS_ONLY))
-    other = cands.where(~F.col("token").rlike(LETTERS_ONLY))
-
     doc_words = docs.select("id", F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(T.WORD_PATTERN), 1))).alias("word"))
-    word_subs = (
-        doc_words.select("word")
-        .distinct()
-        .select("word", F.explode(substrings("word", min_len, max_len)).alias("token"))
-        .join(letter, "token", "left_semi")
-    )
-    via_words = doc_words.join(word_subs, "word").select("token", "id").distinct()
+    in_words = _contained(letter, doc_words.select("word").distinct(), "word")
+    via_words = doc_words.join(in_words, "word").select("token", "id").distinct()
     if letters_only:
         return via_words
-
-    small_other = bounded_broadcast(other, bnlj_max_tokens)
-    if small_other is not None:
-        via_other = docs.select("id", text.alias("t")).join(small_other, F.expr("contains(t, token)")).select("token", "id")
-    else:
-        via_other = (
-            docs.select("id", F.explode(substrings(text, min_len, max_len)).alias("token"))
-            .join(other, "token", "left_semi")
-            .select("token", "id")
-        )
-    return via_words.unionByName(via_other).distinct()
+    other = cands.where(~F.col("token").rlike(LETTERS_ONLY) & (F.col("token") != ""))
+    via_texts = _contained(other, docs.select("id", text.alias("t")), "t").select("token", "id")
+    every = docs.where(F.col("text").isNotNull()).select(F.lit("").alias("token"), "id").join(cands, "token", "left_semi")
+    return via_words.unionByName(via_texts).unionByName(every).distinct()
+
+
+def _contained(cands: DataFrame, texts: DataFrame, text: str) -> DataFrame:
+    """``texts`` with the column ``token``: one row for each non-empty token of ``cands`` and text that holds it."""
+    cands = cands.withColumn("_anchor", F.left("token", F.lit(ANCHOR)))
+    # At most ANCHOR different numbers.
+    lengths = sorted(r[0] for r in cands.select(F.char_length("_anchor")).distinct().collect())
+    if not lengths:
+        return texts.withColumn("token", F.lit("")).limit(0)
+    chars = texts.withColumn("_chars", F.split(F.col(text), ""))
+    places = chars.select("*", F.explode(F.sequence(F.lit(1), F.greatest(F.size("_chars"), F.lit(1)))).alias("_at"))
+    anchored = places.withColumn("_length", F.explode(F.array(*[F.lit(n) for n in lengths])))
+    anchored = anchored.where(F.col("_at") + F.col("_length") - 1 <= F.size("_chars")).withColumn("_anchor", _pieces("_chars", F.col("_at"), F.col("_length")))
+    held = anchored.join(cands, "_anchor").where(_pieces("_chars", F.col("_at"), F.char_length("token")) == F.col("token"))
+    return held.select(*texts.columns, "token").distinct()
 
 
 def group_argmax(df: DataFrame, group: list[str], order_col: str, tie: str, desc: bool = True) -> DataFrame:

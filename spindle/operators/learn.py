@@ -146,10 +146,8 @@ def bpe_segment(word: str, ranks: dict, continuation: bool = False) -> list[str]
     return syms
 
 
-def wordpiece_segment(word: str, vocab: set, unk: str = "[UNK]", max_chars: int = 100) -> list[str]:
+def wordpiece_segment(word: str, vocab: set, unk: str = "[UNK]") -> list[str]:
     """Greedy longest-match-first; a word with an unmatchable rest becomes [UNK]."""
-    if len(word) > max_chars:
-        return [unk]
     out, start = [], 0
     while start < len(word):
         end, cur = len(word), None
@@ -217,12 +215,13 @@ def apply_wordpiece(tok: DataFrame, vocab: DataFrame) -> DataFrame:
     return tok.join(seg.withColumnRenamed("word", "token"), "token")
 
 
-def apply_viterbi(tok: DataFrame, lexicon: DataFrame, max_len: int = 8) -> DataFrame:
+def apply_viterbi(tok: DataFrame, lexicon: DataFrame) -> DataFrame:
     """#91: lowest-cost segmentation of each token under ``lexicon(morph, cost)``."""
     spark = tok.sparkSession
     rows = lexicon.select("morph", "cost").collect()
     cost = {r["morph"]: float(r["cost"]) for r in rows}
     unk = (max(cost.values()) if cost else 0.0) + 10.0
+    max_len = max(map(len, cost), default=1)
     bc = spark.sparkContext.broadcast((cost, unk))
     words = tok.select(F.col("token").alias("word")).distinct()
     seg = _segment_words(words, lambda w, m: viterbi_segment(w, m[0], max_len, m[1])[0], bc)

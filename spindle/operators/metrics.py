@@ -13,6 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .util import with_group_stats
 from .windows import midrank
 
 # Fixed values
@@ -79,12 +80,10 @@ def rates(conf: DataFrame) -> DataFrame:
 
 def class_weights(df: DataFrame, label: str = "y", group: tuple = ()) -> DataFrame:
     """#39: balanced weight n / (k * n_c) per (group, label)."""
-    if not group:
-        return class_weights(df.withColumn("_all", F.lit(0)), label, ("_all",)).drop("_all")
     g = list(group)
     per = df.groupBy(*g, label).agg(F.count(F.lit(1)).alias("n_c"))
     tot = per.groupBy(*g).agg(F.sum("n_c").alias("n"), F.count(F.lit(1)).alias("k"))
-    j = per.join(tot, g)
+    j = with_group_stats(per, tot, g)
     return j.select(*g, label, F.col("n_c").cast("bigint").alias("n_c"), (F.col("n") / (F.col("k") * F.col("n_c"))).alias("weight"))
 
 
@@ -145,6 +144,16 @@ def normal_sf(z: Column) -> Column:
     return erfc / 2.0
 
 
+def log10_two_sided_p(z: Column) -> Column:
+    """log10 of the two-sided normal probability of z, in logs throughout: it doesn't underflow for large z."""
+    x = F.abs(z) / math.sqrt(2.0)
+    t = F.lit(1.0) / (F.lit(1.0) + F.lit(0.5) * x)
+    poly = F.lit(ERFC_COEFFS[-1])
+    for c in reversed(ERFC_COEFFS[:-1]):
+        poly = F.lit(c) + t * poly
+    return F.log10(t) + (poly - x * x) / F.lit(math.log(10.0))
+
+
 def delong_test(pred: DataFrame, s1: str = "p", s2: str = "p2", group: tuple = ()) -> DataFrame:
     """#121: paired DeLong test of two scores on the same rows → z and log10 two-sided p."""
     if not group:
@@ -188,7 +197,7 @@ def delong_test(pred: DataFrame, s1: str = "p", s2: str = "p2", group: tuple = (
         auc_a.alias("auc_1"),
         auc_b.alias("auc_2"),
         z.alias("z"),
-        F.log10(F.lit(2.0) * normal_sf(F.abs(z))).alias("log10_p"),
+        log10_two_sided_p(z).alias("log10_p"),
     )
 
 

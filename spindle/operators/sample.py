@@ -15,21 +15,22 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
+from .util import with_group_stats
 from .windows import ordered_cumsum, ordinal_index
 
 
 def _with_total(df: DataFrame, group: list[str], out: str = "_n") -> DataFrame:
     tot = df.groupBy(*group).agg(F.count(F.lit(1)).alias(out))
-    return df.join(tot, group)
+    return with_group_stats(df, tot, group)
 
 
 def random_split(df: DataFrame, seed: int = 42, test_frac: float = 0.1, key: str = "id") -> DataFrame:
     """#105: exactly ceil(test_frac · n) rows (smallest md5(seed:id)) are 'test', the rest 'train'."""
-    d = df.withColumn("_all", F.lit(0)).withColumn("_h", T.md5_rank_key(seed, key))
-    d = ordinal_index(d, [F.col("_h"), F.col(key)], ("_all",), "_i")
-    d = _with_total(d, ["_all"])
+    d = df.withColumn("_h", T.md5_rank_key(seed, key))
+    d = ordinal_index(d, [F.col("_h"), F.col(key)], (), "_i")
+    d = _with_total(d, [])
     split = F.when(F.col("_i") < F.ceil(F.col("_n") * F.lit(test_frac)), F.lit("test")).otherwise(F.lit("train"))
-    return d.withColumn("split", split).drop("_all", "_h", "_i", "_n")
+    return d.withColumn("split", split).drop("_h", "_i", "_n")
 
 
 def stratified_split(df: DataFrame, label: str, fractions=(0.8, 0.1, 0.1), seed: int = 40, key: str = "id") -> DataFrame:
@@ -49,9 +50,9 @@ def group_disjoint_split(df: DataFrame, group: str, fractions=(0.8, 0.1, 0.1)) -
     """#107: whole groups go to one part.  Groups ordered by (size desc, key);
     a group is 'train' while the cumulative size ≤ f_train·n, 'valid' while
     ≤ (f_train+f_valid)·n, else 'test'."""
-    sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("_size")).withColumn("_all", F.lit(0))
-    cum = ordered_cumsum(sizes, [F.col("_size").desc(), F.col(group)], "_size", ("_all",), "_cum")
-    cum = cum.join(cum.groupBy("_all").agg(F.sum("_size").alias("_n")), "_all")
+    sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("_size"))
+    cum = ordered_cumsum(sizes, [F.col("_size").desc(), F.col(group)], "_size", (), "_cum")
+    cum = cum.withColumn("_n", cum.agg(F.sum("_size")).scalar())
     split = (
         F.when(F.col("_cum") <= F.col("_n") * F.lit(fractions[0]), "train")
         .when(F.col("_cum") <= F.col("_n") * F.lit(fractions[0] + fractions[1]), "valid")

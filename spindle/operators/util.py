@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
@@ -18,6 +20,29 @@ def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame | None:
     return F.broadcast(df) if n <= max_rows else None
 
 
+def with_group_stats(df: DataFrame, stats: DataFrame, group: list[str]) -> DataFrame:
+    """``df`` with the columns of ``stats`` (one row per group); without a group its only row's values, as scalar subqueries."""
+    if group:
+        return df.join(stats, group)
+    return df.withColumns({c: stats.select(c).scalar() for c in stats.columns})
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh folder under the shared checkpoint directory."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/spindle-io/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as Parquet to the shared folder and read back.
+
+    What depends on the partition a row was dealt to (a bucket number) becomes
+    plain data: later branches and retried tasks all read the same values.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the session's shared checkpoint folder.
 

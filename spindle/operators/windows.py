@@ -1,10 +1,12 @@
 """Ranking and running-sum operators without single-partition windows.
 
 A global running sum (ROC curves, midranks, exact-size splits) is computed
-as: range-partition by (group, order) → running sum inside each range
-partition → add the total of all earlier partitions of the same group
-(a table of #partitions rows).  A hot group is thus spread over many range
-partitions instead of landing in one window task.
+as: range-partition by (group, order) → write the rows with their partition's
+number → running sum inside each range partition → add the total of all earlier
+partitions of the same group (a table of #partitions rows).  A hot group is thus
+spread over many range partitions instead of landing in one window task.  The
+partition numbers are written with the rows, because a second evaluation of the
+range exchange could sample other bounds.
 """
 
 from __future__ import annotations
@@ -13,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .util import with_group_stats, written
+
 
 def _n_parts(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
@@ -33,7 +37,7 @@ def ordered_cumsum(
     g = list(group)
     v = F.lit(1).cast("bigint") if value is None else (F.col(value) if isinstance(value, str) else value)
     n = n_parts or _n_parts(df)
-    keyed = df.repartitionByRange(n, *g, *order).withColumn("_pid", F.spark_partition_id()).withColumn("_v", v)
+    keyed = written(df.withColumn("_v", v).repartitionByRange(n, *g, *order).withColumn("_pid", F.spark_partition_id()), "ranges")
     totals = keyed.groupBy(*g, "_pid").agg(F.sum("_v").alias("_t"))
     before = Window.partitionBy(*g).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(*g, "_pid", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_off"))
@@ -81,22 +85,8 @@ def midrank_weighted(df: DataFrame, value: str, weight: str, key: str, group: tu
     return cum.drop("_cw").join(block, [*g, value])
 
 
-def rank_within(df: DataFrame, part: list[str], order: list, out: str = "rank") -> DataFrame:
-    """#55: row_number inside a bounded partition (a row's tokens, a method's list)."""
-    return df.withColumn(out, F.row_number().over(Window.partitionBy(*part).orderBy(*order)))
-
-
-def topk_fraction(df: DataFrame, part: list[str], order: list, frac: float = 0.4) -> DataFrame:
-    """#56: keep the top max(1, int(n * frac)) rows of each partition."""
-    w = Window.partitionBy(*part)
-    ranked = rank_within(df, part, order, "_r").withColumn("_n", F.count(F.lit(1)).over(w))
-    return ranked.where(F.col("_r") <= F.greatest(F.lit(1), F.floor(F.col("_n") * F.lit(frac)))).drop("_r", "_n")
-
-
 def roc_curve(pred: DataFrame, score: str = "p", label: str = "y", group: tuple = ()) -> DataFrame:
     """#57: per distinct threshold (desc): cumulative tp, fp and the rates."""
-    if not group:
-        return roc_curve(pred.withColumn("_all", F.lit(0)), score, label, ("_all",)).drop("_all")
     g = list(group)
     per = pred.groupBy(*g, score).agg(
         F.sum(F.col(label)).cast("bigint").alias("pos"),
@@ -105,7 +95,7 @@ def roc_curve(pred: DataFrame, score: str = "p", label: str = "y", group: tuple
     totals = per.groupBy(*g).agg(F.sum("pos").alias("_npos"), F.sum("neg").alias("_nneg"))
     c = ordered_cumsum(per, [F.col(score).desc()], "pos", group, "tp")
     c = ordered_cumsum(c, [F.col(score).desc()], "neg", group, "fp")
-    c = c.join(totals, g)
+    c = with_group_stats(c, totals, g)
     return c.select(
         *g,
         F.col(score).alias("threshold"),

@@ -77,32 +77,41 @@ def q_softmax(spark, sf):
     return p.select("id", F.round(p0, 3).alias("p0"), F.round(p1, 3).alias("p1"), F.when(F.col("l1") > F.col("l0"), 1).otherwise(0).alias("pred"))
 
 
-@query("fn_logit", _P + "SELECT id, round(ln(p / (1.0 - p)), 6) AS logit FROM predictions WHERE p > 0 AND p < 1")
+@query("fn_logit", _P + "SELECT id, CASE WHEN p > 0 AND p < 1 THEN round(ln(p / (1.0 - p)), 6) END AS logit FROM predictions")
 def q_logit(spark, sf):
-    p = X.predictions(spark, sf).where((F.col("p") > 0) & (F.col("p") < 1))
-    return p.select("id", F.round(T.logit("p"), 6).alias("logit"))
+    """Null where the probability is 0 or 1."""
+    p = X.predictions(spark, sf)
+    return p.select("id", F.when((F.col("p") > 0) & (F.col("p") < 1), F.round(T.logit("p"), 6)).alias("logit"))
+
+
+_V = "WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings), "
 
 
 @query(
     "fn_l2_norm",
-    """SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))), 6) AS norm,
-  round(CAST(embedding[1] AS DOUBLE) / sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))), 6) AS unit0 FROM embeddings""",
+    _V
+    + """n AS (SELECT vec_id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS norm FROM e),
+nx AS (SELECT a.vec_id, a.v, a.norm, b.v AS w FROM n a LEFT JOIN n b ON b.vec_id = a.vec_id + 1)
+SELECT vec_id, round(norm, 6) AS norm, list_transform(v, lambda x: CASE WHEN norm > 0 THEN round(x / norm, 6) END) AS unit,
+  round(sqrt(list_sum(list_transform(list_zip(v, w), lambda z: (z[1] - z[2]) * (z[1] - z[2])))), 6) AS next_distance FROM nx""",
 )
 def q_l2_norm(spark, sf):
+    """The norm, the whole unit vector (null components for a zero vector), and the distance to the next vector by id."""
     e = X.table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    nxt = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("v").alias("w"))
     n = T.l2_norm("v")
-    return e.select("vec_id", F.round(n, 6).alias("norm"), F.round(F.col("v")[0] / n, 6).alias("unit0"))
+    gap = F.sqrt(F.aggregate(F.zip_with("v", "w", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda t, x: t + x))
+    e = e.join(nxt, "vec_id", "left").withColumn("_n", n)
+    unit = F.transform("v", lambda x: F.when(F.col("_n") > 0, F.round(x / F.col("_n"), 6)))
+    return e.select("vec_id", F.round("_n", 6).alias("norm"), unit.alias("unit"), F.round(gap, 6).alias("next_distance"))
 
 
-@query(
-    "fn_mean_center",
-    """SELECT vec_id, round(CAST(embedding[1] AS DOUBLE) - list_avg(list_transform(embedding, lambda x: CAST(x AS DOUBLE))), 6) AS c0,
-  round(CAST(embedding[len(embedding)] AS DOUBLE) - list_avg(list_transform(embedding, lambda x: CAST(x AS DOUBLE))), 6) AS c_last FROM embeddings""",
-)
+@query("fn_mean_center", _V + "m AS (SELECT vec_id, v, list_avg(v) AS a FROM e) SELECT vec_id, list_transform(v, lambda x: round(x - a, 5)) AS centred FROM m")
 def q_mean_center(spark, sf):
     e = X.table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
     mean = F.aggregate("v", F.lit(0.0), lambda a, x: a + x) / F.size("v")
-    return e.select("vec_id", F.round(F.col("v")[0] - mean, 6).alias("c0"), F.round(F.element_at("v", -1) - mean, 6).alias("c_last"))
+    e = e.withColumn("_mean", mean)
+    return e.select("vec_id", F.transform("v", lambda x: F.round(x - F.col("_mean"), 5)).alias("centred"))
 
 
 @query(

@@ -9,18 +9,11 @@ Scratch output goes under the session's shared checkpoint folder.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.util import scratch_path
 from ..operators.windows import ordinal_index
-from ..session import ensure_checkpoint_dir
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh folder under the shared checkpoint directory."""
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/spindle-io/{name}-{uuid.uuid4().hex}"
 
 
 # ---------------------------------------------------------------------------
