@@ -17,16 +17,19 @@ from pyspark.sql import functions as F
 
 from spindle.llm import crf, neardup, packing, pii, rules
 from spindle.llm.common import read_table, row_key, written
+from spindle.session import prepare
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose quality score reaches the classifier's limit."""
+    prepare(spark)
     theta = crf.train(docs, read_table(spark, sf_dir, "labels"))
     return crf.good_documents(docs, theta)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and their host's verdicts."""
+    prepare(spark)
     rejected = rules.quality_rules(docs).where(~F.col("kept")).select("_k").distinct()
     keyed = row_key(docs, key="_rule_key").join(rejected.withColumnRenamed("_k", "_rule_key"), "_rule_key", "left_anti")
     return keyed.select(*docs.columns)
@@ -34,6 +37,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: the one with the smallest id."""
+    prepare(spark)
     stay = neardup.near_duplicates(docs).where("kept").select("doc_id").distinct()
     known = docs.join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return known.unionByName(docs.where(F.col("doc_id").isNull())).select(*docs.columns)
@@ -41,6 +45,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, personal data replaced by its kind."""
+    prepare(spark)
     return pii.redact(docs)
 
 
@@ -48,6 +53,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents in training sequences."""
     import public_tokenizers
 
+    prepare(spark)
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 

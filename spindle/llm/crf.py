@@ -40,7 +40,7 @@ from .common import arrow_schema, read_table, slices
 TRAIN_DOCS, STEPS, RATE, PENALTY = 4000, 200, 0.5, 1e-5
 #: A document is predicted good from this score on; the share of documents held out is one in FOLDS.
 GOOD, FOLDS = 0.3, 5
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 _CLASSES = ("#*$%&<>^~=_{}[]\\@", "|", "!?", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", ".,;:'\"()-", " \t")
 OWN = len(_CLASSES) + 7  # with the share of letters, length, few words, empty, word length, repeats, seen before
@@ -72,7 +72,7 @@ def _prefix_sums(raw: np.ndarray) -> np.ndarray:
     n = len(raw)
     if len(_POWERS[0]) <= n:
         for i, base in enumerate((_STEP, pow(_STEP, -1, 1 << 64))):
-            steps = np.full(2 * n + 1, base, np.uint64)
+            steps = np.full(n + n // 4 + 1, base, np.uint64)
             steps[0] = 1
             _POWERS[i] = np.multiply.accumulate(steps)
     sums = np.zeros(n + 1, np.uint64)
@@ -186,7 +186,15 @@ def marginals(good: np.ndarray, n_lines: np.ndarray, trans: np.ndarray, pairs: b
 
 def fit(texts: list[bytes], labels: np.ndarray) -> np.ndarray:
     """Weights of the features, then of the four label pairs, by gradient ascent (Adam) on the penalised likelihood."""
-    x, _, n_lines = line_features(texts)
+    # Some texts at a time: the work arrays are many times as large as the texts.
+    parts, batch, size = [], [], 0
+    for i, text in enumerate(texts):
+        batch.append(text)
+        size += len(text)
+        if size > SLICE_BYTES or i == len(texts) - 1:
+            parts.append(line_features(batch))
+            batch, size = [], 0
+    x, n_lines = (np.concatenate([p[i] for p in parts]) for i in (0, 2))
     y = np.repeat(labels, n_lines).astype(np.float64)
     first = np.cumsum(n_lines) - n_lines
     inner = np.ones(len(y), bool)
@@ -226,7 +234,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality") -> list[fl
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & (fold(F.col("doc_id")) != 0))
     known = known.groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
     ids = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_DOCS)
-    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", "text", "label").coalesce(1)
+    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", "text", "label").repartition(1)
     out = T.StructType([T.StructField("theta", T.ArrayType(T.DoubleType(), False))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
