@@ -30,17 +30,33 @@ def _c(x) -> Column:
 def regex_tokens(text, pattern: str = TEXT_TOKEN_PATTERN, lower: bool = True) -> Column:
     """#80 ``tokenize_atomwise``: all matches of ``pattern`` (group 1) as an array."""
     t = _c(text)
-    if lower:
-        t = F.lower(t)
-    return F.regexp_extract_all(t, F.lit(pattern), 1)
+    return all_matches(F.lower(t) if lower else t, pattern)
+
+
+_OPEN, _CLOSE = "\x01", "\x02"
+
+
+def all_matches(text: Column, pattern: str) -> Column:
+    """All matches of ``pattern`` (group 1, never empty), in time linear in the text.
+
+    ``regexp_extract_all`` copies the text for every match.  Here matches are
+    wrapped in two control characters and the text is split around them; only
+    a text that holds these characters itself takes the slow function.
+    """
+    marked = F.regexp_replace(text, pattern, f"{_OPEN}$1{_CLOSE}")
+    parts = F.array_remove(F.split(marked, f"(?:^|{_CLOSE})[^{_OPEN}{_CLOSE}]*+(?:{_OPEN}|$)", -1), "")
+    odd = F.contains(text, F.lit(_OPEN)) | F.contains(text, F.lit(_CLOSE))
+    return F.when(odd, F.regexp_extract_all(text, F.lit(pattern), 1)).otherwise(parts)
 
 
 def text_tokens(text) -> Column:
     return regex_tokens(text, TEXT_TOKEN_PATTERN, True)
 
 
-def word_tokens(text) -> Column:
-    return regex_tokens(text, WORD_PATTERN, True)
+def word_tokens(text, lower: bool = True) -> Column:
+    """Letter runs, by a split at what stands between them."""
+    t = _c(text)
+    return F.array_remove(F.split(F.lower(t) if lower else t, r"[^\p{L}]+", -1), "")
 
 
 def smiles_tokens(text) -> Column:

@@ -41,7 +41,7 @@ def validate_quarantine(df: DataFrame, text: str = "text", pattern: str = T.TEXT
     The first failing predicate is the reason; passing rows have reason null.
     """
     t = F.lower(F.col(text)) if lower else F.col(text)
-    lexable = F.array_join(F.regexp_extract_all(t, F.lit(pattern), 1), "") == F.regexp_replace(t, r"\s", "")
+    lexable = F.array_join(T.all_matches(t, pattern), "") == F.regexp_replace(t, r"\s", "")
     balanced = (_count_char(t, "(") == _count_char(t, ")")) & (_count_char(t, "[") == _count_char(t, "]"))
     even = (F.length(F.regexp_replace(t, "[^0-9]", "")) % 2) == 0
     reason = (

@@ -74,20 +74,17 @@ def attr_sampled(tw: DataFrame, key: list[str], prior: Column, samples: int = 16
     the samples that keep it minus mean score of those that drop it (0 when
     one side is empty), mean-centred per (row, rep).
 
-    The sample scores are one map-side-combined aggregate per (row, rep, s);
-    they come back to the positions as a ``samples``-long array per (row, rep)
-    and the keep bits are recomputed in place, so the positions × samples
-    table is never shuffled."""
+    The sample scores of a (row, rep) are one aggregate with a sum per sample,
+    combined map-side; they come back to the positions as an array and the
+    keep bits are recomputed in place, so neither a positions × samples table
+    nor a row per sample is ever made."""
     kcols = [F.col(k) for k in key]
     base = _reps(tw.select(*key, "pos", "token", "w"), reps).withColumn("_h", _sample_hashes(seed, samples, kcols))
-    t = base.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))))
-    t = t.withColumn("bit", _sample_bit(F.col("s")))
-    sc = t.groupBy(*key, "rep", "s").agg((prior + F.sum(F.col("w") * F.col("bit"))).alias("sc"))
-    arr = sc.groupBy(*key, "rep").agg(F.array_sort(F.collect_list(F.struct("s", "sc"))).alias("_sc"))
-    j = base.join(arr, [*key, "rep"])
+    sums = F.array(*[prior + F.sum(F.col("w") * _sample_bit(F.lit(s))) for s in range(samples)])
+    j = base.join(base.groupBy(*key, "rep").agg(sums.alias("_sc")), [*key, "rep"])
     pairs = F.transform(
         F.sequence(F.lit(0), F.lit(samples - 1)),
-        lambda s: F.struct(_sample_bit(s).alias("b"), F.element_at(F.col("_sc"), s + 1)["sc"].alias("v")),
+        lambda s: F.struct(_sample_bit(s).alias("b"), F.element_at(F.col("_sc"), s + 1).alias("v")),
     )
     zero = F.struct(F.lit(0.0).alias("si"), F.lit(0).alias("ni"), F.lit(0.0).alias("so"), F.lit(0).alias("no"))
     acc = F.aggregate(
@@ -111,20 +108,25 @@ def attr_sampled(tw: DataFrame, key: list[str], prior: Column, samples: int = 16
 def explain_all_methods(tw: DataFrame, key: list[str], prior: Column, reps: int = 2, samples: int = 16, seed: int = 42) -> DataFrame:
     """#141: union of all methods × repetitions in one long table; tokens stripped
     of whitespace / continuation markers; duplicates restored."""
-    means = token_means(tw, key)
-    parts = [
-        attr_ig_linear(tw, key, reps),
-        attr_shap_linear(tw, key, means, reps),
-        attr_occlusion(tw, key, reps),
-        attr_sampled(tw, key, prior, samples, reps, seed),
-    ]
-    cols = ["method", *key, "rep", "pos", "token", "score"]
-    out = parts[0].select(*cols)
-    for p in parts[1:]:
-        out = out.unionByName(p.select(*cols))
+    out = _deterministic(tw, key, token_means(tw, key), reps)
+    out = out.unionByName(attr_sampled(tw, key, prior, samples, reps, seed).select(out.columns))
     return out.withColumn("token", T.strip_continuation("token"))
 
 
+def _deterministic(tw: DataFrame, key: list[str], means: DataFrame, reps: int) -> DataFrame:
+    """#137-139 in one pass: all three need the row's norm and the token's count in the row, two windows over one exchange."""
+    w, x = F.col("w"), F.col("_x")
+    t = tw.select(*key, "pos", "token", "w").join(means, "token", "left").withColumn("_x", F.count(F.lit(1)).over(Window.partitionBy(*key, "token")))
+    t = t.withColumn("_norm", F.sqrt(F.sum(w * w).over(Window.partitionBy(*key))))
+    scores = {
+        "ig": F.when(F.col("_norm") > 0, w / F.col("_norm")).otherwise(F.lit(0.0)),
+        "shap": w * (x - F.coalesce("mean_x", F.lit(0.0))),
+        "occlusion": x * w,
+    }
+    each = F.inline(F.array(*[F.struct(F.lit(m).alias("method"), s.alias("score")) for m, s in scores.items()]))
+    return _reps(t.select(*key, "pos", "token", each), reps).select("method", *key, "rep", "pos", "token", "score")
+
+
 def rank_explanations(attr: DataFrame, key: list[str]) -> DataFrame:
     """#55: rank of each position inside (method, row, rep) by score desc, then position."""
     w = Window.partitionBy("method", *key, "rep").orderBy(F.col("score").desc(), F.col("pos"))

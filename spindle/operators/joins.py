@@ -49,7 +49,7 @@ def containment_join(cands: DataFrame, docs: DataFrame, lower: bool = True, lett
     text = F.lower(F.col("text")) if lower else F.col("text")
     cands = cands.select("token").distinct()
     letter = cands.where(F.col("token").rlike(LETTERS_ONLY))
-    doc_words = docs.select("id", F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(T.WORD_PATTERN), 1))).alias("word"))
+    doc_words = docs.select("id", F.explode(F.array_distinct(T.word_tokens(text, lower=False))).alias("word"))
     in_words = _contained(letter, doc_words.select("word").distinct(), "word")
     via_words = doc_words.join(in_words, "word").select("token", "id").distinct()
     if letters_only:

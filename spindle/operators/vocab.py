@@ -150,7 +150,7 @@ PATTERN_DICTIONARY = [
 def dictionary_matches(df: DataFrame, text: str = "text", key: str = "id") -> DataFrame:
     """Non-overlapping leftmost matches of the ordered dictionary: (key, pos, grp, match)."""
     alternation = "(" + "|".join(p for _, p in PATTERN_DICTIONARY) + ")"
-    m = df.select(key, F.posexplode(F.regexp_extract_all(F.col(text), F.lit(alternation), 1)).alias("pos", "m"))
+    m = df.select(key, F.posexplode(T.all_matches(F.col(text), alternation)).alias("pos", "m"))
     grp = None
     for name, pat in PATTERN_DICTIONARY:
         cond = F.col("m").rlike("^(" + pat + ")$")
@@ -166,7 +166,7 @@ def dictionary_group_counts(df: DataFrame, text: str = "text", key: str = "id")
 def dictionary_coverage(df: DataFrame, text: str = "text", key: str = "id") -> DataFrame:
     """#104: matched characters / non-space characters; success when everything is covered."""
     alternation = "(" + "|".join(p for _, p in PATTERN_DICTIONARY) + ")"
-    matched = F.length(F.array_join(F.regexp_extract_all(F.col(text), F.lit(alternation), 1), ""))
+    matched = F.length(F.array_join(T.all_matches(F.col(text), alternation), ""))
     total = F.length(F.regexp_replace(F.col(text), r"\s", ""))
     return df.select(
         key,
@@ -178,7 +178,7 @@ def dictionary_coverage(df: DataFrame, text: str = "text", key: str = "id") -> D
 
 
 def char_tokens(text) -> "F.Column":
-    return F.regexp_extract_all(F.lower(F.col(text) if isinstance(text, str) else text), F.lit(r"(\S)"), 1)
+    return F.array_remove(F.split(F.regexp_replace(F.lower(F.col(text) if isinstance(text, str) else text), r"\s", ""), ""), "")
 
 
 TOKENIZERS = {

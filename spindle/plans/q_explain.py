@@ -15,6 +15,7 @@ from ..operators import joins as J
 from ..operators import model as MD
 from ..operators import quality as Q
 from ..operators import sample as SM
+from ..operators.util import written
 from ..sources import fixtures as X
 from . import sql as S
 from .q_models import LOG_ODDS, scorer
@@ -25,9 +26,11 @@ KEY = ["id"]
 
 
 def _setup(spark, sf):
+    """Labelled rows, weights, prior, and two tables that are written once and shared by all methods and metrics:
+    the tokens of every row with their weights, and the rows' logits."""
     lab, w, prior = scorer(spark, sf)
-    tw = MD.token_weights(lab.select("id", "text"), w)
-    logits = MD.log_odds_scores(lab.select("id", "y", "text"), w, prior).select("id", "y", "logit")
+    tw = written(MD.token_weights(lab.select("id", "text"), w), "token-weights")
+    logits = written(MD.log_odds_scores(lab.select("id", "y", "text"), w, prior).select("id", "y", "logit"), "logits")
     return lab, w, prior, tw, logits
 
 
@@ -296,8 +299,8 @@ def _variants(spark, sf, n_pert: int = 3):
     pert = SM.perturb_keep_fraction(tok, reps=n_pert, frac=0.9, seed=SEED)
     pt = pert.select((F.col("rep") + 1).alias("variant"), "id", F.posexplode("tokens").alias("pos", "token"))
     allv = tok.select(F.lit(0).alias("variant"), "id", "pos", "token").unionByName(pt)
-    tw = allv.join(w, "token", "left").withColumn("w", F.coalesce("w", F.lit(0.0)))
-    attr = EX.explain_all_methods(tw, ["variant", "id"], prior, 1, SAMPLES, SEED)
+    tw = written(allv.join(w, "token", "left").withColumn("w", F.coalesce("w", F.lit(0.0))), "variant-weights")
+    attr = written(EX.explain_all_methods(tw, ["variant", "id"], prior, 1, SAMPLES, SEED), "variant-attributions")
     return tw, attr
 
 

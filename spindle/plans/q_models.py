@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import model as MD
 from ..operators import sample as SM
+from ..operators.util import written
 from ..sources import fixtures as X
 from . import sql as S
 from .q_sample import _RANDOM
@@ -105,7 +106,7 @@ LOG_ODDS = S.with_(
 def scorer(spark, sf):
     lab = X.labelled(spark, sf).withColumnRenamed("toxic", "y")
     w, prior = MD.train_log_odds(lab)
-    return lab, w, prior
+    return lab, written(w, "log-odds"), prior
 
 
 @query("log_odds_scorer", LOG_ODDS + "SELECT id, y, round(logit, 6) AS logit FROM sc")
