@@ -59,10 +59,23 @@ def q_structural_alerts(spark, sf):
     return A.structural_alerts(_rows(spark, sf)).select("token", "tp", "fp", F.round("ppv", 6).alias("ppv"))
 
 
-@query("mean_ppv", _POS_CAND + "SELECT round(avg(ppv), 6) AS mean_ppv, count(*) AS n_candidates FROM scored")
+_ALL_PPV = S.with_(
+    S.LABELLED,
+    f"""pw AS (SELECT unnest(regexp_extract_all(lower(text), '{S.WORD_RE}', 1)) AS token FROM labelled WHERE toxic = 1)""",
+    """cand AS (SELECT token, count(*) AS tp FROM pw GROUP BY token)""",
+    f"""nw AS (SELECT DISTINCT id, unnest(regexp_extract_all(lower(text), '{S.WORD_RE}', 1)) AS word FROM labelled WHERE toxic = 0)""",
+    """places AS (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM (SELECT DISTINCT word FROM nw))""",
+    """parts AS (SELECT DISTINCT word, substring(word, i, l) AS token FROM (SELECT word, i, unnest(range(1, length(word) - i + 2)) AS l FROM places))""",
+    """fp AS (SELECT c.token, count(DISTINCT nw.id) AS fp FROM cand c JOIN parts p ON p.token = c.token JOIN nw ON nw.word = p.word GROUP BY c.token)""",
+    """scored AS (SELECT c.token, c.tp / (c.tp + coalesce(fp.fp, 0)) AS ppv FROM cand c LEFT JOIN fp ON fp.token = c.token)""",
+)
+
+
+@query("mean_ppv", _ALL_PPV + "SELECT round(avg(ppv), 6) AS mean_ppv, count(*) AS n_fragments FROM scored")
 def q_mean_ppv(spark, sf):
-    scored, _ = A.alert_ppv(_rows(spark, sf))
-    return scored.agg(F.round(F.avg("ppv"), 6).alias("mean_ppv"), F.count(F.lit(1)).alias("n_candidates"))
+    """Over all fragments of the positive rows, whatever their count and length."""
+    scored, _ = A.alert_ppv(_rows(spark, sf), min_count=1, min_len=1, max_len=2**31 - 1)
+    return scored.agg(F.round(F.avg("ppv"), 6).alias("mean_ppv"), F.count(F.lit(1)).alias("n_fragments"))
 
 
 @query(
@@ -115,6 +128,13 @@ def q_alerts_per_task(spark, sf):
     )
 
 
+@query("alerts_union", _BY_TASK + "SELECT token, count(*) AS n_tasks FROM alerts GROUP BY token")
+def q_alerts_union(spark, sf):
+    """The distinct alerts of all tasks."""
+    scored, _ = A.alert_ppv(_rows_by_task(spark, sf), group=("task",))
+    return scored.where(F.col("ppv") > 0.5).groupBy("token").agg(F.count(F.lit(1)).alias("n_tasks"))
+
+
 @query(
     "coverage_pct",
     _BY_TASK + "SELECT task, n_pos, n_covered, round(100.0 * n_covered / n_pos, 6) AS coverage_pct FROM cov",

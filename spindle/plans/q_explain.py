@@ -257,21 +257,29 @@ def q_alerts_intersection(spark, sf):
     return r.select("method", "n_positive", "n_alerts", F.round("share", 6).alias("share"))
 
 
+# Simpson's rule for the tail of Student's t (cos^(df - 1) from A0).
+_TAIL = f"""(list_sum(list_transform(range(0, {Q.T_STEPS + 1}), lambda i: (CASE WHEN i = 0 OR i = {Q.T_STEPS} THEN 1.0 WHEN i % 2 = 1 THEN 4.0 ELSE 2.0 END)
+  * pow(greatest(cos(A0 + (least(pi() / 2, A0 + {Q.T_REACH} / sqrt(df)) - A0) / {Q.T_STEPS} * i), CAST(0 AS DOUBLE)), df - 1)))
+  * (least(pi() / 2, A0 + {Q.T_REACH} / sqrt(df)) - A0))"""
+
+
 @query(
     "q_welch",
     _ATTR_SQL + _FAITH_ROWS
     + """, st AS (SELECT method, avg(faith) FILTER (WHERE y = 1) AS m1, avg(faith) FILTER (WHERE y = 0) AS m0,
    var_samp(faith) FILTER (WHERE y = 1) AS v1, var_samp(faith) FILTER (WHERE y = 0) AS v0,
    count(*) FILTER (WHERE y = 1) AS n1, count(*) FILTER (WHERE y = 0) AS n0 FROM fr GROUP BY method)
-SELECT method, round((m1 - m0) / sqrt(v1 / n1 + v0 / n0), 6) AS t,
-  round((v1 / n1 + v0 / n0) * (v1 / n1 + v0 / n0) / ((v1 / n1) * (v1 / n1) / (n1 - 1) + (v0 / n0) * (v0 / n0) / (n0 - 1)), 6) AS df, n1, n0 FROM st""",
+SELECT method, round(t, 6) AS t, round(df, 6) AS df, n1, n0, round(tail / whole, 6) AS p_value, tail / whole < 0.05 AS significant FROM (
+SELECT *, """ + _TAIL.replace("A0", "atan(abs(t) / sqrt(df))") + " AS tail, " + _TAIL.replace("A0", "CAST(0 AS DOUBLE)") + """ AS whole FROM (
+SELECT method, (m1 - m0) / sqrt(v1 / n1 + v0 / n0) AS t,
+  (v1 / n1 + v0 / n0) * (v1 / n1 + v0 / n0) / ((v1 / n1) * (v1 / n1) / (n1 - 1) + (v0 / n0) * (v0 / n0) / (n0 - 1)) AS df, n1, n0 FROM st))""",
 )
 def q_welch(spark, sf):
     _, _, prior, tw, logits = _setup(spark, sf)
     attr = EX.explain_all_methods(tw, KEY, prior, 1, SAMPLES, SEED)  # only rep 0 is used
     fr = Q.faithfulness_rows(attr, tw, logits, KEY).join(logits.select("id", "y"), "id")
     w = Q.welch(fr, "faith", "y")
-    return w.select("method", F.round("t", 6).alias("t"), F.round("df", 6).alias("df"), "n1", "n0")
+    return w.select("method", *[F.round(c, 6).alias(c) for c in ("t", "df", "p_value")], "n1", "n0", "significant")
 
 
 @query(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators.metrics import P_FLOOR
 from ..sources import fixtures as X
 from . import sql as S
 from .registry import query
@@ -125,13 +126,13 @@ def q_binarise(spark, sf):
 
 @query(
     "fn_exp_perplexity",
-    _P + """, ll AS (SELECT lang, -ln(CASE WHEN y = 1 THEN greatest(p, 1e-12) ELSE greatest(1.0 - p, 1e-12) END) AS nll FROM predictions)
+    _P + """, ll AS (SELECT lang, -ln(CASE WHEN y = 1 THEN greatest(p, 1e-15) ELSE greatest(1.0 - p, 1e-15) END) AS nll FROM predictions)
 SELECT lang, round(exp(avg(nll)), 6) AS ppl, round(exp(sum(nll) / count(*)), 6) AS ppl_n, round(exp(avg(nll) * 8 / count(*)), 6) AS ppl_batch
 FROM ll GROUP BY lang""",
 )
 def q_exp_perplexity(spark, sf):
     p = X.predictions(spark, sf)
-    nll = -F.log(F.when(F.col("y") == 1, F.greatest("p", F.lit(1e-12))).otherwise(F.greatest(F.lit(1.0) - F.col("p"), F.lit(1e-12))))
+    nll = -F.log(F.when(F.col("y") == 1, F.greatest("p", F.lit(P_FLOOR))).otherwise(F.greatest(F.lit(1.0) - F.col("p"), F.lit(P_FLOOR))))
     g = p.groupBy("lang").agg(F.avg(nll).alias("loss"), F.sum(nll).alias("tot"), F.count(F.lit(1)).alias("n"))
     return g.select(
         "lang",

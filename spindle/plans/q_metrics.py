@@ -190,14 +190,22 @@ _LL = """ll AS (SELECT lang, -ln(greatest(CASE WHEN y = 1 THEN 1.0 / (1.0 + exp(
   FROM predictions)"""
 
 
+_T975 = "CASE WHEN count(*) > 1 THEN " + " + ".join([str(M.Z_975), *(f"{c} / pow(count(*) - 1, {k})" for k, c in enumerate(M.T_SERIES, 1))]) + " END"
+
+
 @query(
     "m_logloss_ppl",
     _P + "," + _LL + """\nSELECT lang, count(*) AS n, round(avg(nll), 6) AS logloss, round(stddev_samp(nll) / sqrt(count(*)), 6) AS sem,
-  round(exp(avg(nll)), 6) AS perplexity FROM ll GROUP BY lang""",
+  round(exp(avg(nll)), 6) AS perplexity, round(avg(nll) - """ + _T975 + """ * stddev_samp(nll) / sqrt(count(*)), 6) AS logloss_lb,
+  round(avg(nll) + """ + _T975 + """ * stddev_samp(nll) / sqrt(count(*)), 6) AS logloss_ub,
+  round(exp(avg(nll) - """ + _T975 + """ * stddev_samp(nll) / sqrt(count(*))), 6) AS perplexity_lb,
+  round(exp(avg(nll) + """ + _T975 + """ * stddev_samp(nll) / sqrt(count(*))), 6) AS perplexity_ub,
+  round(exp(avg(nll) / count(*)), 6) AS smoothed_perplexity FROM ll GROUP BY lang""",
 )
 def q_logloss(spark, sf):
     r = M.logloss_ppl(X.predictions(spark, sf), G)
-    return r.select("lang", "n", *[F.round(c, 6).alias(c) for c in ("logloss", "sem", "perplexity")])
+    cols = ("logloss", "sem", "perplexity", "logloss_lb", "logloss_ub", "perplexity_lb", "perplexity_ub", "smoothed_perplexity")
+    return r.select("lang", "n", *[F.round(c, 6).alias(c) for c in cols])
 
 
 _ALL_COLS = ["accuracy", "balanced_accuracy", "precision_w", "recall_w", "f1_w", "kappa", "auc_hard", "auc_prc_hard"]

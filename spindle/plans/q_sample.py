@@ -75,10 +75,13 @@ def q_assert_partition_sizes(spark, sf):
 @query(
     "variant_expand",
     f"""SELECT doc_id AS id, k, md5(array_to_string(CASE WHEN len(w) > 0 THEN list_concat(w[(k % len(w)) + 1:len(w)], w[1:k % len(w)]) ELSE w END, ' ')) AS sig
-FROM (SELECT doc_id, regexp_extract_all(lower(text), '{S.WORD_RE}', 1) AS w FROM documents), range(1, 4) t(k)""",
+FROM (SELECT doc_id, regexp_extract_all(lower(text), '{S.WORD_RE}', 1) AS w FROM documents), range(1, 4) t(k)
+UNION ALL SELECT doc_id, 0, md5(text) FROM documents""",
 )
 def q_variant_expand(spark, sf):
-    v = SM.variant_expand(X.corpus(spark, sf), 3)
+    """The originals (k = 0) and their variants."""
+    docs = X.corpus(spark, sf)
+    v = docs.select("id", F.lit(0).alias("k"), F.col("text").alias("variant")).unionByName(SM.variant_expand(docs, 3))
     return v.select("id", F.col("k").cast("bigint").alias("k"), F.md5("variant").alias("sig"))
 
 
@@ -93,12 +96,14 @@ draws AS (SELECT d, {S.md5_int("'40:' || d")} % (SELECT n_min FROM need) AS i FR
 v AS (SELECT DISTINCT m.id, array_to_string(CASE WHEN len(w) > 0 THEN list_concat(w[(rot % len(w)) + 1:len(w)], w[1:rot % len(w)]) ELSE w END, ' ') AS variant
   FROM (SELECT dr.d, m.id, regexp_extract_all(lower(m.text), '{S.WORD_RE}', 1) AS w, {S.md5_int("'40:' || dr.d || ':r'")} AS rot
         FROM draws dr JOIN mino m ON dr.i = m.i) m)
-SELECT id, md5(variant) AS sig, (SELECT minority FROM need) AS toxic FROM v""",
+SELECT id, md5(variant) AS sig, (SELECT minority FROM need) AS toxic, true AS added FROM v
+UNION ALL SELECT id, md5(text), toxic, false FROM labelled""",
 )
 def q_oversample_minority(spark, sf):
     lab = X.labelled(spark, sf).select("id", "text", F.col("toxic").alias("label"))
     o = SM.oversample_minority(spark, lab, "label", 1, seed=40)
-    return o.select("id", F.md5("variant").alias("sig"), F.col("label").cast("int").alias("toxic"))
+    added = o.select("id", F.md5("variant").alias("sig"), F.col("label").cast("int").alias("toxic"), F.lit(True).alias("added"))
+    return added.unionByName(lab.select("id", F.md5("text").alias("sig"), F.col("label").alias("toxic"), F.lit(False).alias("added")))
 
 
 @query(

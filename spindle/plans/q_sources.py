@@ -91,11 +91,11 @@ def q_flatten_json_pages(spark, sf):
     e = X.table(spark, sf, "events")
     props = F.when(
         F.col("event_type") == "click",
-        F.struct(F.col("props").alias("full_molformula"), F.get_json_object("props", "$.k").alias("full_mwt")),
+        F.struct(F.col("props").alias("full_molformula"), F.get_json_object("props", "$.k").alias("full_mw")),
     )
     rec = F.struct(
         F.concat(F.lit("EV"), F.col("event_id").cast("string")).alias("molecule_chembl_id"),
-        F.col("event_type").alias("pref_name"),
+        F.col("event_type").alias("molecule_name"),
         F.when(F.col("user_id") % 2 == 0, F.col("user_id")).alias("max_phase"),
         props.alias("molecule_properties"),
     )

@@ -73,9 +73,10 @@ def read_vocab(spark: SparkSession, path: str) -> DataFrame:
     return lines.groupBy(F.col("text").alias("token")).agg(F.max("line_no").cast("int").alias("id"))
 
 
+# Field names of the API's records.
 PAGE_SCHEMA = (
-    "molecules array<struct<molecule_chembl_id:string, pref_name:string, max_phase:string,"
-    " molecule_properties:struct<full_molformula:string, full_mwt:string>,"
+    "molecules array<struct<molecule_chembl_id:string, molecule_name:string, max_phase:string,"
+    " molecule_properties:struct<full_molformula:string, full_mw:string>,"
     " molecule_structures:struct<canonical_smiles:string>>>"
 )
 
@@ -90,10 +91,10 @@ def flatten_json_pages(pages: DataFrame, json_col: str = "json", schema: str = P
     m = F.col("m")
     return p.select(
         na(m["molecule_chembl_id"]).alias("chembl_id"),
-        na(m["pref_name"]).alias("name"),
+        na(m["molecule_name"]).alias("name"),
         na(m["max_phase"]).alias("max_phase"),
         na(m["molecule_properties"]["full_molformula"]).alias("formula"),
-        na(m["molecule_properties"]["full_mwt"]).alias("weight"),
+        na(m["molecule_properties"]["full_mw"]).alias("weight"),
         na(m["molecule_structures"]["canonical_smiles"]).alias("smiles"),
     )
 

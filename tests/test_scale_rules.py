@@ -131,3 +131,29 @@ def test_entry_works_without_the_optional_part(tmp_path):
     run = subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "repo", capture_output=True, text=True, timeout=300)
     assert run.stdout.split()[1:] == ["False", "False", "True"], run.stderr[-2000:]
     assert prepare
+
+
+def test_student_t(spark):
+    from spindle.operators.quality import student_p
+
+    rows = spark.createDataFrame([(2.0, 10.0, 0.07338803), (-2.0, 10.0, 0.07338803), (0.0, 5.0, 1.0), (12.706205, 1.0, 0.05), (3.5, 50000.0, 0.000465608)], "t double, df double, p double")
+    for r in rows.withColumn("got", student_p(F.col("t"), F.col("df"))).collect():
+        assert r["got"] == pytest.approx(r["p"], rel=2e-4)
+    quantiles = {10: 2.228139, 30: 2.042272, 1000: 1.962339}
+    got = spark.createDataFrame([(n,) for n in quantiles], "n int").select("n", M.t_975(F.col("n")).alias("q")).collect()
+    for r in got:
+        assert r["q"] == pytest.approx(quantiles[r["n"]], abs=1e-4)
+
+
+def test_tokens_of_odd_texts(spark):
+    """The linear tokenisers give what the pattern's matches are."""
+    import re
+
+    from spindle.functions import text as T
+
+    texts = ["", None, "  ", "a", "Hello, wörld 12a\n\tb", "\x01a\x02 b", "x" * 5000, "1 2;3", "日本 語🙂", " lead", "trail ", "a\u0085b c"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    got = {r["id"]: r for r in df.select("id", T.text_tokens("text").alias("t"), T.word_tokens("text").alias("w"), F.regexp_extract_all(F.lower("text"), F.lit(T.TEXT_TOKEN_PATTERN), 1).alias("want")).collect()}
+    for i, t in enumerate(texts):
+        assert got[i]["t"] == got[i]["want"]
+        assert got[i]["w"] == (None if t is None else [x for x in re.findall(r"[^\W\d_]+", t.lower())])
