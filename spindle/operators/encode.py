@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .util import small_side
 from .vocab import CLS_ID, MASK_ID, PAD_ID, SEP_ID, UNK_ID, lookup_ids
 
 
@@ -69,7 +70,7 @@ def truncate_pad(ids: Column, max_length: int = 128) -> tuple[Column, Column]:
 def decode_ids(encoded: DataFrame, inverse_vocab: DataFrame, key: list[str], ids: str = "input_ids", skip_special: bool = True) -> DataFrame:
     """#100: ids → tokens (unknown ids → [UNK]); optionally drop special tokens."""
     ex = encoded.select(*key, F.posexplode_outer(ids).alias("pos", "tid"))
-    inv = F.broadcast(inverse_vocab.select(F.col("id").alias("tid"), "token"))
+    inv = small_side(inverse_vocab.select(F.col("id").alias("tid"), "token"))
     j = ex.join(inv, "tid", "left").withColumn("token", F.coalesce("token", F.lit("[UNK]")))
     if skip_special:
         j = j.where(~F.col("tid").isin(list(range(0, 15))) | F.col("tid").isNull())

@@ -20,6 +20,17 @@ def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame | None:
     return F.broadcast(df) if n <= max_rows else None
 
 
+#: A side of a join is broadcast up to so many rows; beyond that Spark chooses the join.
+BROADCAST_ROWS = 1_000_000
+
+
+def small_side(df: DataFrame, max_rows: int | None = None) -> DataFrame:
+    """``df``, written once and counted from the files' metadata: with a broadcast hint up to ``max_rows``
+    (BROADCAST_ROWS) rows, plain beyond that.  The join's result is the same."""
+    table = written(df, "side")
+    return bounded_broadcast(table, BROADCAST_ROWS if max_rows is None else max_rows) or table
+
+
 def with_group_stats(df: DataFrame, stats: DataFrame, group: list[str]) -> DataFrame:
     """``df`` with the columns of ``stats`` (one row per group); without a group its only row's values, as scalar subqueries."""
     if group:

@@ -10,8 +10,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import text as T
+from .util import small_side, written
 from .windows import ordinal_index
 
 # ---------------------------------------------------------------------------
@@ -115,9 +117,8 @@ def vocab_gaps(vocab: DataFrame, group: tuple = ()) -> DataFrame:
 def lookup_ids(tok: DataFrame, vocab: DataFrame, unk_id: int = UNK_ID, out: str = "tid") -> DataFrame:
     """#28: token → id, unknown tokens get the [UNK] id.
 
-    The vocabulary is broadcast: callers pass bounded vocabularies (top-k or
-    a learned one of a requested size)."""
-    v = F.broadcast(vocab.select("token", F.col("id").alias("_vid")))
+    The vocabulary is broadcast if its checked size allows it."""
+    v = small_side(vocab.select("token", F.col("id").alias("_vid")))
     return tok.join(v, "token", "left").withColumn(out, F.coalesce(F.col("_vid"), F.lit(unk_id))).drop("_vid")
 
 
@@ -194,17 +195,17 @@ def tokenizer_profile(df: DataFrame, sizes: list[int], text: str = "text", key:
     The vocabulary of each (tokenizer, size) is its top-``size`` tokens.
     Rows without tokens still count as rows (``explode_outer``).
     """
+    n_rows = df.agg(F.count_distinct(key)).scalar()
     out = None
     for name, fn in TOKENIZERS.items():
-        tok = df.select(key, F.explode_outer(fn(text)).alias("token"))
-        for k in sizes:
-            vocab = top_k_vocab(tok.where(F.col("token").isNotNull()), k)
-            j = lookup_ids(tok, vocab)
-            known = F.when(F.col("token").isNull(), None).when(F.col("tid") == UNK_ID, 1.0).otherwise(0.0)
-            prof = j.agg(
-                F.countDistinct(key).alias("rows"),
-                F.count("token").alias("tokens"),
-                F.avg(known).alias("unk_share"),
-            ).select(F.lit(name).alias("tokenizer"), F.lit(k).alias("vocab_size"), "*")
-            out = prof if out is None else out.unionByName(prof)
-    return out.withColumn("tokens_per_row", F.col("tokens") / F.col("rows"))
+        # One pass over the texts: all sizes share the counts of the distinct tokens.
+        counts = written(df.select(F.explode(fn(text)).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n")), "profile")
+        total = counts.agg(F.sum("n")).scalar()
+        top = counts.orderBy(F.col("n").desc(), "token").limit(max(sizes))
+        ranked = top.withColumn("_r", F.row_number().over(Window.orderBy(F.col("n").desc(), "token")))
+        known = ranked.agg(*[F.sum(F.when(F.col("_r") <= k, F.col("n"))).alias(f"k{k}") for k in sizes])
+        each = F.inline(F.array(*[F.struct(F.lit(k).alias("vocab_size"), F.col(f"k{k}").alias("_known")) for k in sizes]))
+        prof = known.select(F.lit(name).alias("tokenizer"), each).withColumns({"rows": n_rows, "tokens": F.coalesce(total, F.lit(0)), "_total": total})
+        out = prof if out is None else out.unionByName(prof)
+    out = out.withColumn("unk_share", F.lit(1.0) - F.try_divide(F.col("_known"), F.col("_total")))
+    return out.select("tokenizer", "vocab_size", "rows", "tokens", "unk_share").withColumn("tokens_per_row", F.col("tokens") / F.col("rows"))

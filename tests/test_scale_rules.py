@@ -157,3 +157,16 @@ def test_tokens_of_odd_texts(spark):
     for i, t in enumerate(texts):
         assert got[i]["t"] == got[i]["want"]
         assert got[i]["w"] == (None if t is None else [x for x in re.findall(r"[^\W\d_]+", t.lower())])
+
+
+def test_large_vocabularies_join_without_broadcast(spark, monkeypatch):
+    from spindle.operators import util
+    from spindle.operators import vocab as V
+
+    tok = spark.range(500).select((F.col("id") % 90).cast("string").alias("token"))
+    vocab = spark.range(60).select(F.col("id").cast("string").alias("token"), (F.col("id") + 15).cast("int").alias("id"))
+    small = sorted(tuple(r) for r in V.lookup_ids(tok, vocab).collect())
+    monkeypatch.setattr(util, "BROADCAST_ROWS", 10)
+    plain = V.lookup_ids(tok, vocab)
+    assert "rightHint=(strategy=broadcast)" not in plain._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(tuple(r) for r in plain.collect()) == small
