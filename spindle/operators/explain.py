@@ -61,11 +61,9 @@ def _sample_hashes(seed, samples: int, kcols: list) -> Column:
     return F.array(*[T.md5_int(seed, F.col("rep"), *kcols, F.lit(c), F.col("pos")) for c in range((samples + 31) // 32)])
 
 
-def _sample_bit(s) -> Column:
-    """Keep bit of sample s: bit (s mod 32) of hash number (s div 32); the
-    hashes are < 2^32, so h / 2^k is exact in double."""
-    h = F.element_at(F.col("_h"), F.floor(s / F.lit(32)).cast("int") + 1)
-    return (F.floor(h / F.pow(F.lit(2.0), s % F.lit(32))) % F.lit(2)).cast("int")
+def _sample_bit(s: int) -> Column:
+    """Keep bit of sample s: bit (s mod 32) of hash number (s div 32)."""
+    return F.shiftright(F.col("_h")[s // 32], s % 32).bitwiseAND(F.lit(1).cast("bigint"))
 
 
 def attr_sampled(tw: DataFrame, key: list[str], prior: Column, samples: int = 16, reps: int = 1, seed: int = 42) -> DataFrame:
@@ -80,27 +78,16 @@ def attr_sampled(tw: DataFrame, key: list[str], prior: Column, samples: int = 16
     nor a row per sample is ever made."""
     kcols = [F.col(k) for k in key]
     base = _reps(tw.select(*key, "pos", "token", "w"), reps).withColumn("_h", _sample_hashes(seed, samples, kcols))
-    sums = F.array(*[prior + F.sum(F.col("w") * _sample_bit(F.lit(s))) for s in range(samples)])
+    sums = F.array(*[prior + F.sum(F.col("w") * _sample_bit(s)) for s in range(samples)])
     j = base.join(base.groupBy(*key, "rep").agg(sums.alias("_sc")), [*key, "rep"])
-    pairs = F.transform(
-        F.sequence(F.lit(0), F.lit(samples - 1)),
-        lambda s: F.struct(_sample_bit(s).alias("b"), F.element_at(F.col("_sc"), s + 1).alias("v")),
-    )
-    zero = F.struct(F.lit(0.0).alias("si"), F.lit(0).alias("ni"), F.lit(0.0).alias("so"), F.lit(0).alias("no"))
-    acc = F.aggregate(
-        pairs,
-        zero,
-        lambda a, x: F.struct(
-            (a["si"] + F.when(x["b"] == 1, x["v"]).otherwise(F.lit(0.0))).alias("si"),
-            (a["ni"] + F.when(x["b"] == 1, 1).otherwise(0)).alias("ni"),
-            (a["so"] + F.when(x["b"] == 0, x["v"]).otherwise(F.lit(0.0))).alias("so"),
-            (a["no"] + F.when(x["b"] == 0, 1).otherwise(0)).alias("no"),
-        ),
-    )
-    e = j.select(*key, "rep", "pos", "token", acc.alias("_a")).withColumn(
-        "e",
-        F.coalesce(F.try_divide(F.col("_a.si"), F.col("_a.ni")) - F.try_divide(F.col("_a.so"), F.col("_a.no")), F.lit(0.0)),
-    )
+    # Plain sums over the samples, written out, so that they stay in generated code.
+    bits = [_sample_bit(s) for s in range(samples)]
+    kept, dropped, n = F.lit(0.0), F.lit(0.0), F.lit(0).cast("bigint")
+    for s, bit in enumerate(bits):
+        sc = F.col("_sc")[s]
+        kept, dropped, n = kept + sc * bit, dropped + sc * (1 - bit), n + bit
+    effect = F.try_divide(kept, n) - F.try_divide(dropped, samples - n)
+    e = j.select(*key, "rep", "pos", "token", F.coalesce(effect, F.lit(0.0)).alias("e"))
     centred = F.col("e") - F.avg("e").over(Window.partitionBy(*key, "rep"))
     return e.select(*key, "rep", "pos", "token", centred.alias("score"), F.lit("sampled").alias("method"))
 
