@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from .joins import containment_join
+from .util import written
 
 
 def alert_candidates(pos_tokens: DataFrame, min_count: int = 3, min_len: int = 2, max_len: int = 40, group: tuple = ()) -> DataFrame:
@@ -40,8 +41,11 @@ def alert_ppv(rows: DataFrame, min_count: int = 3, min_len: int = 2, max_len: in
     g = list(group)
     pos_tok = _labelled_words(rows.where("label = 1"), group)
     cands = alert_candidates(pos_tok, min_count, min_len, max_len, group)
-    docs = rows.select("id", "text").distinct() if g else rows.select("id", "text")
+    # A row's text stands once per group.
+    docs = rows.select("id", "text").dropDuplicates(["id"]) if g else rows.select("id", "text")
     contains = containment_join(cands.select("token"), docs, letters_only=True)  # word-regex tokens
+    if g:  # read again for the coverage of each group
+        contains = written(contains, "contains")
     neg = rows.where("label = 0").select(*g, "id")
     # (token, id) and (group, id) are both distinct, so a plain count is the number of rows
     fp = contains.join(neg, "id").groupBy(*g, "token").agg(F.count(F.lit(1)).alias("fp"))
