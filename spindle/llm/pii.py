@@ -6,12 +6,16 @@ groups, separators) and its context (keywords before it, neighbouring
 characters).  They are trained on the corpus itself: a candidate is a positive
 example if it passes its kind's full check (``VALID``), none of which is a
 feature.  For each kind the smallest threshold whose held-out precision
-reaches ``PRECISION`` is chosen, and candidates at or above it are redacted,
-unless a checksum (cards) or range (addresses) rules them out.
+reaches ``PRECISION`` on at least ``EVIDENCE`` candidates is chosen, and
+candidates at or above it are redacted, unless a checksum (cards) or range
+(addresses) rules them out.  A kind without such a threshold is redacted where
+its full check passes.
 The base spans (base pattern and check) stay whatever the trees say.
 
-The trees learn from a bounded sample: the ``TRAIN_ROWS`` candidates with the
-smallest hash.  All candidates are scored.
+A fifth of all candidates, of every kind, is held out.  The trees learn from
+about ``TRAIN_ROWS`` of the others, drawn by hash and dealt out over the kinds
+and labels so that rare ones come in whole.  All candidates are scored, and the
+thresholds are set on all that are held out.
 
 Places are counted without any per-match copy of the text: the matches of a
 pattern are wrapped in two control characters, the text is split there, and
@@ -23,13 +27,13 @@ Defined results
 * equal rows (id and text): one result each; rows that share only the id: apart
 * an added span that overlaps a base span or an earlier added span is dropped
   (earlier: by start, then longer, then kind)
-* no candidates, or only of one class: no added spans; empty table: no rows
+* candidates of one class only: those that pass their full check are added; empty table: no rows
 * very long texts: linear time in each generator; other columns are ignored
 """
 
 from __future__ import annotations
 
-from pyspark.ml.classification import GBTClassifier
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -38,7 +42,7 @@ from pyspark.sql.window import Window
 
 from .common import read_table, row_key, written
 
-TRAIN_ROWS, PRECISION = 20_000, 0.95
+TRAIN_ROWS, PRECISION, EVIDENCE = 20_000, 0.95, 20
 TREES, DEPTH = 12, 4
 
 KINDS = ("email", "ip", "card", "phone", "secret", "id")
@@ -176,45 +180,65 @@ def _features(df: DataFrame) -> list[str]:
     return [c for c in df.columns if c[:1] == "f" and c[1:].isdigit()]
 
 
-def scored(spans: DataFrame) -> DataFrame | None:
-    """Add ``chosen``: whether the boosted trees' score reaches the kind's threshold.  None if there is nothing to learn from."""
-    df = featured(spans)
+def scored(spans: DataFrame) -> DataFrame:
+    """(_k, kind, start, stop, base, valid, chosen): whether the boosted trees' score reaches the kind's threshold."""
+    keep = ["_k", "kind", "start", "stop", "base", "valid"]
+    held = F.pmod(F.xxhash64("_k", "start", "m"), F.lit(5)) == 0
+    model = _trees(spans.where(~held))
+    if model is None:
+        return spans.select(*keep, F.col("valid").alias("chosen"))
+    df = featured(spans.withColumn("held", held))
     inputs = VectorAssembler(inputCols=_features(df), outputCol="features", handleInvalid="keep")
-    fold = F.pmod(F.xxhash64("_k", "start", "m"), F.lit(5))
-    sample = (
-        df.orderBy(F.xxhash64("_k", "start", "stop", "kind", "base"), "_k", "start", "stop", "kind", "base")
-        .limit(TRAIN_ROWS)
-        .select(*_features(df), "kind", F.col("valid").cast("double").alias("label"), (fold == 0).alias("held"))
-    )
-    sample = written(inputs.transform(sample.coalesce(1)).select("features", "label", "kind", "held"), "pii-sample")
-    classes = sample.where(~F.col("held")).groupBy("label").count().collect()
-    if len(classes) < 2:
+    score = vector_to_array("probability")[1]
+    done = written(model.transform(inputs.transform(df)).select(*keep, "held", score.alias("score")), "pii-scored")
+    buckets = done.where("held").groupBy("kind", F.floor(F.col("score") * 20).cast("int").alias("bucket"))
+    thresholds = _thresholds(buckets.agg(F.sum(F.col("valid").cast("double")).alias("good"), F.count(F.lit(1)).alias("n")).collect())
+    # A checksum or range that fails rules a candidate out, whatever its form.
+    possible = F.col("valid") | ~F.col("kind").isin("card", "ip")
+    chosen = F.col("valid")
+    for kind, t in thresholds.items():
+        chosen = F.when(F.col("kind") == kind, possible & (F.col("score") >= t)).otherwise(chosen)
+    return done.select(*keep, chosen.alias("chosen"))
+
+
+def _trees(spans: DataFrame) -> GBTClassificationModel | None:
+    """Boosted trees fitted on about TRAIN_ROWS candidates.  None if there is nothing to learn from."""
+    counts = {(r["kind"], r["valid"]): r["count"] for r in spans.groupBy("kind", "valid").count().collect()}
+    if len({label for _, label in counts}) < 2:
         return None
-    rows = {r["label"]: r["count"] for r in classes}
+    order = ("_k", "start", "stop", "kind", "base")
+    draw = F.pmod(F.xxhash64(*order), F.lit(1 << 31))
+    taken = F.lit(False)
+    for (kind, label), n in _shares(counts, TRAIN_ROWS).items():
+        group = (F.col("kind") == kind) & (F.col("valid") == label)
+        taken = F.when(group, draw < F.lit(-(-(n << 31) // counts[kind, label]))).otherwise(taken)
+    df = featured(spans.where(taken).repartition(1).sortWithinPartitions(*order))
+    inputs = VectorAssembler(inputCols=_features(df), outputCol="features", handleInvalid="keep")
+    sample = written(inputs.transform(df).select("features", F.col("valid").cast("double").alias("label")), "pii-sample")
+    rows = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
     weight = F.when(F.col("label") == 1, 1.0 / rows[1.0]).otherwise(1.0 / rows[0.0]) * (sum(rows.values()) / 2)
     # Each class weighs the same: rare kinds of errors count, and the thresholds are set on held-out rows as they are.
     trees = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=7, weightCol="weight", cacheNodeIds=False)
-    model = trees.fit(sample.where(~F.col("held")).withColumn("weight", weight).coalesce(1))
-    p = vector_to_array("probability")[1]
-    held = model.transform(sample.where("held")).groupBy("kind", F.floor(p * 20).cast("int").alias("bucket"))
-    thresholds = _thresholds(held.agg(F.sum("label").alias("good"), F.count(F.lit(1)).alias("n")).collect())
-    limit = F.lit(2.0)
-    for kind, t in thresholds.items():
-        limit = F.when(F.col("kind") == kind, t).otherwise(limit)
-    done = model.transform(inputs.transform(df)).withColumn("score", p)
-    # A checksum or range that fails rules a candidate out, whatever its form.
-    possible = F.col("valid") | ~F.col("kind").isin("card", "ip")
-    return done.select(*spans.columns, "score", (possible & (F.col("score") >= limit)).alias("chosen"))
+    return trees.fit(sample.withColumn("weight", weight).coalesce(1))
+
+
+def _shares(counts: dict, total: int) -> dict:
+    """How many rows of each group to take: as equal as the groups' sizes let them be, ``total`` in all."""
+    out, left = {}, total
+    for i, (group, n) in enumerate(sorted(counts.items(), key=lambda x: (x[1], x[0]))):
+        out[group] = min(n, left // (len(counts) - i))
+        left -= out[group]
+    return out
 
 
 def _thresholds(buckets: list) -> dict[str, float]:
-    """Per kind the smallest lower edge of a bucket from which the precision reaches PRECISION."""
+    """Per kind the smallest lower edge of a bucket from which the precision reaches PRECISION on EVIDENCE rows or more."""
     out: dict[str, float] = {}
     for kind in {b["kind"] for b in buckets}:
         good = n = 0.0
         for b in sorted((b for b in buckets if b["kind"] == kind), key=lambda b: -b["bucket"]):
             good, n = good + b["good"], n + b["n"]
-            if good / n >= PRECISION:
+            if n >= EVIDENCE and good / n >= PRECISION:
                 out[kind] = b["bucket"] / 20
     return out
 
@@ -224,10 +248,7 @@ def chosen_spans(found: DataFrame) -> DataFrame:
     spans = written(candidates(found), "pii-candidates")
     keep = ["_k", "kind", "start", "stop"]
     base = spans.where("base AND valid").select(*keep, F.lit(True).alias("base"))
-    model = scored(spans)
-    if model is None:
-        return base
-    extra = model.where("chosen").where(~(F.col("base") & F.col("valid"))).select(*keep, F.lit(False).alias("base")).distinct()
+    extra = scored(spans).where("chosen").where(~(F.col("base") & F.col("valid"))).select(*keep, F.lit(False).alias("base")).distinct()
     both = base.unionByName(extra)
     rank = F.element_at(F.create_map(*[x for i, k in enumerate(KINDS) for x in (F.lit(k), F.lit(i))]), F.col("kind"))
     order = Window.partitionBy("_k").orderBy("start", F.col("stop").desc(), F.col("base").desc(), rank)

@@ -89,6 +89,31 @@ def test_added_spans(spark):
     assert got[1001] == "" and got[1002].startswith("secret:")
 
 
+def test_rare_kinds_are_found_at_any_size(spark):
+    """A kind with a few candidates among more numbers than the trees learn from is redacted."""
+    numbers = spark.range(pii.TRAIN_ROWS + 10_000).select(F.col("id").alias("doc_id"), F.format_string("lot %d of it", 10_000 + F.col("id")).alias("text"))
+    cards = [(100_000 + i, f"paid with {CARD} on day {i}") for i in range(30)]
+    rare = [(200_000 + i, f"ssn {i + 100}-12-{i + 1000} given") for i in range(3)] + [(300_000, "token = a1b2c3d4e5f6a7b8c9d0"), (300_001, "write to jane [at] mail [dot] org")]
+    got = pii.find_personal_data(numbers.unionByName(spark.createDataFrame(cards + rare, "doc_id long, text string"))).where("spans IS NOT NULL")
+    got = {r["doc_id"]: r["all"] for r in rows(got.withColumn("all", pii.listed(F.col("spans"))))}
+    assert all(got.get(200_000 + i) == "id:4:15" for i in range(3))
+    assert got.get(300_000) == "secret:0:28" and got.get(300_001) == "email:9:33"
+    assert not any(i < 100_000 for i in got)
+
+
+def test_thresholds_need_evidence():
+    def threshold(*counts):
+        return pii._thresholds([{"kind": "id", "bucket": b, "good": g, "n": n} for b, g, n in counts]).get("id")
+
+    assert threshold((19, 1.0, 1)) is None and threshold((19, 10.0, 10), (18, 10.0, 10)) == 0.9
+    assert threshold((19, 50.0, 50), (3, 0.0, 50)) == 0.95
+
+
+def test_training_shares():
+    assert pii._shares({"a": 1, "b": 100, "c": 1000}, 61) == {"a": 1, "b": 30, "c": 30}
+    assert pii._shares({"a": 1, "b": 2}, 61) == {"a": 1, "b": 2}
+
+
 def test_edge_rows(spark):
     df = pii.find_personal_data(edge_docs(spark)).withColumn("own", pii.listed(F.filter("spans", lambda s: s["base"])))
     got = sorted((str(r["doc_id"]), r["own"]) for r in rows(df))
