@@ -59,7 +59,7 @@ MORE = (
     ("ip", r"(?<![0-9.])[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}(?![0-9.])", "0-9"),
     ("card", r"(?<![0-9])[0-9]{4}[ .-]?[0-9]{4}[ .-]?[0-9]{4}[ .-]?[0-9]{1,7}(?![0-9])", "0-9"),
     ("phone", r"(?<![0-9+(-])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\) ?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-][0-9]{4}(?![0-9])", "0-9"),
-    ("secret", r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|(?:password|passwd|token|secret|api[_-]?key) ?[=:] ?\"?[A-Za-z0-9+/_-]{8,64})", "0-9"),
+    ("secret", r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16,}+|(?:password|passwd|token|secret|api[_-]?key) ?[=:] ?\"?[A-Za-z0-9+/_-]{8,}+(?:\.[A-Za-z0-9+/_-]++)*+={0,2}+)", "0-9"),
     ("id", r"(?<![0-9A-Za-z-])(?:[0-9]{3}-[0-9]{2}-[0-9]{4}|[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?)(?![0-9A-Za-z-])", "0-9"),
 )
 OPEN, CLOSE = "\x01", "\x02"

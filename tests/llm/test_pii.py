@@ -101,6 +101,15 @@ def test_rare_kinds_are_found_at_any_size(spark):
     assert not any(i < 100_000 for i in got)
 
 
+def test_long_secrets_go_whole(spark):
+    secrets = ["a1B2" * 50, "x9" * 44, "aB3/" * 30 + "Q==", "h1" * 20 + "." + "p2" * 300 + "." + "s3_-" * 20, "k7" * 100_000]
+    data = [(i, f"token = {s}. Then words") for i, s in enumerate(secrets)] + [(100 + i, f"line {i} of 12345") for i in range(50)]
+    data += [(200, "key AKIA" + "Z9" * 20 + " end"), (201, "token = " + "a1.b2c3d4e5" * 30_000)]
+    got = {r["doc_id"]: r["text"] for r in rows(pii.redact(spark.createDataFrame(data, "doc_id long, text string")))}
+    assert [got[i] for i in range(len(secrets))] == ["[SECRET]. Then words"] * len(secrets)
+    assert got[200] == "key [SECRET] end" and got[100] == "line 0 of 12345"
+
+
 def test_thresholds_need_evidence():
     def threshold(*counts):
         return pii._thresholds([{"kind": "id", "bucket": b, "good": g, "n": n} for b, g, n in counts]).get("id")
