@@ -25,8 +25,8 @@ candidates with a little context and one row per document.
 Defined results
 * null or empty text: no spans; null doc_id: kept as null
 * equal rows (id and text): one result each; rows that share only the id: apart
-* an added span that overlaps a base span or an earlier added span is dropped
-  (earlier: by start, then longer, then kind)
+* an added span that overlaps a base span or an earlier added span that stays is
+  dropped (earlier: by start, then longer, then kind)
 * candidates of one class only: those that pass their full check are added; empty table: no rows
 * very long texts: linear time in each generator; other columns are ignored
 """
@@ -257,9 +257,29 @@ def chosen_spans(found: DataFrame) -> DataFrame:
     after = F.min(F.when(F.col("base"), F.col("start"))).over(back.rowsBetween(Window.unboundedPreceding, -1))
     free = both.withColumn("_before", before(F.when(F.col("base"), F.col("stop")))).withColumn("_after", after)
     free = free.where(F.col("base") | ((F.coalesce("_before", F.lit(0)) <= F.col("start")) & (F.coalesce("_after", F.col("stop")) >= F.col("stop"))))
-    # Of added spans that overlap, the one that comes first stays; a span reached only by a dropped one is dropped, too.
-    free = free.withColumn("_reach", before("stop"))
-    return free.where(F.col("base") | (F.coalesce("_reach", F.lit(0)) <= F.col("start"))).select(*keep, "base")
+    return free.where("base").select(*keep, "base").unionByName(_apart(free.where("NOT base").select(*keep, rank.alias("rank"))))
+
+
+def _apart(spans: DataFrame) -> DataFrame:
+    """(_k, kind, start, stop, base): of added spans that overlap, in order, those that begin where the last one kept has ended."""
+    order = Window.partitionBy("_k").orderBy("start", F.col("stop").desc(), "rank")
+    reach = F.max("stop").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    opens = (F.coalesce(reach, F.lit(0)) <= F.col("start")).cast("int")
+    # A chain: spans each of which overlaps an earlier one; spans of different chains never overlap.
+    chains = spans.withColumn("_opens", opens).withColumn("_chain", F.sum("_opens").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    span = F.struct("start", (-F.col("stop")).alias("back"), "rank", "kind")
+    chains = chains.groupBy("_k", "_chain").agg(F.array_sort(F.collect_list(span)).alias("spans"))
+
+    def step(acc: Column, s: Column) -> Column:
+        fits = s["start"] >= acc["at"]
+        return F.struct(
+            F.when(fits, -s["back"]).otherwise(acc["at"]).alias("at"),
+            F.when(fits, F.concat(acc["kept"], F.array(s))).otherwise(acc["kept"]).alias("kept"),
+        )
+
+    none = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(chains.schema["spans"].dataType).alias("kept"))
+    kept = chains.select("_k", F.inline(F.aggregate("spans", none, step, lambda acc: acc["kept"])))
+    return kept.select("_k", "kind", "start", (-F.col("back")).alias("stop"), F.lit(False).alias("base"))
 
 
 def find_personal_data(docs: DataFrame) -> DataFrame:

@@ -110,6 +110,31 @@ def test_long_secrets_go_whole(spark):
     assert got[200] == "key [SECRET] end" and got[100] == "line 0 of 12345"
 
 
+def test_spans_behind_dropped_ones_stay(spark, monkeypatch):
+    """A span that overlaps only a dropped span is kept."""
+    spans = {
+        "a": [(0, 10, "card"), (5, 20, "phone"), (15, 30, "id")],
+        "b": [(0, 10, "card"), (10, 12, "id"), (11, 20, "id"), (11, 14, "ip"), (20, 21, "ip")],
+        "c": [(3 * i, 3 * i + 4, "id") for i in range(2000)],
+    }
+
+    def greedy(of):
+        out, at = [], 0
+        for start, stop, kind in sorted(of, key=lambda s: (s[0], -s[1], pii.KINDS.index(s[2]))):
+            if start >= at:
+                out.append((start, stop, kind))
+                at = stop
+        return out
+
+    data = [(k, kind, start, stop, False, True, True) for k, of in spans.items() for start, stop, kind in of]
+    df = spark.createDataFrame(data, "_k string, kind string, start long, stop long, base boolean, valid boolean, chosen boolean")
+    monkeypatch.setattr(pii, "candidates", lambda found: df)
+    monkeypatch.setattr(pii, "scored", lambda spans: df)
+    got = pii.chosen_spans(df).collect()
+    for k, of in spans.items():
+        assert sorted((r["start"], r["stop"], r["kind"]) for r in got if r["_k"] == k) == sorted(greedy(of))
+
+
 def test_thresholds_need_evidence():
     def threshold(*counts):
         return pii._thresholds([{"kind": "id", "bucket": b, "good": g, "n": n} for b, g, n in counts]).get("id")
