@@ -22,6 +22,8 @@ Ids come from a vocabulary file in the tokenizers library's format, as that
 library encodes without adding special tokens.  If the file's ids follow its
 merges (byte-level vocabularies do), the same ids are made by tiktoken from the
 file's vocabulary, which is five times as fast; else by the tokenizers library.
+Long texts go to tiktoken in pieces that words don't cross; a piece on which its
+regular expressions give up (about a million blanks in a row) goes to tokenizers.
 
 Defined results
 * null or empty text: the separator alone; repeated rows: each is packed
@@ -32,6 +34,7 @@ Defined results
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -48,6 +51,8 @@ from .common import arrow_schema, read_table, slices
 
 #: Pieces that wait for a place in a task; bytes of text worked on at a time.
 POOL, SLICE_BYTES = 1024, 1 << 20
+#: Characters that tiktoken gets at a time, up to the next place that words don't cross.
+PIECE_CHARS, SAFE_CUT = 1 << 18, re.compile(r"(?<=\w) (?=\w)")
 #: Separator after every document.
 SEPARATOR = 0
 
@@ -155,6 +160,7 @@ class Tokens:
     """Ids of texts as the tokenizers library makes them from one vocabulary file."""
 
     def __init__(self, path: str) -> None:
+        self.path = path
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         vocab, merges = spec["model"]["vocab"], [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
@@ -170,17 +176,46 @@ class Tokens:
             ranks = {bytes(alphabet[c] for c in s): i for s, i in vocab.items() if s not in self.special}
             self.fast, self.slow = tiktoken.Encoding("vocabulary", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=self.special), None
         else:
-            from tokenizers import Tokenizer
-
-            self.fast, self.slow = None, Tokenizer.from_file(path)
-            self.slow.no_truncation()
-            self.slow.no_padding()
+            self.fast, self.slow = None, library(path)
 
     def ids(self, text: str) -> np.ndarray:
         if self.slow is not None:
-            return np.array(self.slow.encode(text, add_special_tokens=False).ids, np.uint32)
+            return _library_ids(self.slow, text)
+        parts = [self._piece(p) for p in self._pieces(text)]
+        return parts[0] if len(parts) == 1 else np.concatenate(parts)
+
+    def _pieces(self, text: str) -> Iterator[str]:
+        """The text in pieces that neither words nor special tokens cross."""
+        at = 0
+        while len(text) - at > PIECE_CHARS and not any(" " in s for s in self.special):
+            cut = SAFE_CUT.search(text, at + PIECE_CHARS)
+            if not cut:
+                break
+            yield text[at : cut.start()]
+            at = cut.start()
+        yield text[at:]
+
+    def _piece(self, text: str) -> np.ndarray:
         allowed = "all" if any(s in text for s in self.special) else set()
-        return self.fast.encode_to_numpy(text, allowed_special=allowed, disallowed_special=()).astype(np.uint32, copy=False)
+        try:
+            return self.fast.encode_to_numpy(text, allowed_special=allowed, disallowed_special=()).astype(np.uint32, copy=False)
+        except ValueError:  # the regular expression's stack is full
+            return _library_ids(library(self.path), text)
+
+
+@lru_cache(maxsize=2)
+def library(path: str):
+    """The vocabulary file in the tokenizers library."""
+    from tokenizers import Tokenizer
+
+    out = Tokenizer.from_file(path)
+    out.no_truncation()
+    out.no_padding()
+    return out
+
+
+def _library_ids(tokenizer, text: str) -> np.ndarray:
+    return np.array(tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
 
 @lru_cache(maxsize=2)

@@ -96,3 +96,17 @@ def test_slow_path_gives_the_same_ids():
     for _ in range(300):
         text = "".join(rng.choice(["a", "the", " ", "\n", "é", "日", "12", "!", "<|endoftext|>", "🙂", "'ll"]) for _ in range(40))
         assert fast.ids(text).tolist() == slow.ids(text).tolist()
+
+
+def test_long_blank_runs(spark):
+    """Runs of blanks that tiktoken gives up on, in texts longer than a piece: the ids of the tokenizers library."""
+    library = Tokenizer.from_file(PATH)
+    words = "some words, <|endoftext|> 12 of it's text 日本 " * 12_000
+    texts = ["x" + " " * 2_000_000 + "y", "\n" * 1_500_000, words + " " * 1_200_000 + words, words]
+    tokens = packing.Tokens(PATH)
+    for t in texts:
+        assert np.array_equal(tokens.ids(t), library.encode(t, add_special_tokens=False).ids)
+    assert len(list(tokens._pieces(words))) > 2 and "".join(tokens._pieces(words)) == words
+    got = rows(packing.pack(spark.createDataFrame(list(enumerate([*texts[:2], "plain"])), "doc_id long, text string"), PATH))
+    for i, t in enumerate([*texts[:2], "plain"]):
+        assert sum(r["length"] for r in got if r["doc_id"] == i) == len(library.encode(t, add_special_tokens=False).ids) + 1
