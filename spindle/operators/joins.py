@@ -120,6 +120,13 @@ def collapse_identical_sets(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     return reps, grp.select("id", "m")
 
 
+def similarity_members(sets: DataFrame) -> DataFrame:
+    """(id, rep): every row and the smallest id among the rows with the same token set (the id that ``similarity_self_join`` reports)."""
+    per = sets.groupBy("id").agg(F.array_sort(F.collect_set("token")).alias("tokens"))
+    per = per.select("id", F.sha2(F.array_join("tokens", "\u0001"), 256).alias("_sig"))
+    return per.join(per.groupBy("_sig").agg(F.min("id").alias("rep")), "_sig").select("id", "rep")
+
+
 def similarity_self_join(sets: DataFrame, threshold: float = 0.6) -> tuple[DataFrame, DataFrame]:
     """#31 exact Jaccard self-join: pairs of distinct token sets with J > threshold.
 
@@ -129,7 +136,8 @@ def similarity_self_join(sets: DataFrame, threshold: float = 0.6) -> tuple[DataF
     the length filter t·n_a ≤ n_b and the positional filter on the first
     shared token (all bounds exact, in integer arithmetic).  Candidates are verified exactly with
     ``array_intersect``.  Identical sets are collapsed first and reported
-    with their multiplicity, so copies never produce quadratic pairs.
+    with their multiplicity, so copies never produce quadratic pairs; ``similarity_members``
+    tells which rows each id stands for.
     Returns (pairs(id_a, id_b, n_common, n_union, jaccard), copies(id, m)).
     """
     num, den = _ratio(threshold)

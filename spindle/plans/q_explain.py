@@ -333,7 +333,7 @@ def q_similar_pairs(spark, sf):
     lab = X.labelled(spark, sf)
     sets = lab.select("id", F.explode(X.T.word_tokens("text")).alias("token")).distinct()
     pairs, _ = J.similarity_self_join(sets, 0.6)
-    r = Q.similar_pairs(_attr(spark, sf), pairs.select("id_a", "id_b"))
+    r = Q.similar_pairs(_attr(spark, sf), pairs.select("id_a", "id_b"), members=J.similarity_members(sets))
     return r.select("method", F.round("mean_r", 6).alias("mean_r"), F.round("median_r", 6).alias("median_r"), "n_pairs")
 
 

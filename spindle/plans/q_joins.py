@@ -84,6 +84,11 @@ def q_similarity_copies(spark, sf):
     return copies.where(F.col("m") >= 2)
 
 
+@query("similarity_members", _SETS + "SELECT p.id, g.id AS rep FROM per p JOIN grp g ON p.tokens = g.tokens")
+def q_similarity_members(spark, sf):
+    return J.similarity_members(_sets(spark, sf))
+
+
 @query("cosine_pairs")
 def q_cosine_pairs(spark, sf):
     e = X.table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"))

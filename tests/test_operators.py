@@ -12,6 +12,7 @@ from spindle.operators import encode as E
 from spindle.operators import joins as J
 from spindle.operators import learn as L
 from spindle.operators import metrics as M
+from spindle.operators import quality as Q
 from spindle.operators import sample as SM
 from spindle.operators import vocab as V
 from spindle.operators import windows as W
@@ -241,3 +242,29 @@ def test_similarity_join_large_sets_brute_force(spark):
     reps = sorted(rep.values())
     want = {(x, y) for x in reps for y in reps if x < y and len(sets[x] & sets[y]) / len(sets[x] | sets[y]) > 0.6}
     assert got == want and len(want) > 20
+
+
+def test_similar_pairs_count_every_row(spark):
+    """Rows with equal word sets are listed with their representative, and every pair of similar rows counts."""
+    import statistics
+
+    texts = {1: "a b c d", 2: "d c b a", 3: "a b c d d", 4: "a b c e d", 5: "x y z", 6: "x y z", 7: "x y z", 8: "q r s t"}
+    sets = {i: set(t.split()) for i, t in texts.items()}
+    df = spark.createDataFrame([(i, w) for i, s in sets.items() for w in s], "id long, token string")
+    members = J.similarity_members(df)
+    assert {(r["id"], r["rep"]) for r in members.collect()} == {(i, min(j for j in sets if sets[j] == sets[i])) for i in sets}
+    pairs, _ = J.similarity_self_join(df, 0.6)
+    score = {i: [len(w) + ord(w) % 5 + n * n * 0.5 + (i % 2) * (n == 1) for n, w in enumerate(t.split())] for i, t in texts.items()}
+    attr = spark.createDataFrame([("m", i, 0, n, w, float(score[i][n])) for i, t in texts.items() for n, w in enumerate(t.split())], "method string, id long, rep int, pos int, token string, score double")
+    vec = {}
+    for r in Q._rank_vectors(attr, ["id"]).orderBy("id", "rank").collect():
+        vec.setdefault(r["id"], []).append(r["score"])
+    want = []
+    for a in sets:
+        for b in sets:
+            if a < b and len(sets[a] & sets[b]) > 0.6 * len(sets[a] | sets[b]):
+                n = max(len(vec[a]), len(vec[b]))
+                want.append(statistics.correlation(*[v + [0.0] * (n - len(v)) for v in (vec[a], vec[b])]))
+    got = Q.similar_pairs(attr, pairs.select("id_a", "id_b"), members=members).collect()[0]
+    assert len(want) == 9 and got["n_pairs"] == 9
+    assert abs(got["mean_r"] - statistics.fmean(want)) < 1e-9 and abs(got["median_r"] - statistics.median(want)) < 1e-9
