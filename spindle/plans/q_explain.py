@@ -22,6 +22,8 @@ from .q_models import LOG_ODDS, scorer
 from .registry import query
 
 REPS, SAMPLES, SEED = 2, 16, 42
+#: Perturbed copies of each row for the Lipschitz constants, as in the reference's evaluate_fairness.
+PERTURBATIONS = 10
 KEY = ["id"]
 
 
@@ -300,7 +302,7 @@ def q_score_report(spark, sf):
 
 # --- quality metrics without an oracle (perturbation re-explanation, similarity pairs) ------------
 
-def _variants(spark, sf, n_pert: int = 3):
+def _variants(spark, sf, n_pert: int):
     """Token tables of the labelled rows: variant 0 = original, 1..n = keep-90 % perturbations."""
     lab, w, prior = scorer(spark, sf)
     tok = lab.select("id", F.posexplode(X.T.word_tokens("text")).alias("pos", "token"))
@@ -323,7 +325,7 @@ def q_stability(spark, sf):
 
 @query("q_lipschitz")
 def q_lipschitz(spark, sf):
-    tw, attr = _variants(spark, sf, 3)
+    tw, attr = _variants(spark, sf, PERTURBATIONS)
     lip = Q.lipschitz(attr, tw, KEY)
     return lip.groupBy("method").agg(F.round(F.avg("lip"), 6).alias("lipschitz"), F.count(F.lit(1)).alias("n"))
 
@@ -339,7 +341,7 @@ def q_similar_pairs(spark, sf):
 
 def _fairness(spark, sf):
     _, _, prior, tw, logits = _setup(spark, sf)
-    tw_v, attr_v = _variants(spark, sf, 3)
+    tw_v, attr_v = _variants(spark, sf, PERTURBATIONS)
     attr = attr_v.where("variant = 0").drop("variant")
     tw0 = tw_v.where("variant = 0").drop("variant")
     fr = Q.faithfulness_rows(attr, tw0, logits, KEY)

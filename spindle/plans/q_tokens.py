@@ -180,6 +180,14 @@ def q_vocab_from_merges(spark, sf):
     return V.vocab_from_merges(spark, _atoms(spark, sf), merges)
 
 
+@query("vocab_from_learned_merges")
+def q_vocab_from_learned_merges(spark, sf):
+    from ..operators.learn import learn_merges
+
+    merges, _ = learn_merges(spark, _word_freq(spark, sf), 50)
+    return V.vocab_from_merges(spark, _atoms(spark, sf), merges)
+
+
 @query(
     "vocab_from_model",
     S.with_(S.TOKENS, SPECIALS_SQL)

@@ -16,6 +16,7 @@ from spindle.operators import quality as Q
 from spindle.operators import sample as SM
 from spindle.operators import vocab as V
 from spindle.operators import windows as W
+from spindle.sources import fixtures as X
 from spindle.sources import io as IO
 
 
@@ -268,3 +269,29 @@ def test_similar_pairs_count_every_row(spark):
     got = Q.similar_pairs(attr, pairs.select("id_a", "id_b"), members=members).collect()[0]
     assert len(want) == 9 and got["n_pairs"] == 9
     assert abs(got["mean_r"] - statistics.fmean(want)) < 1e-9 and abs(got["median_r"] - statistics.median(want)) < 1e-9
+
+
+def test_lipschitz_queries_use_ten_perturbations(monkeypatch):
+    """The number that the reference's evaluate_fairness passes."""
+    from spindle.plans import q_explain as P
+
+    class Seen(Exception):
+        pass
+
+    def variants(spark, sf, n):
+        raise Seen(n)
+
+    monkeypatch.setattr(P, "_variants", variants)
+    monkeypatch.setattr(P, "_setup", lambda spark, sf: [None] * 5)
+    for query in (P.q_lipschitz, P.q_fairness, P.q_fairness_report):
+        with pytest.raises(Seen, match="^10$"):
+            query(None, None)
+
+
+def test_vocab_of_learned_merges_holds_longer_tokens(spark):
+    from spindle.plans.registry import all_queries
+
+    vocab = [r["token"] for r in all_queries()["vocab_from_learned_merges"](spark, "/root/testdata/sf0.001").collect()]
+    merges, _ = L.learn_merges(spark, L.word_freq(X.tokens(X.corpus(spark, "/root/testdata/sf0.001"), words_only=True)), 50)
+    assert {r["left"] + r["right"] for r in merges.collect()} <= set(vocab)
+    assert any(len(t) > 2 and t.isalpha() for t in vocab)
