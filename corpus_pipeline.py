@@ -6,7 +6,8 @@ documents that stay.  ``run`` writes each stage's result as Parquet under the
 checkpoint folder and reads it again for the next one.
 
 Defined results: a document with a null or empty text fails the base rules and
-goes; of rows that repeat a doc_id one stays; rows with a null doc_id are
+goes; of rows that repeat a doc_id and text one stays, rows that share only the
+doc_id are judged each by its own text; rows with a null doc_id are
 linked with nothing and stay; further columns are carried along.
 """
 
@@ -38,9 +39,10 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: the one with the smallest id."""
     prepare(spark)
-    stay = neardup.near_duplicates(docs).where("kept").select("doc_id").distinct()
-    known = docs.join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return known.unionByName(docs.where(F.col("doc_id").isNull())).select(*docs.columns)
+    keyed = row_key(docs, key="_dup_key")
+    stay = neardup.near_duplicates(keyed.select("doc_id", "text", "_dup_key"), ("_dup_key",)).where("kept").select("_dup_key").distinct()
+    known = keyed.join(stay, "_dup_key", "left_semi").dropDuplicates(["_dup_key"])
+    return known.select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

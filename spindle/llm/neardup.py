@@ -152,9 +152,10 @@ def fingerprint(hashes: np.ndarray) -> bytes:
     return np.array([hashes.sum(dtype=np.uint64), _mixed(hashes + np.uint64(0x9E3779B97F4A7C15)).sum(dtype=np.uint64)], np.uint64).tobytes()
 
 
-def sketches(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, fp, sketch) of every row."""
-    schema = arrow_schema(SKETCHES)
+def sketches(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, n_shingles, fp, sketch) of every row, and the string columns ``carry``."""
+    out = T.StructType([*SKETCHES, *[T.StructField(c, T.StringType()) for c in carry]])
+    schema = arrow_schema(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text", SLICE_BYTES):
@@ -164,9 +165,9 @@ def sketches(docs: DataFrame) -> DataFrame:
                 n.append(len(h))
                 fps.append(fingerprint(h))
                 regs.append(sketch(h).tobytes() if len(h) else None)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(fps, pa.binary()), pa.array(regs, pa.binary())], schema=schema)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(fps, pa.binary()), pa.array(regs, pa.binary()), *b.columns[2:]], schema=schema)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SKETCHES)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *carry).mapInArrow(run, out)
 
 
 def _texts(docs: DataFrame, ids: DataFrame, name: str) -> DataFrame:
@@ -238,9 +239,9 @@ def _confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, out)
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, kept."""
-    rows = written(sketches(docs), "neardup-sketches")
+def near_duplicates(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id, kept, and its string columns ``carry``."""
+    rows = written(sketches(docs, carry), "neardup-sketches")
     full = rows.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = written(
         full.groupBy("fp", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch")).withColumnRenamed("n_shingles", "n"), "neardup-classes"
@@ -264,8 +265,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         found = components(links.unionByName(new))
     classes = classes.select("fp", F.col("n").alias("n_shingles"), "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left")
     named = classes.select("fp", "n_shingles", F.coalesce("component", F.col("rep")).alias("component_id"))
-    linked = full.select("doc_id", "n_shingles", "fp").join(named, ["fp", "n_shingles"]).select("doc_id", "n_shingles", "component_id")
-    alone = rows.where("n_shingles = 0 OR doc_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    linked = full.select("doc_id", "n_shingles", "fp", *carry).join(named, ["fp", "n_shingles"]).select("doc_id", "n_shingles", "component_id", *carry)
+    alone = rows.where("n_shingles = 0 OR doc_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), *carry)
     return linked.unionByName(alone).withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 

@@ -115,3 +115,12 @@ def test_edge_rows(spark, folder):
         corpus_pipeline.STAGES[-1][1](spark, docs, folder).collect()
     one = rows(corpus_pipeline.near_duplicates(spark, edge_docs(spark), folder))
     assert sorted(r["doc_id"] for r in one if r["doc_id"] is not None) == list(range(1, 9))
+
+
+def test_repeated_ids_with_other_texts(spark, folder):
+    """Of two texts with one id, the copy of another document goes and the unique one stays."""
+    copied = [(i, " ".join(f"copy{i}w{j}" for j in range(60))) for i in range(12)]
+    unique = [(100 + i, " ".join(f"own{i}v{j}" for j in range(60))) for i in range(12)]
+    data = copied + unique + [(100 + i, t) for i, t in copied] + unique[:3]
+    got = rows(corpus_pipeline.near_duplicates(spark, spark.createDataFrame(data, "doc_id long, text string"), folder))
+    assert sorted((r["doc_id"], r["text"]) for r in got) == sorted(copied + unique)
