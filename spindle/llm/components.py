@@ -29,13 +29,15 @@ def components(edges: DataFrame) -> DataFrame:
     is collected) until the edges don't change; a number of rounds in the
     order of the logarithm of the longest path.  Every round is written to the
     checkpoint folder.  Self-loops, repeated edges and both directions are
-    fine; no edges: no rows.
+    fine, ids may be any long; no edges: no rows.
     """
     e = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct()
+    # Order-free sums of hashes; ids themselves would overflow a long.
+    trace = [F.sum((F.xxhash64(F.lit(i), "a", "b") % 2_147_483_647).cast("decimal(38,0)")) for i in range(2)]
     before = None
     while True:
         e = written(_small_star(_large_star(e)), "components")
-        now = tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b") % 1_000_000_007), F.sum("b")).first())
+        now = tuple(e.agg(F.count(F.lit(1)), *trace).first())
         if now == before or not now[0]:
             return e.select(F.col("a").alias("node"), F.col("b").alias("component"))
         before = now

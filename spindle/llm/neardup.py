@@ -21,7 +21,9 @@ about their Jaccard similarity.
    quarter of the set and one more, by document frequency).  Only pairs of
    different components count, and a shingle of one large component and a few
    other classes meets those few only, so a group of copies that hangs
-   together never gives all its pairs, and no link is lost.
+   together never gives all its pairs, and no link is lost.  Sizes and the
+   shingle's places decide before the join which sets may meet, so documents of
+   one template that stay below the threshold don't pair on its shingles.
 
 A band of 4 registers agrees with probability 0.75^4 for two sets at the
 threshold; all 40 bands miss such a pair with probability 2.5e-7.
@@ -29,7 +31,7 @@ threshold; all 40 bands miss such a pair with probability 2.5e-7.
 Defined results
 * null, empty or blank text: an empty set, size 0, linked with nothing
 * fewer than five words: the whole sequence is the one shingle
-* equal rows: one class; a repeated doc_id: one node; null doc_id: linked with nothing, null component and kept
+* equal rows: one class; a repeated doc_id: one node, which joins the classes of all its texts; null doc_id: linked with nothing, null component and kept
 * very long texts: linear, in pieces; empty table: no rows; other columns are ignored
 """
 
@@ -252,7 +254,7 @@ def near_duplicates(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     shared = keys.groupBy("key").agg(F.min("rep").alias("centre"), F.max("rep").alias("other")).where("centre < other").select("key", "centre")
     members = written(keys.join(shared, "key").select("key", "rep", "centre"), "neardup-buckets")
     pairs = members.where("rep <> centre").select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct()
-    links = written(_confirmed(_likely(pairs, classes), docs), "neardup-links")
+    links = written(_confirmed(_likely(pairs, classes), docs).unionByName(_same_ids(full, classes)), "neardup-links")
     found = components(links)
     label = F.coalesce("component", F.col("rep")).alias("component")
     placed = members.select("key", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", label)
@@ -270,6 +272,13 @@ def near_duplicates(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     return linked.unionByName(alone).withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 
+def _same_ids(full: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links (a, b) from every id that stands in several classes to the smallest ids of these."""
+    several = full.groupBy("doc_id").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo < hi").select("doc_id")
+    placed = full.join(several, "doc_id", "left_semi").select("doc_id", "fp", F.col("n_shingles").alias("n")).distinct()
+    return placed.join(classes.select("fp", "n", "rep"), ["fp", "n"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+
+
 def _shingles(left: DataFrame, docs: DataFrame) -> DataFrame:
     """(rep, component, n, h): every shingle of the open classes."""
     texts = left.join(_texts(docs, left.select("rep"), "rep"), "rep").select("rep", "component", "n", "fp", "text")
@@ -304,12 +313,20 @@ def _exact_pairs(left: DataFrame, docs: DataFrame) -> DataFrame:
         .where("n_components > 1")
     )
     x = prefix.join(largest.select("h", "largest"), "h")
-    few = x.where("component <> largest").select("h", *[F.col(c).alias(f"{c}_x") for c in ("rep", "component", "n", "place")])
-    # The shared shingle and what can follow it in both sets bound the intersection.
-    reach = 1 + F.least(F.col("n_x") - F.col("place_x"), F.col("n") - F.col("place"))
-    enough = (100 + PERCENT) * reach >= PERCENT * (F.col("n_x") + F.col("n"))
-    met = few.join(x, "h").where((F.col("component_x") != F.col("component")) & _fits("n_x", "n") & enough)
-    pairs = met.select(F.least("rep", "rep_x").alias("a"), F.greatest("rep", "rep_x").alias("b")).distinct()
+    # The shared shingle and what follows it bound the intersection, so a partner has at most ``most`` shingles,
+    # and of two sets that link at least one can have a partner of its own size ("wide").  Two narrow ones, as
+    # in a family of one template below the threshold, never meet.  Sizes in bands of a third meet their neighbours.
+    most = F.floor((100 + PERCENT) * (1 + F.col("n") - F.col("place")) / PERCENT) - F.col("n")
+    x = x.withColumn("most", most).withColumn("wide", F.col("most") >= F.col("n")).withColumn("band", F.floor(F.log(F.col("n")) / F.log(F.lit(100 / PERCENT))))
+    few = F.col("component") != F.col("largest")
+    near = F.explode(F.array(*[F.col("band") + i for i in (-1, 0, 1)])).alias("band")
+    x_side = lambda rows: rows.select("h", near, *[F.col(c).alias(f"{c}_x") for c in ("rep", "component", "n", "most")])
+    both = (F.col("component_x") != F.col("component")) & (F.col("n") <= F.col("most_x")) & (F.col("n_x") <= F.col("most"))
+    met = [
+        x_side(x.where(few & F.col("wide"))).join(x, ["h", "band"]),
+        x_side(x.where(few & ~F.col("wide"))).join(x.where("wide"), ["h", "band"]),
+    ]
+    pairs = met[0].unionByName(met[1]).where(both & _fits("n_x", "n")).select(F.least("rep", "rep_x").alias("a"), F.greatest("rep", "rep_x").alias("b")).distinct()
     side = lambda c: left.select(F.col("rep").alias(c), F.col("fp").alias(f"fp_{c}"))
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "fp_a", "fp_b")
 

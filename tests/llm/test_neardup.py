@@ -107,3 +107,32 @@ def test_components(spark):
     got = {r["node"]: r["component"] for r in rows(components(spark.createDataFrame(edges, "a long, b long")))}
     assert got == {i: 0 for i in [*range(1, 51), 100, 200, 201]}
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_ids_at_both_ends_of_long(spark):
+    """Ids whose sums would overflow, negative ones too."""
+    texts = [t for _, t in groups(4)][:90]
+    ids = [2**63 - 1 - i for i in range(45)] + [-(2**63) + i for i in range(45)]
+    data = list(zip(ids, texts))
+    assert result(spark.createDataFrame(data, "doc_id long, text string")) == brute(data)
+
+
+def test_ids_in_several_classes(spark):
+    """A repeated id joins the classes of all its texts."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    data = [(5, a), (9, a), (9, c), (11, c), (20, b), (21, b), (21, c), (30, "a b")]
+    got = result(spark.createDataFrame(data, "doc_id long, text string"))
+    assert got == brute(data)
+    assert {r[0]: r[2] for r in got} == {5: 5, 9: 5, 11: 5, 20: 5, 21: 5, 30: 30}
+
+
+def test_template_families_dont_pair(spark):
+    """Documents of one template below the threshold: no pair is made of two that can't link, and links stay."""
+    rng = random.Random(6)
+    template = [f"t{i}" for i in range(160)]
+    data = [(i, " ".join(template + [f"own{i}x{k}" for k in range(36)])) for i in range(120)]
+    data += [(500 + i, " ".join(template[: 120 + i])) for i in range(20)]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    assert result(df) == brute(data)
+    left = spark.createDataFrame([(i, i, len(shingles(t)), N.fingerprint(N.shingle_set(t))) for i, t in data[:120]], "rep long, component long, n long, fp binary")
+    assert N._exact_pairs(left, df).count() == 0
