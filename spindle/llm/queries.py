@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, crf, licences, neardup, packing, pii, rules, topk, warc
+from . import alignment, bpe, chat, crf, licences, neardup, packing, pii, rules, simhash, topk, trie, warc
 
 _QUERIES = {
     "op1_topk_search": topk.op1_topk_search,
@@ -19,12 +19,16 @@ _QUERIES = {
     "op8_host_rules": rules.op8_host_rules,
     "op9_personal_data": pii.op9_personal_data,
     "op10_pack_documents": packing.op10_pack_documents,
+    "op11_pair_bitmaps": alignment.op11_pair_bitmaps,
+    "op12_simhash_blocks": simhash.op12_simhash_blocks,
+    "op13_prefix_trie": trie.op13_prefix_trie,
 }
 _ORACLES = {
     "op1_topk_search": topk.OP1_SQL,
     "op2_licence_scan": licences.OP2_SQL,
     "op4_chat_format": chat.OP4_SQL,
     "op8_host_rules": rules.OP8_SQL,
+    "op13_prefix_trie": trie.OP13_SQL,
 }
 
 

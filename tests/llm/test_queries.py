@@ -17,6 +17,9 @@ COLUMNS = {
     "op8": "doc_id bigint, n_words bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, base_failed boolean, kept boolean",
     "op9": "doc_id bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string",
     "op10": "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint",
+    "op11": "doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, n_best bigint, count_sum bigint, groups_sha256 string",
+    "op12": "doc_id bigint, fingerprint string, component_id bigint",
+    "op13": "conv_id bigint, depth bigint, parent_conv_id bigint, n_convs bigint, n_children bigint, n_leaves bigint, saved_tokens bigint, ends_sha256 string",
 }
 
 
@@ -40,5 +43,5 @@ def test_query(spark, name):
         assert sorted(names) == sorted(df.columns)
         want = sorted(repr([norm(x) for x in r]) for r in cur.fetchall())
         assert sorted(repr([norm(r[c]) for c in names]) for r in got) == want
-    elif name.split("_")[0] in ("op3", "op5", "op6", "op9"):
+    elif name.split("_")[0] in ("op3", "op5", "op6", "op9", "op11", "op12"):
         assert len(got) == spark.read.parquet(f"{SF}/documents.parquet").count()
