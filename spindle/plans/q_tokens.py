@@ -174,7 +174,7 @@ firsts AS (SELECT token, min(struct_pack(tier := tier, ord := ord)) AS k FROM ti
 SELECT token, CAST(row_number() OVER (ORDER BY k.tier, k.ord, token) - 1 AS INTEGER) AS id FROM firsts""",
 )
 def q_vocab_from_merges(spark, sf):
-    from ..operators.learn import pair_counts
+    from ..operators.merges import pair_counts
 
     merges = pair_counts(_word_freq(spark, sf)).orderBy(F.col("n").desc(), "left", "right").limit(50)
     return V.vocab_from_merges(spark, _atoms(spark, sf), merges)
@@ -182,7 +182,7 @@ def q_vocab_from_merges(spark, sf):
 
 @query("vocab_from_learned_merges")
 def q_vocab_from_learned_merges(spark, sf):
-    from ..operators.learn import learn_merges
+    from ..operators.merges import learn_merges
 
     merges, _ = learn_merges(spark, _word_freq(spark, sf), 50)
     return V.vocab_from_merges(spark, _atoms(spark, sf), merges)

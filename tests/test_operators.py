@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from spindle.functions import text as T
 from spindle.operators import encode as E
 from spindle.operators import joins as J
-from spindle.operators import learn as L
+from spindle.operators import merges as L
 from spindle.operators import metrics as M
 from spindle.operators import quality as Q
 from spindle.operators import sample as SM
@@ -65,44 +65,6 @@ def test_midrank_ties_and_running_sum_spread_over_partitions(spark):
     assert [row["id"] for row in idx] == list(range(30))
 
 
-def test_learn_merges_matches_plain_python(spark):
-    words = {"lower": 5, "low": 7, "newest": 6, "widest": 3, "aaa": 4, "aaaa": 2}
-    wf = spark.createDataFrame(list(words.items()), "word string, freq long")
-    for cont in (False, True):
-        merges, final = L.learn_merges(spark, wf, 12, continuation=cont)
-        got = [(r["left"], r["right"], r["n"]) for r in merges.orderBy("rank").collect()]
-        assert got == L.reference_bpe(words, 12, continuation=cont)
-        if not cont:
-            ranks = {(r["left"], r["right"]): r["rank"] for r in merges.collect()}
-            for r in final.collect():
-                assert L.bpe_segment(r["word"], ranks) == r["seq"].split(" ")
-
-
-def test_learn_stops_below_min_frequency(spark):
-    wf = spark.createDataFrame([("ab", 1), ("cd", 1)], "word string, freq long")
-    merges, _ = L.learn_merges(spark, wf, 5, min_frequency=2)
-    assert merges.count() == 0
-
-
-def test_apply_merges_and_wordpiece_and_viterbi(spark):
-    tok = spark.createDataFrame([(1, 0, "lowest"), (2, 0, "low"), (2, 1, "xyz")], "id long, pos int, token string")
-    merges = spark.createDataFrame([(1, "l", "o", "lo", 9), (2, "lo", "w", "low", 8)], "rank int, left string, right string, merged string, n long")
-    seg = {r["token"]: r["pieces"] for r in L.apply_merges(tok, merges).collect()}
-    assert seg["lowest"] == ["low", "e", "s", "t"] and seg["xyz"] == ["x", "y", "z"]
-    assert L.wordpiece_segment("unaffable", {"un", "##aff", "##able", "##a"}) == ["un", "##aff", "##able"]
-    assert L.wordpiece_segment("xyz", {"x"}) == ["[UNK]"]
-    pieces, _ = L.viterbi_segment("abcab", {"ab": 1.0, "c": 1.0, "abc": 5.0}, 3, 10.0)
-    assert pieces == ["ab", "c", "ab"]
-
-
-def test_unigram_lexicon_is_bounded(spark):
-    wf = spark.createDataFrame([("banana", 5), ("bandana", 3), ("ban", 4)], "word string, freq long")
-    lex = L.learn_unigram_lexicon(spark, wf, n_types=5, max_len=4, epochs=2)
-    rows = lex.collect()
-    assert sum(1 for r in rows if len(r["morph"]) > 1) <= 5
-    assert all(r["cost"] >= 0 for r in rows)
-
-
 def test_similarity_join_matches_brute_force(spark):
     rnd = random.Random(7)
     vocab = [f"w{i}" for i in range(30)]
