@@ -74,8 +74,11 @@ def edges(words: DataFrame, keys: DataFrame, continuation: str = "") -> DataFram
     return rows.join(keys.select("key").distinct(), "key", "left_semi").select("word", "start", "length", "key")
 
 
-def _per_word(rows: DataFrame, fields: list[str], schema: str, fn: Callable[..., list[tuple]], extra: list[Column] = ()) -> DataFrame:
-    """``fn(word, edges, *extra)`` of every word's edges (tuples of ``fields``), its results as rows of ``schema``."""
+def _per_word(rows: DataFrame, fields: list[str], schema: str, fn: Callable[..., list[tuple]], extra: list[Column] = (), add: bool = False) -> DataFrame:
+    """``fn(word, edges, *extra)`` of every word's edges (tuples of ``fields``), its results as rows of ``schema``.
+
+    ``add``: the results are pairs of a key and a number, which are summed up by key batch by batch.
+    """
     grouped = rows.groupBy("word").agg(F.collect_list(F.struct(*fields)).alias("edges"), *extra)
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
@@ -85,8 +88,17 @@ def _per_word(rows: DataFrame, fields: list[str], schema: str, fn: Callable[...,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             made = []
-            for word, found, *more in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                made += fn(word, [tuple(e.values()) for e in found], *more)
+            places = b.column(1).offsets.to_pylist()
+            found = list(zip(*(x.to_pylist() for x in b.column(1).flatten().flatten()), strict=True))
+            offset = places[0]
+            words, *others = (b.column(i).to_pylist() for i in range(b.num_columns) if i != 1)
+            for i, word in enumerate(words):
+                made += fn(word, found[places[i] - offset : places[i + 1] - offset], *(x[i] for x in others))
+            if add:
+                sums: dict = {}
+                for key, x in made:
+                    sums[key] = sums.get(key, 0.0) + x
+                made = list(sums.items())
             if made:
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*made, strict=True), out, strict=True)], schema=out)
 
@@ -145,7 +157,7 @@ def expected_counts(graph: DataFrame, lexicon: DataFrame) -> DataFrame:
         return [(m, freq * x) for m, x in counts.items()] + [(None, freq * cost)]
 
     rows = graph.join(lexicon.select("morph", "cost"), "morph")
-    sums = _per_word(rows, ["start", "length", "morph", "cost"], "morph string, expected double", fn, [F.first("freq").alias("freq")])
+    sums = _per_word(rows, ["start", "length", "morph", "cost"], "morph string, expected double", fn, [F.first("freq").alias("freq")], add=True)
     return sums.groupBy("morph").agg(F.sum("expected").alias("expected"))
 
 
