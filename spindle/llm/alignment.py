@@ -3,7 +3,8 @@
 Two tokenizers cut the same bytes.  An occurrence of a token of A and one of B
 are linked if their byte ranges overlap; between two neighbouring ends of
 either tokenizer's tokens lies exactly one link.  Places where tokens of both
-end cut a document into groups.
+end cut a document into groups.  Single spaces between words are such places,
+so a task encodes and aligns each different word once (``Aligner``).
 
 1. Tasks number their documents: chunks of at most ``CHUNK_DOCS`` documents (and
    about ``CHUNK_BYTES`` of text) and the place in the chunk.  For every id
@@ -36,6 +37,7 @@ import json
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -48,6 +50,10 @@ from .common import arrow_schema, read_table, slices, written
 from .packing import PIECE_CHARS, SAFE_CUT
 
 CHUNK_DOCS, CHUNK_BYTES, SLICE_BYTES = 1 << 16, 8 << 20, 1 << 20
+#: What a worker remembers of segments, about, before it forgets them all (between chunks).
+KNOWN_BYTES = 128 << 20
+#: A place that no token of either tokenizer crosses: a space between two visible characters.
+_CUT, _BLANKS = re.compile(r"(?<=\S) (?=\S)"), re.compile(r" \s|\s ")
 
 
 class ByteBpe:
@@ -98,6 +104,12 @@ def _by_id(vocab: dict[bytes, int]) -> list[bytes]:
     return out
 
 
+def _segments(text: str) -> list[str]:
+    if text[0] == " " or text[-1] == " " or _BLANKS.search(text):
+        return _CUT.split(text)
+    return text.split(" ")  # every space is a cut
+
+
 def _pieces(text: str) -> Iterator[str]:
     """Pieces of a text that its words don't cross."""
     at = 0
@@ -123,47 +135,90 @@ def _tokenizer(kind: type, path: str):
     return kind(path)
 
 
-def _digits(n: int, *after: bytes) -> list[bytes]:
-    """Decimal ids, each followed by one of ``after``: entry id * len(after) + i."""
-    return [str(i).encode() + a for i in range(n) for a in after]
-
-
 class Aligner:
-    """Both tokenizers of a task, with the byte lengths and decimal strings of their ids."""
+    """Both tokenizers of a worker, and what they make of the segments met so far.
+
+    A text is cut at single spaces between two visible characters.  No word of A's pattern and, as the constructor
+    asserts, no piece of B crosses such a place, so both tokenizers have an end there and a segment (with the space
+    before it) gives the same tokens, groups and links wherever it stands.  Segments are numbered; ``n_a``, ``n_b``,
+    ``n_groups``, ``n_links`` hold their counts, ``names`` their groups as text, and ``links[first[i]:first[i + 1]]`` their
+    linked pairs (a times the size of B's vocabulary, plus b).
+    """
 
     def __init__(self, path_a: str, path_b: str) -> None:
         self.a, self.b = _tokenizer(ByteBpe, path_a), _tokenizer(PieceBpe, path_b)
         self.len_a, self.len_b = (np.array([len(s) for s in t.table], np.int64) for t in (self.a, self.b))
-        n_a = len(self.len_a)
-        self.names = _digits(n_a, b",", b"|") + _digits(len(self.len_b), b",", b";")
-        self.first_b = 2 * n_a
-
-    def tokens(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Ids of A and B for every text; both empty where a tokenizer doesn't give the text back."""
-        full = [t for t in texts if t]
-        found = iter(zip(full, self.a.encode([" " + t for t in full]), self.b.encode(full), strict=True)) if full else iter(())
-        none = np.empty(0, np.int64)
-        out = []
-        for t in texts:
-            if not t:
-                out.append((none, none))
-                continue
-            _, a, b = next(found)
-            raw = b" " + t.encode("utf-8", "surrogatepass")
-            same = all(b"".join(map(x.table.__getitem__, ids.tolist())) == raw for x, ids in ((self.a, a), (self.b, b)))
-            out.append((a, b) if same else (none, none))
-        return out
-
-    def align(self, a: np.ndarray, b: np.ndarray) -> tuple[int, str, np.ndarray]:
-        """Number of groups, their digest, and the linked pairs (a times the size of B's vocabulary, plus b), one entry a link."""
-        if not len(a):
-            return 0, "", np.empty(0, np.int64)
+        self.n_pairs_b = len(self.len_b)
+        self.cuts = not any(re.search("[^ ] ", s.decode("utf-8", "replace")) for s in self.b.table)
+        n_a, n_b = len(self.len_a), len(self.len_b)
+        # Decimal ids and what follows them: entry 2 * id inside a group, 2 * id + 1 at the end of its half.
+        self.digits = [str(i) + c for i in range(n_a) for c in ",|"] + [str(i) + c for i in range(n_b) for c in ",;"]
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict = {}
+        self.bad: set = set()
+        self.names, self.bytes = [], 0
+        self.n_a, self.n_b, self.n_groups, self.n_links, self.links = ([] for _ in range(5))
+
+    def numbers(self, texts: list[str | None]) -> list[np.ndarray]:
+        """The segments of every text, by number; none for one that a tokenizer doesn't give back."""
+        split = [(_segments(t) if self.cuts else [(t,)]) if t else [] for t in texts]
+        self._add(split)
+        if self.bad:
+            # A text with a segment that doesn't come back is encoded whole: only that tells.
+            split = [x if self.bad.isdisjoint(x) else [(t,)] for x, t in zip(split, texts, strict=True)]
+            self._add(split)
+        found = [np.fromiter(map(self.known.__getitem__, segments), np.int64, len(segments)) for segments in split]
+        return [x[:0] if self.bad and not self.bad.isdisjoint(segments) else x for x, segments in zip(found, split, strict=True)]
+
+    def _add(self, split: list[list]) -> None:
+        """Encode and align new segments.  Those that start and end with a visible character go through the tokenizers
+        as one text, spaces between them, since no token crosses these; others go alone."""
+        new = [x for x in dict.fromkeys(chain.from_iterable(split)) if x not in self.known]
+        joined = [x for x in new if isinstance(x, str) and not (x[0].isspace() or x[-1].isspace())]
+        self._encode(joined)
+        for x in new:
+            if x not in self.known:
+                self._encode([x])
+
+    def _encode(self, keys: list) -> None:
+        if not keys:
+            return
+        text = " ".join(x if isinstance(x, str) else x[0] for x in keys)
+        raw = (" " + text).encode("utf-8", "surrogatepass")
+        (a,), (b,) = self.a.encode([" " + text]), self.b.encode([text])
+        good = all(b"".join(map(x.table.__getitem__, ids.tolist())) == raw for x, ids in ((self.a, a), (self.b, b)))
+        if not good and len(keys) > 1:
+            self._encode(keys[: len(keys) // 2])
+            self._encode(keys[len(keys) // 2 :])
+            return
+        at = len(self.known)
+        self.known.update(zip(keys, range(at, at + len(keys)), strict=True))
+        self.bytes += len(raw) + 300 * len(keys)
+        if not good:
+            self.bad.update(keys)
+            self.names.append("")
+            for have in (self.n_a, self.n_b, self.n_groups, self.n_links):
+                have.append(np.zeros(1, np.int64))
+            return
+        stop = np.cumsum([len(x.encode("utf-8", "surrogatepass")) + 1 for x in keys]) if len(keys) > 1 else np.array([len(raw)])
+        *counted, links, names = self._align(a, b, stop)
+        self.names += names
+        self.bytes += 8 * len(links)
+        for have, more in zip((self.n_a, self.n_b, self.n_groups, self.n_links, self.links), (*counted, links), strict=True):
+            have.append(more)
+
+    def _align(self, a: np.ndarray, b: np.ndarray, stop: np.ndarray) -> tuple:
+        """Tokens of A and B, groups and links of the segments that end at the bytes ``stop``, the links, the groups as text."""
         end_a, end_b = np.cumsum(self.len_a[a]), np.cumsum(self.len_b[b])
         cuts = np.concatenate([end_a, end_b])
         cuts.sort(kind="stable")
-        both = cuts[1:][cuts[1:] == cuts[:-1]]  # an end is at most once in each
-        ends = np.concatenate([cuts[:-1][cuts[1:] != cuts[:-1]], cuts[-1:]])
-        links = a[np.searchsorted(end_a, ends)] * len(self.len_b) + b[np.searchsorted(end_b, ends)]
+        twice = cuts[1:] == cuts[:-1]  # an end is at most once in each
+        both, ends = cuts[1:][twice], np.concatenate([cuts[:-1][~twice], cuts[-1:]])
+        links = a[np.searchsorted(end_a, ends)] * self.n_pairs_b + b[np.searchsorted(end_b, ends)]
+        per_segment = lambda x: np.diff(np.searchsorted(x, stop, side="right"), prepend=0)
+        n_a, n_b = per_segment(end_a), per_segment(end_b)
         # Tokens in the order of the groups, A before B.
         stop_a, stop_b = np.searchsorted(end_a, both) + 1, np.searchsorted(end_b, both) + 1
         size_a, size_b = np.diff(stop_a, prepend=0), np.diff(stop_b, prepend=0)
@@ -174,9 +229,26 @@ class Aligner:
         last_a[stop_a - 1] = 1
         last_b[stop_b - 1] = 1
         code[place_a] = 2 * a + last_a
-        code[place_b] = self.first_b + 2 * b + last_b
-        text = b"".join(map(self.names.__getitem__, code.tolist()))[:-1]
-        return len(both), hashlib.sha256(text).hexdigest(), links
+        code[place_b] = 2 * (len(self.len_a) + b) + last_b
+        digits, at, names = list(map(self.digits.__getitem__, code.tolist())), 0, []
+        for n in (n_a + n_b).tolist():
+            names.append("".join(digits[at : at + n])[:-1])
+            at += n
+        return n_a, n_b, per_segment(both), per_segment(ends), links, names
+
+    def tables(self) -> tuple[np.ndarray, ...]:
+        """n_a, n_b, n_groups, n_links and links of all segments so far, as arrays."""
+        for have in (self.n_a, self.n_b, self.n_groups, self.n_links, self.links):
+            have[:] = [np.concatenate(have) if have else np.empty(0, np.int64)]
+        return tuple(x[0] for x in (self.n_a, self.n_b, self.n_groups, self.n_links, self.links))
+
+    def digest(self, numbers: np.ndarray) -> str:
+        return hashlib.sha256(";".join(map(self.names.__getitem__, numbers.tolist())).encode()).hexdigest() if len(numbers) else ""
+
+
+@lru_cache(maxsize=1)
+def _aligner(path_a: str, path_b: str) -> Aligner:
+    return Aligner(path_a, path_b)
 
 
 # ---------------------------------------------------------------------------
@@ -206,7 +278,8 @@ def popcount(data: bytes) -> int:
 
 def merged(a: bytes, b: bytes, width: int) -> bytes:
     """The OR of two bitmaps."""
-    return container(np.union1d(members(a), members(b)), width)
+    both = np.sort(np.concatenate([members(a), members(b)]))
+    return container(both[np.append(True, both[1:] != both[:-1])] if len(both) else both, width)
 
 
 def planes(docs: np.ndarray, times: np.ndarray, width: int) -> list[bytes]:
@@ -222,13 +295,17 @@ def counts(posting: list[bytes], width: int) -> tuple[int, int]:
     return popcount(any_of), sum(popcount(p) << k for k, p in enumerate(posting))
 
 
-def inverted(places: np.ndarray, links: np.ndarray, width: int) -> Iterator[tuple[int, list[bytes]]]:
-    """(pair, planes) of every pair of a chunk, from the place (below 2^16) and pair (below 2^47) of each link."""
-    found, times = np.unique(links << 16 | places, return_counts=True)
-    links, places = found >> 16, found & 0xFFFF
-    first = np.flatnonzero(np.concatenate([[True], links[1:] != links[:-1]]))
-    for lo, hi in zip(first.tolist(), [*first[1:].tolist(), len(links)], strict=True):
-        yield int(links[lo]), planes(places[lo:hi], times[lo:hi], width)
+def inverted(places: np.ndarray, segments: np.ndarray, n_links: np.ndarray, links: np.ndarray, width: int) -> Iterator[tuple[int, list[bytes]]]:
+    """(pair, planes) of every pair of a chunk, from the place (below 2^16) of each segment's occurrence; pairs are below 2^47."""
+    first, n = (np.cumsum(n_links) - n_links)[segments], n_links[segments]
+    inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    keys = np.sort(links[np.repeat(first, n) + inside] << 16 | np.repeat(places, n))
+    new = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    times = np.diff(np.append(new, len(keys)))
+    pairs, places = keys[new] >> 16, keys[new] & 0xFFFF
+    first = np.flatnonzero(np.concatenate([[True], pairs[1:] != pairs[:-1]]))
+    for lo, hi in zip(first.tolist(), [*first[1:].tolist(), len(pairs)], strict=True):
+        yield int(pairs[lo]), planes(places[lo:hi], times[lo:hi], width)
 
 
 _LONG, _TEXT = T.LongType(), T.StringType()
@@ -264,14 +341,16 @@ def index(docs: DataFrame, path_a: str, path_b: str) -> tuple[DataFrame, DataFra
         return pa.RecordBatch.from_arrays([pa.array(cols.get(f.name, [None] * len(found)), f.type) for f in schema], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner = Aligner(path_a, path_b)
-        chunk, n, size, places, links = TaskContext.get().partitionId() << 32, 0, 0, [], []
+        aligner = _aligner(path_a, path_b)
+        chunk, n, size, held = TaskContext.get().partitionId() << 32, 0, 0, []
 
         def postings() -> Iterator[pa.RecordBatch]:
             rows = []
-            if links and (all_links := np.concatenate(links)).size:
-                for pair, posting in inverted(np.concatenate(places), all_links, n):
-                    rows.append((*divmod(pair, len(aligner.len_b)), *counts(posting, n), posting))
+            places = np.repeat(np.arange(n), [len(x) for x in held])
+            if len(places):
+                *_, n_links, links = aligner.tables()
+                for pair, posting in inverted(places, np.concatenate(held), n_links, links, n):
+                    rows.append((*divmod(pair, aligner.n_pairs_b), *counts(posting, n), posting))
                     if len(rows) == 10_000:
                         yield table(chunk, PAIR, rows)
                         rows = []
@@ -283,17 +362,16 @@ def index(docs: DataFrame, path_a: str, path_b: str) -> tuple[DataFrame, DataFra
                 part = batch.slice(lo, CHUNK_DOCS)
                 if n and (n + part.num_rows > CHUNK_DOCS or size > CHUNK_BYTES):
                     yield from postings()
-                    chunk, n, size, places, links = chunk + 1, 0, 0, [], []
-                texts = part.column(1).to_pylist()
-                rows = []
-                for i, (key, (a, b)) in enumerate(zip(part.column(0).to_pylist(), aligner.tokens(texts), strict=True)):
-                    groups, digest, pairs = aligner.align(a, b)
-                    rows.append((n + i, key, len(a), len(b), groups, len(pairs), digest))
-                    links.append(pairs)
-                    places.append(np.full(len(pairs), n + i, np.uint16))
-                n += len(rows)
+                    chunk, n, size, held = chunk + 1, 0, 0, []
+                    if aligner.bytes > KNOWN_BYTES:
+                        aligner.forget()
+                found = aligner.numbers(part.column(1).to_pylist())
+                per_segment = aligner.tables()[:4]
+                sums = [[int(x[numbers].sum()) for x in per_segment] for numbers in found]
+                yield table(chunk, DOCUMENT, [(n + i, key, *sums[i], aligner.digest(found[i])) for i, key in enumerate(part.column(0).to_pylist())])
+                held += found
+                n += part.num_rows
                 size += part.column(1).nbytes
-                yield table(chunk, DOCUMENT, rows)
         yield from postings()
 
     both = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, INDEX), "alignment-index")
