@@ -8,7 +8,9 @@ checkpoint folder and reads it again for the next one.
 Defined results: a document with a null or empty text fails the base rules and
 goes; of rows that repeat a doc_id and text one stays, rows that share only the
 doc_id are judged each by its own text; rows with a null doc_id are
-linked with nothing and stay; further columns are carried along.
+linked with nothing and stay; further columns, whatever their names, are
+carried along; ties don't matter, since every stage decides by key; texts of any
+length are taken whole; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spindle.llm import crf, neardup, packing, pii, rules
-from spindle.llm.common import read_table, row_key, written
+from spindle.llm.common import free_name, read_table, row_key, written
 from spindle.session import prepare
 
 
@@ -31,17 +33,18 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and their host's verdicts."""
     prepare(spark)
-    rejected = rules.quality_rules(docs).where(~F.col("kept")).select("_k").distinct()
-    keyed = row_key(docs, key="_rule_key").join(rejected.withColumnRenamed("_k", "_rule_key"), "_rule_key", "left_anti")
-    return keyed.select(*docs.columns)
+    key = free_name(docs, "_rule_key")
+    rejected = rules.quality_rules(docs).where(~F.col("kept")).select(F.col("_k").alias(key)).distinct()
+    return row_key(docs, key=key).join(rejected, key, "left_anti").select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: the one with the smallest id."""
     prepare(spark)
-    keyed = row_key(docs, key="_dup_key")
-    stay = neardup.near_duplicates(keyed.select("doc_id", "text", "_dup_key"), ("_dup_key",)).where("kept").select("_dup_key").distinct()
-    known = keyed.join(stay, "_dup_key", "left_semi").dropDuplicates(["_dup_key"])
+    key = free_name(docs, "_dup_key")
+    keyed = row_key(docs, key=key)
+    stay = neardup.near_duplicates(keyed.select("doc_id", "text", key), (key,), one_node=False).where("kept").select(key).distinct()
+    known = keyed.join(stay, key, "left_semi").dropDuplicates([key])
     return known.select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
 
 

@@ -60,6 +60,14 @@ def row_key(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", key:
     return df.withColumn(key, k)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def slices(batches: Iterable[pa.RecordBatch], column: str, max_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that ``column`` holds about ``max_bytes`` each (a single longer row stays whole)."""
     for b in batches:

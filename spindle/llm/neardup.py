@@ -241,8 +241,12 @@ def _confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, out)
 
 
-def near_duplicates(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, kept, and its string columns ``carry``."""
+def near_duplicates(docs: DataFrame, carry: tuple[str, ...] = (), one_node: bool = True) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id, kept, and its string columns ``carry``.
+
+    ``one_node``: rows with one doc_id are one document, so that the id joins the classes of all its texts; else each
+    row is judged by its own text.
+    """
     rows = written(sketches(docs, carry), "neardup-sketches")
     full = rows.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = written(
@@ -254,7 +258,8 @@ def near_duplicates(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     shared = keys.groupBy("key").agg(F.min("rep").alias("centre"), F.max("rep").alias("other")).where("centre < other").select("key", "centre")
     members = written(keys.join(shared, "key").select("key", "rep", "centre"), "neardup-buckets")
     pairs = members.where("rep <> centre").select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct()
-    links = written(_confirmed(_likely(pairs, classes), docs).unionByName(_same_ids(full, classes)), "neardup-links")
+    links = _confirmed(_likely(pairs, classes), docs)
+    links = written(links.unionByName(_same_ids(full, classes)) if one_node else links, "neardup-links")
     found = components(links)
     label = F.coalesce("component", F.col("rep")).alias("component")
     placed = members.select("key", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", label)

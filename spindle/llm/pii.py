@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import read_table, row_key, written
+from .common import free_name, read_table, row_key, written
 
 TRAIN_ROWS, PRECISION, EVIDENCE = 20_000, 0.95, 20
 TREES, DEPTH = 12, 4
@@ -315,8 +315,9 @@ def redact(docs: DataFrame) -> DataFrame:
 
     Rows are kept; only ``text`` changes.
     """
-    marks = find_personal_data(docs).where("spans IS NOT NULL").select(F.col("_k").alias("_pii_key"), F.col("spans").alias("_pii_spans")).dropDuplicates(["_pii_key"])
-    rows = row_key(docs, key="_pii_key").join(marks, "_pii_key", "left")
+    key, spans = free_name(docs, "_pii_key"), free_name(docs, "_pii_spans")
+    marks = find_personal_data(docs).where("spans IS NOT NULL").select(F.col("_k").alias(key), F.col("spans").alias(spans)).dropDuplicates([key])
+    rows = row_key(docs, key=key).join(marks, key, "left")
     text, names = F.col("text"), F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
     # (place reached, text so far): what stands before a span, then its mark unless it begins inside an earlier one.
     start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<string>").alias("out"))
@@ -330,5 +331,5 @@ def redact(docs: DataFrame) -> DataFrame:
     def finish(acc: Column) -> Column:
         return F.concat(F.array_join(acc["out"], ""), F.substring(text, (acc["at"] + 1).cast("int"), F.lit(2**31 - 1)))
 
-    clean = F.when(F.col("_pii_spans").isNotNull(), F.aggregate("_pii_spans", start, step, finish)).otherwise(text)
+    clean = F.when(F.col(spans).isNotNull(), F.aggregate(spans, start, step, finish)).otherwise(text)
     return rows.select(*[clean.alias("text") if c == "text" else F.col(c) for c in docs.columns])

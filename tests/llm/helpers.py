@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
-CLASH = ("_k", "_words", "key", "n", "rep", "score", "kept", "start", "component", "spans", "host", "block", "ids", "label", "h", "w", "p")
+CLASH = ("_k", "_words", "key", "n", "rep", "score", "kept", "start", "component", "spans", "host", "block", "ids", "label", "h", "w", "p", "_rule_key", "_dup_key", "_pii_key", "_pii_spans")
 
 
 def edge_rows():
