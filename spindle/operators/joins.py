@@ -180,31 +180,3 @@ def _ratio(t: float) -> tuple[int, int]:
 
     f = Fraction(t).limit_denominator(10**6)
     return f.numerator, f.denominator
-
-
-def cosine_pairs_lsh(vecs: DataFrame, min_cosine: float = 0.9, bucket_length: float = 0.5, tables: int = 4, seed: int = 7) -> DataFrame:
-    """#32 (approximate): pairs of L2-normalised vectors with cosine ≥ ``min_cosine``.
-
-    Random-projection LSH (Spark ML) on the unit vectors; Euclidean distance
-    d relates to cosine by cos = 1 − d²/2.  Identical vectors are collapsed
-    first (with their multiplicity) so copies do not fill one bucket.
-    ``vecs(id, v array<double>)`` → (id_a, id_b, cosine, m_a, m_b).
-    """
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda acc, x: acc + x * x))
-    unit = vecs.where(norm > 0).select("id", F.transform("v", lambda x: F.try_divide(x, norm)).alias("u"))
-    grp = unit.groupBy("u").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("m"))
-    feats = grp.select("id", "m", array_to_vector("u").alias("features"))
-    lsh = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=bucket_length, numHashTables=tables, seed=seed)
-    model = lsh.fit(feats)
-    max_d = (2.0 * (1.0 - min_cosine)) ** 0.5
-    j = model.approxSimilarityJoin(feats, feats, max_d, distCol="d")
-    return j.where(F.col("datasetA.id") < F.col("datasetB.id")).select(
-        F.col("datasetA.id").alias("id_a"),
-        F.col("datasetB.id").alias("id_b"),
-        (F.lit(1.0) - F.col("d") * F.col("d") / 2.0).alias("cosine"),
-        F.col("datasetA.m").alias("m_a"),
-        F.col("datasetB.m").alias("m_b"),
-    )

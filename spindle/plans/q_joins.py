@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..operators import alerts as A
 from ..operators import joins as J
+from ..operators import vectors as V
 from ..sources import fixtures as X
 from . import sql as S
 from .q_alerts import _POS_CAND, _rows
@@ -89,11 +90,19 @@ def q_similarity_members(spark, sf):
     return J.similarity_members(_sets(spark, sf))
 
 
-@query("cosine_pairs")
+@query(
+    "cosine_pairs",
+    """WITH f AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+n AS (SELECT id, v, sqrt(list_reduce(list_transform(v, lambda x: x * x), lambda a, b: a + b)) AS n FROM f
+  WHERE len(v) > 0 AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+g AS (SELECT u, min(id) AS id, count(*) AS m FROM (SELECT id, list_transform(v, lambda x: x / n) AS u FROM n WHERE n > 0 AND isfinite(n)) GROUP BY u)
+SELECT a.id AS id_a, b.id AS id_b, round(least(list_dot_product(a.u, b.u), 1e0), 6) AS cosine, a.m AS m_a, b.m AS m_b
+FROM g a JOIN g b ON a.id < b.id WHERE list_dot_product(a.u, b.u) >= 4e-1""",
+)
 def q_cosine_pairs(spark, sf):
     e = X.table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
     # the driver embeddings are spread out (max cosine about 0.5), hence the low threshold
-    return J.cosine_pairs_lsh(e, 0.4, bucket_length=1.0, tables=8).select("id_a", "id_b", F.round("cosine", 6).alias("cosine"), "m_a", "m_b")
+    return V.cosine_pairs(e, 0.4).withColumn("cosine", F.round("cosine", 6))
 
 
 _ROLE_RANK = """r AS (SELECT conv_id, role, length(text) AS len, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS rank FROM conversations),

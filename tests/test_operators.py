@@ -161,13 +161,6 @@ def test_token_patterns(spark):
     assert k[0]["k"] == ["abc", "bcd"] and k[1]["k"] == []
 
 
-def test_cosine_lsh_finds_near_duplicates(spark):
-    rows = [(1, [1.0, 0.0, 0.0]), (2, [0.99, 0.05, 0.0]), (3, [0.0, 1.0, 0.0]), (4, [1.0, 0.0, 0.0])]
-    df = spark.createDataFrame(rows, "id long, v array<double>")
-    got = {(r["id_a"], r["id_b"]) for r in J.cosine_pairs_lsh(df, 0.95, bucket_length=2.0, tables=6).collect()}
-    assert (1, 2) in got and all(3 not in p for p in got)
-
-
 def test_streaming_token_counts_match_batch(spark):
     from spindle.streaming.stream import document_stream, run_to_memory, streaming_token_counts
 
