@@ -7,11 +7,14 @@ equi-joins (#30).
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
+from .util import written
 
 LETTERS_ONLY = r"^\p{L}+$"
 
@@ -127,42 +130,34 @@ def similarity_members(sets: DataFrame) -> DataFrame:
     return per.join(per.groupBy("_sig").agg(F.min("id").alias("rep")), "_sig").select("id", "rep")
 
 
+#: Ratio of the sizes of two neighbouring size bands of ``similarity_self_join``.
+SIZE_BAND = 1.1
+
+
 def similarity_self_join(sets: DataFrame, threshold: float = 0.6) -> tuple[DataFrame, DataFrame]:
-    """#31 exact Jaccard self-join: pairs of distinct token sets with J > threshold.
-
-    Prefix filtering: tokens are ordered by ascending document frequency;
-    two sets with J ≥ t must share a token among the first
-    n − ceil(t·n) + 1 of each, so only those prefix tokens are joined, plus
-    the length filter t·n_a ≤ n_b and the positional filter on the first
-    shared token (all bounds exact, in integer arithmetic).  Candidates are verified exactly with
-    ``array_intersect``.  Identical sets are collapsed first and reported
-    with their multiplicity, so copies never produce quadratic pairs; ``similarity_members``
-    tells which rows each id stands for.
+    """#31 exact Jaccard self-join: pairs of distinct token sets with J > threshold (above 0).
+
+    An inverted index by token and size band, with positions.  Tokens are ordered by ascending document
+    frequency.  When the first shared token of sets of n_a ≤ n_b tokens stands at ranks (i, j), they share at most
+    1 + min(n_a − i, n_b − j) tokens, and J > num / den takes more than num · (n_a + n_b) / (num + den).  So the
+    entry of the smaller set bounds the larger one's size from above: it is indexed only in the size bands from its
+    own to that bound, and not at all where the bound is below its own size.  The larger set looks up its own band.
+    Sets of one template that stay below the threshold therefore don't meet on the template's tokens, however many
+    they are: the bound fails before the join, not after it.  All bounds are exact, in integer arithmetic;
+    candidates are verified with ``array_intersect``.
+
+    Identical sets are collapsed first and reported with their multiplicity, so copies never produce quadratic
+    pairs; ``similarity_members`` tells which rows each id stands for.
     Returns (pairs(id_a, id_b, n_common, n_union, jaccard), copies(id, m)).
     """
     num, den = _ratio(threshold)
+    if num <= 0:
+        raise ValueError("threshold must be above 0")
     reps, copies = collapse_identical_sets(sets)
-    reps = reps.where(F.col("n") > 0)
-    ex = reps.select("id", "n", F.explode("tokens").alias("token"))
-    dfreq = ex.groupBy("token").agg(F.count(F.lit(1)).alias("_df"))
-    ranked = ex.join(dfreq, "token").withColumn(
-        "_r", F.row_number().over(Window.partitionBy("id").orderBy("_df", "token"))
-    )
-    # prefix length n - ceil(t n) + 1, computed on integers (floor division) so
-    # rounding can only lengthen it
-    prefix = ranked.where(F.col("_r") <= F.col("n") - F.floor(F.col("n") * F.lit(num) / F.lit(den)) + 1).select("id", "n", "token", "_r")
-    a, b = prefix.alias("a"), prefix.alias("b")
-    matches = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.id") < F.col("b.id"))).where(
-        (F.col("b.n") * F.lit(den) >= F.col("a.n") * F.lit(num)) & (F.col("a.n") * F.lit(den) >= F.col("b.n") * F.lit(num))
-    )
-    # positional filter: the first common token sits at ranks (i, j), so the
-    # overlap is at most 1 + min(n_a - i, n_b - j); J > t needs
-    # overlap·(den + num) > num·(n_a + n_b)
-    per_pair = matches.groupBy(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b")).agg(
-        F.min(F.col("a._r")).alias("_i"), F.min(F.col("b._r")).alias("_j"), F.first(F.col("a.n")).alias("_na"), F.first(F.col("b.n")).alias("_nb")
-    )
-    bound = F.lit(1) + F.least(F.col("_na") - F.col("_i"), F.col("_nb") - F.col("_j"))
-    cand = per_pair.where(bound * F.lit(den + num) > F.lit(num) * (F.col("_na") + F.col("_nb"))).select("id_a", "id_b")
+    reps = written(reps.where(F.col("n") > 0), "sets")
+    # pairs are small rows with costly checks: a partition count of its own keeps AQE from merging them into a few tasks
+    tasks = int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cand = similarity_candidates(reps, num, den).repartition(tasks, "id_a")
     ta = reps.select(F.col("id").alias("id_a"), F.col("tokens").alias("ta"))
     tb = reps.select(F.col("id").alias("id_b"), F.col("tokens").alias("tb"))
     v = cand.join(ta, "id_a").join(tb, "id_b")
@@ -175,6 +170,32 @@ def similarity_self_join(sets: DataFrame, threshold: float = 0.6) -> tuple[DataF
     return out.withColumn("jaccard", F.col("n_common") / F.col("n_union")), copies
 
 
+def similarity_candidates(reps: DataFrame, num: int, den: int) -> DataFrame:
+    """Distinct (id_a, id_b), id_a < id_b, of ``reps(id, tokens, n)`` that the bounds of ``similarity_self_join`` leave."""
+    both, num_ = F.lit(num + den), F.lit(num)
+    ex = reps.select("id", F.col("n").cast("bigint").alias("n"), F.explode("tokens").alias("token"))
+    dfreq = ex.groupBy("token").agg(F.count(F.lit(1)).alias("_df"))
+    ranked = ex.join(dfreq, "token").withColumn("_r", F.row_number().over(Window.partitionBy("id").orderBy("_df", "token")))
+    # at most so many tokens are shared when the first shared one has this rank; a token of one set only is shared by none
+    entry = ranked.where(F.col("_df") > 1).select("id", "n", "token", (F.lit(1) + F.col("n") - F.col("_r")).alias("rest"))
+
+    def band(n):
+        return F.floor(F.log(n.cast("double")) / F.lit(math.log(SIZE_BAND))).cast("int")
+
+    largest = F.expr(f"(rest * {num + den} - 1) div {num}") - F.col("n")
+    index = entry.withColumn("_max", largest).where(F.col("_max") >= F.col("n"))
+    index = index.select(
+        F.col("id").alias("ia"), F.col("n").alias("na"), F.col("rest").alias("ra"), "token", F.explode(F.sequence(band(F.col("n")), band(F.col("_max")))).alias("band")
+    )
+    smallest = F.expr(f"n * {num} div {den}") + 1
+    probe = entry.where(F.col("rest") * both > num_ * (smallest + F.col("n")))
+    probe = probe.select(F.col("id").alias("ib"), F.col("n").alias("nb"), F.col("rest").alias("rb"), "token", band(F.col("n")).alias("band"))
+    need = num_ * (F.col("na") + F.col("nb"))
+    ordered = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("ia") < F.col("ib")))
+    met = index.join(probe, ["token", "band"]).where(ordered & (F.col("ra") * both > need) & (F.col("rb") * both > need))
+    return met.select(F.least("ia", "ib").alias("id_a"), F.greatest("ia", "ib").alias("id_b")).distinct()
+
+
 def _ratio(t: float) -> tuple[int, int]:
     from fractions import Fraction
 
