@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .joins import containment_join
+from .joins import contained_tokens
 from .util import written
 
 
@@ -33,22 +33,29 @@ def _labelled_words(rows: DataFrame, group: tuple) -> DataFrame:
     return rows.select(*group, "id", "label", F.explode(T.word_tokens("text")).alias("token"))
 
 
-def alert_ppv(rows: DataFrame, min_count: int = 3, min_len: int = 2, max_len: int = 40, group: tuple = ()) -> tuple[DataFrame, DataFrame]:
+def alert_ppv(
+    rows: DataFrame, min_count: int = 3, min_len: int = 2, max_len: int = 40, group: tuple = (), docs: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame]:
     """#126: candidates with (tp, fp, ppv), plus the (token, id) containment relation.
 
-    ``rows(group..., id, text, label)`` with label 0/1.
+    ``rows(group..., id, text, label)`` with label 0/1, an id once per group.  ``docs(id, text)`` are the texts that
+    ``rows`` repeat for each group, where the caller has them; otherwise the rows are reduced to one for each id.
+    The tokens of a text stay in one array and are only counted, so no (token, id) pair is shuffled.
     """
     g = list(group)
     pos_tok = _labelled_words(rows.where("label = 1"), group)
-    cands = alert_candidates(pos_tok, min_count, min_len, max_len, group)
-    # A row's text stands once per group.
-    docs = rows.select("id", "text").dropDuplicates(["id"]) if g else rows.select("id", "text")
-    contains = containment_join(cands.select("token"), docs, letters_only=True)  # word-regex tokens
-    if g:  # read again for the coverage of each group
-        contains = written(contains, "contains")
-    neg = rows.where("label = 0").select(*g, "id")
-    # (token, id) and (group, id) are both distinct, so a plain count is the number of rows
-    fp = contains.join(neg, "id").groupBy(*g, "token").agg(F.count(F.lit(1)).alias("fp"))
+    cands = written(alert_candidates(pos_tok, min_count, min_len, max_len, group), "candidates")
+    if g:
+        docs = rows.select("id", "text").dropDuplicates(["id"]) if docs is None else docs
+        # written: read again for the coverage of each group
+        found = written(contained_tokens(cands.select("token"), docs.select("id", "text"), letters_only=True), "contains")
+        neg = rows.where("label = 0").groupBy("id").agg(F.collect_list(F.struct(*g)).alias("_g"))
+        hits = found.join(neg, "id").select("_g", F.explode("tokens").alias("token")).select(F.explode("_g").alias("_g"), "token").select("_g.*", "token")
+    else:
+        found = contained_tokens(cands.select("token"), rows.select("id", "label", "text"), letters_only=True)  # word-regex tokens
+        hits = found.where("label = 0").select(F.explode("tokens").alias("token"))
+    contains = found.select(F.explode("tokens").alias("token"), "id")
+    fp = hits.groupBy(*g, "token").agg(F.count(F.lit(1)).alias("fp"))
     scored = (
         cands.join(fp, [*g, "token"], "left")
         .withColumn("fp", F.coalesce(F.col("fp"), F.lit(0)).cast("bigint"))

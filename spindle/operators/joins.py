@@ -9,11 +9,12 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
+from .matcher import match_tokens
 from .util import written
 
 LETTERS_ONLY = r"^\p{L}+$"
@@ -24,58 +25,80 @@ def join_by_id(left: DataFrame, right: DataFrame, on: str = "id") -> tuple[DataF
     return left.join(right, on, "inner"), left.join(right, on, "left_anti")
 
 
-def _pieces(chars, start, length):
-    """``length`` characters of an array of characters from 1-based ``start``, as a string."""
-    return F.array_join(F.slice(chars, start, length), "")
-
-
-#: Longest part of a token that is joined on; the rest of a longer token is compared in place.
+#: Longest part of a token that is joined on; the rest of a longer token is compared afterwards.
 ANCHOR = 8
+#: Characters of all tokens up to which they are sent to the tasks as one automaton (about 50 bytes each there).
+MATCHER_CHARS = 2_000_000
 
 
 def containment_join(cands: DataFrame, docs: DataFrame, lower: bool = True, letters_only: bool = False) -> DataFrame:
     """#30 ``containment_join``: (token, id) for every doc whose text contains the token, whatever its length.
 
-    ``cands(token)``; ``docs(id, text)``.  Exact for all tokens:
+    ``cands(token)``; ``docs(id, text)`` with unique ids.  One row for each element of ``contained_tokens``.
+    """
+    found = contained_tokens(cands, docs.select("id", "text"), lower, letters_only)
+    return found.select(F.explode("tokens").alias("token"), "id")
+
+
+def contained_tokens(cands: DataFrame, docs: DataFrame, lower: bool = True, letters_only: bool = False) -> DataFrame:
+    """``docs(id, text, ...)``, ids unique, with the column ``tokens`` in place of the text: the distinct tokens of ``cands(token)`` in it.
 
-    * a token of letters can only occur inside one letter run of the text, so
-      runs are reduced to distinct words before they are searched;
-    * other tokens are searched in the texts as they are;
-    * an empty token is in every text.
+    The tokens are written once and counted.  Up to MATCHER_CHARS characters they go to the tasks as one Aho–Corasick
+    automaton, and a row is searched where it lies: no text and no pair is shuffled.  More tokens than that are joined
+    by their first characters (``_contained``), with the same result.  ``letters_only`` states that every token is a
+    letter run (e.g. word-regex tokens): then the distinct words are searched instead of the whole text.
 
-    A search is an equi-join on the first ``ANCHOR`` characters (fewer for
-    shorter tokens): every place of a text gives one piece per anchor length
-    that the tokens have, and the rest of a longer token is compared in place.
-    ``letters_only`` states that every candidate is a letter run (e.g.
-    word-regex tokens), so that the other search is left out.
+    Defined results: a null text holds nothing, an empty token is in every other text, a null token in none.
     """
     text = F.lower(F.col("text")) if lower else F.col("text")
-    cands = cands.select("token").distinct()
+    cands = written(cands.select("token").where(F.col("token").isNotNull()).distinct(), "tokens")
+    chars = cands.agg(F.sum(F.char_length("token"))).first()[0] or 0
+    keep = [c for c in docs.columns if c != "text"]
+    if chars <= MATCHER_CHARS:
+        tokens = [r["token"] for r in cands.collect()]
+        parts = F.array_distinct(T.word_tokens(text, lower=False)) if letters_only else F.array(text)
+        searched = docs.select(*keep, F.when(F.col("text").isNotNull(), parts).alias("tokens"))
+        return match_tokens(searched, tokens)
+    pairs = _contained_pairs(cands, docs, text, letters_only).groupBy("id").agg(F.collect_set("token").alias("tokens"))
+    empty = F.array().cast("array<string>")
+    return docs.select(*keep).join(pairs, "id", "left").select(*keep, F.coalesce("tokens", empty).alias("tokens"))
+
+
+def _contained_pairs(cands: DataFrame, docs: DataFrame, text: Column, letters_only: bool) -> DataFrame:
+    """(token, id): tokens of letters are searched in the distinct words, which hold them whole, others in the texts."""
     letter = cands.where(F.col("token").rlike(LETTERS_ONLY))
     doc_words = docs.select("id", F.explode(F.array_distinct(T.word_tokens(text, lower=False))).alias("word"))
-    in_words = _contained(letter, doc_words.select("word").distinct(), "word")
-    via_words = doc_words.join(in_words, "word").select("token", "id").distinct()
+    in_words = _contained(letter, doc_words.select(F.col("word").alias("key"), F.col("word").alias("text")).distinct())
+    via_words = doc_words.join(in_words.withColumnRenamed("key", "word"), "word").select("token", "id")
+    every = docs.where(F.col("text").isNotNull()).select(F.lit("").alias("token"), "id").join(cands, "token", "left_semi")
     if letters_only:
-        return via_words
+        return via_words.unionByName(every)
     other = cands.where(~F.col("token").rlike(LETTERS_ONLY) & (F.col("token") != ""))
-    via_texts = _contained(other, docs.select("id", text.alias("t")), "t").select("token", "id")
-    every = docs.where(F.col("text").isNotNull()).select(F.lit("").alias("token"), "id").join(cands, "token", "left_semi")
-    return via_words.unionByName(via_texts).unionByName(every).distinct()
+    via_texts = _contained(other, docs.select(F.col("id").alias("key"), text.alias("text"))).withColumnRenamed("key", "id")
+    return via_words.unionByName(via_texts.select("token", "id")).unionByName(every)
 
 
-def _contained(cands: DataFrame, texts: DataFrame, text: str) -> DataFrame:
-    """``texts`` with the column ``token``: one row for each non-empty token of ``cands`` and text that holds it."""
-    cands = cands.withColumn("_anchor", F.left("token", F.lit(ANCHOR)))
+def _contained(cands: DataFrame, texts: DataFrame) -> DataFrame:
+    """(key, token): the non-empty tokens that each of ``texts(key, text)`` holds.
+
+    An equi-join on the first ``ANCHOR`` characters (fewer for shorter tokens): every place of a text gives one piece
+    per anchor length that the tokens have.  Rows carry key and place only; where a longer token begins, the rest is
+    compared after the text is joined back.
+    """
+    cands = cands.where(F.col("token") != "").withColumn("_anchor", F.left("token", F.lit(ANCHOR)))
     # At most ANCHOR different numbers.
     lengths = sorted(r[0] for r in cands.select(F.char_length("_anchor")).distinct().collect())
     if not lengths:
-        return texts.withColumn("token", F.lit("")).limit(0)
-    chars = texts.withColumn("_chars", F.split(F.col(text), ""))
-    places = chars.select("*", F.explode(F.sequence(F.lit(1), F.greatest(F.size("_chars"), F.lit(1)))).alias("_at"))
+        return texts.select("key", F.lit("").alias("token")).limit(0)
+    chars = texts.select("key", F.split("text", "").alias("_chars"))
+    places = chars.select("*", F.explode(F.sequence(F.lit(1), F.greatest(F.size("_chars"), F.lit(1)))).alias("at"))
     anchored = places.withColumn("_length", F.explode(F.array(*[F.lit(n) for n in lengths])))
-    anchored = anchored.where(F.col("_at") + F.col("_length") - 1 <= F.size("_chars")).withColumn("_anchor", _pieces("_chars", F.col("_at"), F.col("_length")))
-    held = anchored.join(cands, "_anchor").where(_pieces("_chars", F.col("_at"), F.char_length("token")) == F.col("token"))
-    return held.select(*texts.columns, "token").distinct()
+    anchored = anchored.where(F.col("at") + F.col("_length") - 1 <= F.size("_chars"))
+    pieces = anchored.select("key", "at", F.array_join(F.slice("_chars", F.col("at"), F.col("_length")), "").alias("_anchor"))
+    begun = pieces.join(cands, "_anchor").select("key", "at", "token")
+    whole = F.char_length("token") <= ANCHOR
+    rest = begun.where(~whole).join(texts, "key").where(F.substring("text", F.col("at"), F.char_length("token")) == F.col("token"))
+    return begun.where(whole).select("key", "token").unionByName(rest.select("key", "token")).distinct()
 
 
 def group_argmax(df: DataFrame, group: list[str], order_col: str, tie: str, desc: bool = True) -> DataFrame:

@@ -23,6 +23,10 @@ def _rows_by_task(spark, sf):
     )
 
 
+def _docs(spark, sf):
+    return X.labelled(spark, sf).select("id", "text")
+
+
 _POS_CAND = S.with_(
     S.LABELLED,
     f"""pw AS (SELECT unnest(regexp_extract_all(lower(text), '{S.WORD_RE}', 1)) AS token FROM labelled WHERE toxic = 1)""",
@@ -122,7 +126,7 @@ LEFT JOIN (SELECT task, CAST(sum(CASE WHEN ppv > 0.5 THEN 1 ELSE 0 END) AS BIGIN
 LEFT JOIN cov c ON c.task = t.task""",
 )
 def q_alerts_per_task(spark, sf):
-    out = A.alerts_per_task(_rows_by_task(spark, sf))
+    out = A.alerts_per_task(_rows_by_task(spark, sf), docs=_docs(spark, sf))
     return out.select(
         "task", "n_neg", "n_pos", "n_alerts", F.round("coverage", 6).alias("coverage"), F.round("mean_ppv", 6).alias("mean_ppv")
     )
@@ -131,7 +135,7 @@ def q_alerts_per_task(spark, sf):
 @query("alerts_union", _BY_TASK + "SELECT token, count(*) AS n_tasks FROM alerts GROUP BY token")
 def q_alerts_union(spark, sf):
     """The distinct alerts of all tasks."""
-    scored, _ = A.alert_ppv(_rows_by_task(spark, sf), group=("task",))
+    scored, _ = A.alert_ppv(_rows_by_task(spark, sf), group=("task",), docs=_docs(spark, sf))
     return scored.where(F.col("ppv") > 0.5).groupBy("token").agg(F.count(F.lit(1)).alias("n_tasks"))
 
 
@@ -141,7 +145,7 @@ def q_alerts_union(spark, sf):
 )
 def q_coverage_pct(spark, sf):
     rows = _rows_by_task(spark, sf)
-    scored, contains = A.alert_ppv(rows, group=("task",))
+    scored, contains = A.alert_ppv(rows, group=("task",), docs=_docs(spark, sf))
     cov = A.coverage(scored.where(F.col("ppv") > 0.5), contains, rows, ("task",))
     return cov.select(
         "task",
