@@ -270,10 +270,10 @@ def _words(tok: DataFrame) -> DataFrame:
 
 
 def apply_merges(tok: DataFrame, merges: DataFrame, continuation: bool = False) -> DataFrame:
-    """#89: BPE pieces for each token of ``tok(..., token)`` → adds ``pieces``.  A word meets the merges whose result stands in it."""
+    """#89: BPE pieces by ``merges(rank, left, right)`` for each token of ``tok(..., token)`` → adds ``pieces``.  A word meets the merges whose result stands in it."""
     words = _words(tok)
-    plain = F.regexp_replace("merged", "^##", "") if continuation else F.col("merged")
-    model = merges.select(plain.alias("key"), F.struct("left", "right", "rank").alias("merge"))
+    ends = [F.regexp_replace(c, "^##", "") if continuation else F.col(c) for c in ("left", "right")]
+    model = merges.select(F.concat(*ends).alias("key"), F.struct("left", "right", "rank").alias("merge"))
     found = edges(words, model.select("key")).select("word", "key").distinct().join(model, "key")
     rows = words.join(found, "word", "left").select("word", "merge.left", "merge.right", "merge.rank")
     return _segmented(tok, rows, ["left", "right", "rank"], lambda word, found: merge_word(word, {(a, b): r for a, b, r in found}, continuation))

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spindle.operators import joins as J
-from spindle.operators import merges as L
+from spindle.operators import lexicon as L
 from spindle.operators import metrics as M
 from spindle.operators import sample as S
 from spindle.operators import windows as W
@@ -74,8 +74,10 @@ def test_containment_of_every_length(spark):
         assert {tuple(r) for r in J.containment_join(cands, docs).select("token", "id").collect()} == want
 
 
-def test_long_words_are_segmented():
-    assert L.wordpiece_segment("a" * 300, {"a", "##a", "##aa"}) != ["[UNK]"]
+def test_long_words_are_segmented(spark):
+    tok = spark.createDataFrame([("a" * 300,)], "token string")
+    vocab = spark.createDataFrame([("a",), ("##a",), ("##aa",)], "token string")
+    assert L.apply_wordpiece(tok, vocab).first()["pieces"] == ["a", *["##aa"] * 149, "##a"]
 
 
 def test_tail_probability_of_large_z(spark):
@@ -114,7 +116,7 @@ def test_workers_import_the_package_from_anywhere(spark, tmp_path):
     code = (
         f"import sys; sys.path.insert(0, {REPO!r}); import __spark_entry__ as E\n"
         "from spindle.session import local_session\n"
-        "from spindle.operators import merges as L\n"
+        "from spindle.operators import lexicon as L\n"
         "s = local_session(2); E.prepare(s)\n"
         "m = s.createDataFrame([(0, 'a', 'b')], '`rank` int, `left` string, `right` string')\n"
         "t = s.createDataFrame([('abab',)], 'token string')\n"
