@@ -235,3 +235,28 @@ def q_all(spark, sf):
             F.round("logloss", 6).alias("logloss"),
         )
     )
+
+
+_WEIGHTED_TAIL = (
+    ", round(a.auc, 6) AS auc, round(a.auc - " + f"{M.Z_975}" + " * sqrt(a.auc_var), 6) AS auc_lb, round(least(1e0, a.auc + "
+    + f"{M.Z_975}" + """ * sqrt(a.auc_var)), 6) AS auc_ub, round(l.logloss, 6) AS logloss, round(exp(l.logloss), 6) AS perplexity,
+  round(exp(l.logloss - l.half), 6) AS perplexity_lb, round(exp(l.logloss + l.half), 6) AS perplexity_ub
+FROM conf c JOIN auc a ON c.lang = a.lang
+JOIN (SELECT lang, avg(nll) AS logloss, """ + _T975 + """ * stddev_samp(nll) / sqrt(count(*)) AS half FROM ll GROUP BY lang) l ON c.lang = l.lang"""
+)
+
+
+@query(
+    "m_all_weighted",
+    _P + "," + _CW_SQL + ",\nwpred AS (SELECT p.*, cw.weight AS w FROM predictions p JOIN cw ON p.y = cw.y),\n" + _conf_sql(True) + "," + _MIDRANKS + "," + _LL
+    + "\nSELECT c.lang, " + ", ".join(f"round(c.{k}, 6) AS {k}" for k in ("tp", "fp", "tn", "fn")) + ", "
+    + ", ".join(f"round({RATES[k]}, 6) AS {k}" for k in _ALL_COLS) + _WEIGHTED_TAIL,
+)
+def q_all_weighted(spark, sf):
+    """All metrics with balanced class weights on the counts; AUC with its interval, loss and perplexity are of the rows as they are."""
+    pred = X.predictions(spark, sf)
+    r = M.rates(M.confusion(_weighted_pred(spark, sf), G, weight="w"))
+    d = M.delong_ci(M.delong(pred, "p", G)).select("lang", "auc", "auc_lb", "auc_ub")
+    ll = M.logloss_ppl(pred, G).select("lang", "logloss", "perplexity", "perplexity_lb", "perplexity_ub")
+    rest = ("auc", "auc_lb", "auc_ub", "logloss", "perplexity", "perplexity_lb", "perplexity_ub")
+    return r.join(d, "lang").join(ll, "lang").select("lang", *[F.round(c, 6).alias(c) for c in ("tp", "fp", "tn", "fn", *_ALL_COLS, *rest)])
