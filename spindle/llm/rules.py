@@ -2,9 +2,15 @@
 
 Every document is measured and tested against the ``RULES``.  Failures are
 summed by host (here the document's source), and a host's failure rate of a
-rule is shrunk towards all hosts by an empirical beta prior, whose mean and
-strength come from the hosts' rates by the method of moments: few documents
-alone can't condemn a host.  A host whose shrunk rate of a rule exceeds the
+rule is shrunk towards all hosts by an empirical beta prior.  Its mean and
+strength are fitted to the hosts' counts as beta-binomial by the method of
+moments, in two steps of weights: first a host weighs its documents, then what
+its rate is worth at the correlation found, so that neither a huge host nor a
+long tail of tiny ones sets the prior.  What chance alone spreads the rates of
+small hosts is subtracted; where nothing more is left, or all hosts hold one
+document, the prior is as strong as it may be.  Its strength is at least ten
+documents, so a document or two alone condemn no host while all hosts' mean
+rate is small.  A host whose shrunk rate of a rule exceeds the
 rule's limit gets a verdict against it, which is joined back: its documents
 that fail that rule go.  Documents that fail a base rule go in any case; a
 document that fails nothing stays, whatever its host.
@@ -44,7 +50,7 @@ RULES: dict[str, tuple[str, float]] = {
 #: Rules that fail a document whatever its host.
 BASE = ("short", "repeats")
 #: Bounds of the prior's strength, in documents.
-STRENGTH = (2.0, 1000.0)
+STRENGTH = (10.0, 1000.0)
 
 
 def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -94,22 +100,44 @@ def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
     )
 
 
+def _moment_sums(weight: Column, rate: Column, n: Column, name: str) -> list[Column]:
+    """Sums of a weighted moment fit: of w, w r, w r^2, w / n, w^2 and w^2 / n."""
+    terms = {"w": weight, "wr": weight * rate, "wrr": weight * rate * rate, "wn": weight / n, "ww": weight * weight, "wwn": weight * weight / n}
+    return [F.sum(c).alias(f"{name}_{k}") for k, c in terms.items()]
+
+
+def _moment_fit(sums, name: str) -> tuple[float, float]:
+    """(mean, correlation) of a beta-binomial; the correlation within what ``STRENGTH`` allows.
+
+    A rate's variance is m (1 - m) (1/n + rho (1 - 1/n)); rho equates the
+    weighted squares around the mean with their expectation.
+    """
+    w, wr, wrr, wn, ww, wwn = (sums[f"{name}_{k}"] or 0.0 for k in ("w", "wr", "wrr", "wn", "ww", "wwn"))
+    low, high = 1 / (STRENGTH[1] + 1), 1 / (STRENGTH[0] + 1)
+    mean = wr / w if w else 0.0
+    chance, room = (wn - wwn / w, (w - wn) - (ww - wwn) / w) if w else (0.0, 0.0)
+    if mean <= 0 or mean >= 1 or room <= 1e-9:
+        return mean, low
+    rho = ((wrr - mean * mean * w) / (mean * (1 - mean)) - chance) / room
+    return mean, min(max(rho, low), high)
+
+
 def host_verdicts(rated: DataFrame) -> DataFrame:
     """(host, n_docs, <rule>_rate, <rule>_bad): shrunk failure rates and verdicts, from rows with host and fails_<rule>."""
     sums = [F.sum(F.col(f"fails_{r}").cast("bigint")).alias(r) for r in RULES]
     hosts = rated.groupBy("host").agg(F.count(F.lit(1)).alias("n_docs"), *sums)
-    rate = {r: F.col(r) / F.col("n_docs") for r in RULES}
-    moments = hosts.agg(
-        *[(F.sum(r) / F.sum("n_docs")).alias(f"{r}_mean") for r in RULES],
-        *[F.avg(rate[r] * rate[r]).alias(f"{r}_square") for r in RULES],
-        *[F.avg(rate[r]).alias(f"{r}_plain") for r in RULES],
-    ).first()
+    n = F.col("n_docs").cast("double")
+
+    def fits(weights: dict[str, Column]) -> dict[str, tuple[float, float]]:
+        row = hosts.agg(*[c for r in RULES for c in _moment_sums(weights[r], F.col(r) / n, n, r)]).first()
+        return {r: _moment_fit(row, r) for r in RULES}
+
+    first = fits(dict.fromkeys(RULES, n))
+    fitted = fits({r: n / (F.lit(1.0) + F.lit(first[r][1]) * (n - 1)) for r in RULES})
     out = [F.col("host"), F.col("n_docs")]
     for r, (_, limit) in RULES.items():
-        mean, plain = moments[f"{r}_mean"] or 0.0, moments[f"{r}_plain"] or 0.0
-        spread = (moments[f"{r}_square"] or 0.0) - plain * plain
-        strength = mean * (1 - mean) / spread - 1 if spread > 1e-12 else STRENGTH[1]
-        strength = min(max(strength, STRENGTH[0]), STRENGTH[1])
+        mean, rho = fitted[r]
+        strength = 1 / rho - 1
         shrunk = (F.col(r) + F.lit(mean * strength)) / (F.col("n_docs") + F.lit(strength))
         out += [shrunk.alias(f"{r}_rate"), (shrunk > limit).alias(f"{r}_bad")]
     return hosts.select(*out)
@@ -145,10 +173,28 @@ def op8_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _op8_sql() -> str:
     rules = ", ".join(f"({cond}) AS fails_{r}" for r, (cond, _) in RULES.items())
     sums = ", ".join(f"sum(CAST(fails_{r} AS BIGINT)) AS {r}" for r in RULES)
-    moments = ", ".join(f"sum({r}) / sum(n_docs) AS {r}_mean, avg(({r} / n_docs) * ({r} / n_docs)) - avg({r} / n_docs) * avg({r} / n_docs) AS {r}_spread" for r in RULES)
-    strengths = ", ".join(
-        f"{r}_mean, least(greatest(CASE WHEN {r}_spread > 1e-12 THEN {r}_mean * (1 - {r}_mean) / {r}_spread - 1 ELSE {STRENGTH[1]} END, {STRENGTH[0]}), {STRENGTH[1]}) AS {r}_s" for r in RULES
-    )
+    low, high = f"{1 / (STRENGTH[1] + 1)!r}e0", f"{1 / (STRENGTH[0] + 1)!r}e0"
+
+    def moments(weight) -> str:
+        """The sums of a step, from h; ``weight(rule)`` is a host's weight."""
+        parts = []
+        for r in RULES:
+            w, x = weight(r), f"({r} / n_docs)"
+            terms = {"w": w, "wr": f"{w} * {x}", "wrr": f"{w} * {x} * {x}", "wn": f"{w} / n_docs", "ww": f"{w} * {w}", "wwn": f"{w} * {w} / n_docs"}
+            parts += [f"sum({e}) AS {r}_{k}" for k, e in terms.items()]
+        return ", ".join(parts)
+
+    def fit() -> str:
+        parts = []
+        for r in RULES:
+            w, m = f"{r}_w", f"({r}_wr / {r}_w)"
+            room = f"({w} - {r}_wn - ({r}_ww - {r}_wwn) / {w})"
+            rho = f"(({r}_wrr - {m} * {m} * {w}) / ({m} * (1 - {m})) - ({r}_wn - {r}_wwn / {w})) / {room}"
+            parts.append(f"{m} AS {r}_mean, CASE WHEN {m} <= 0 OR {m} >= 1 OR {room} <= 1e-9 THEN {low} ELSE least(greatest({rho}, {low}), {high}) END AS {r}_rho")
+        return ", ".join(parts)
+
+    first, second = moments(lambda r: "CAST(n_docs AS DOUBLE)"), moments(lambda r: f"(n_docs / (1e0 + {r}_rho * (n_docs - 1)))")
+    strengths = ", ".join(f"{r}_mean, 1 / {r}_rho - 1 AS {r}_s" for r in RULES)
     bad = ", ".join(f"({r} + {r}_mean * {r}_s) / (n_docs + {r}_s) > {limit} AS {r}_bad" for r, (_, limit) in RULES.items())
     against = "concat_ws(',', " + ", ".join(f"CASE WHEN fails_{r} AND {r}_bad THEN '{r}' END" for r in RULES) + ")"
     base = "(" + " OR ".join(f"fails_{r}" for r in BASE) + ")"
@@ -170,7 +216,9 @@ m AS (
   FROM d LEFT JOIN c USING (k)),
 f AS (SELECT *, {rules} FROM m),
 h AS (SELECT source, count(*) AS n_docs, {sums} FROM f GROUP BY source),
-p AS (SELECT {strengths} FROM (SELECT {moments} FROM h)),
+p1 AS (SELECT {fit()} FROM (SELECT {first} FROM h)),
+p2 AS (SELECT {fit()} FROM (SELECT {second} FROM h, p1)),
+p AS (SELECT {strengths} FROM p2),
 v AS (SELECT source, {bad} FROM h, p)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, {base} AS base_failed,
   {against} AS host_failed, NOT {base} AND {against} = '' AS kept

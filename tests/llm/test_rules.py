@@ -54,3 +54,34 @@ def test_hosts(spark):
     assert all(got[i]["kept"] == (i % 10 == 0) for i in range(200))
     assert got[1]["host_failed"] == "symbols" and got[1]["host"] == "spam"
     assert all(got[1000 + i]["kept"] for i in range(400)) and got[5000]["kept"] and got[5003]["kept"]
+    assert got[5001]["kept"] and got[5002]["kept"]
+
+
+def test_a_long_tail_of_tiny_hosts_is_not_condemned(spark):
+    """Rates of hosts with one or two documents spread by chance; that is no sign of bad hosts."""
+    clean = " ".join(f"w{i}" for i in range(60))
+    dirty = " ".join(f"w{i}###" for i in range(60))
+    one = [(i, dirty if i % 20 == 0 else clean, f"h{i}") for i in range(400)]
+    got = rows(rules.quality_rules(spark.createDataFrame(one, "doc_id long, text string, source string")))
+    assert len(got) == 400 and all(r["kept"] for r in got)
+    two = one + [(1000 + i, clean, f"h{i}") for i in range(400)]
+    two += [(5000 + i, dirty if i % 10 else clean, "spam") for i in range(300)]
+    got = {r["doc_id"]: r for r in rows(rules.quality_rules(spark.createDataFrame(two, "doc_id long, text string, source string")))}
+    assert all(got[i]["kept"] for i in range(400)) and all(got[5000 + i]["kept"] == (i % 10 == 0) for i in range(300))
+
+
+def test_prior_of_known_hosts(spark):
+    """The fit finds the mean and strength of a beta-binomial."""
+    import random
+
+    rnd = random.Random(5)
+    flags = []
+    for h in range(600):
+        rate = rnd.betavariate(2.0, 18.0)
+        flags += [(f"h{h}", rnd.random() < rate) for _ in range(rnd.choice((1, 40, 100)))]
+    df = spark.createDataFrame(flags, "host string, f boolean").select("host", *[rules.F.col("f").alias(f"fails_{r}") for r in rules.RULES])
+    per = rules.host_verdicts(df).select("n_docs", "short_rate").collect()
+    # A host of one document that fails nothing has the rate m s / (1 + s); one that fails has (1 + m s) / (1 + s).
+    low, high = min(r[1] for r in per if r[0] == 1), max(r[1] for r in per if r[0] == 1)
+    strength = 1 / (high - low) - 1
+    assert 13 < strength < 30 and 0.08 < low * (1 + strength) / strength < 0.12
