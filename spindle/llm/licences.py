@@ -6,9 +6,13 @@ word t of a template votes for the diagonal p - t.  A template that stands in
 the text word by word puts all its k-grams on one diagonal; one with words
 put in or left out puts them on neighbouring diagonals.  Votes are counted by
 (text, template, diagonal), neighbouring diagonals of a long template are
-merged (up to ``DRIFT`` apart), and a merged span is a finding if it holds
-enough of the template's k-grams (``COVERAGE``) within a bounded length.  The
-k-grams themselves are compared with the hashes, so a collision can't vote.
+merged (up to ``DRIFT`` apart).  Merged diagonals can chain on where a text
+repeats words of a template, so the span is not their whole length: from every
+vote a window as long as the template may stretch (``STRETCH``) is looked at,
+and the best window is a finding if the longest run of votes in it that goes
+forward in text and template holds enough of the template's k-grams
+(``COVERAGE``).  The k-grams themselves are compared with the hashes, so a
+collision can't vote.
 
 Short phrases (``PHRASES``) must stand consecutively: all votes on one
 diagonal.  They are the base; ``TEMPLATES`` are the method's own labels.
@@ -21,7 +25,10 @@ length, whatever source it comes from.
 Defined results
 * null or empty text: no words, no labels, score 0; null doc_id: kept as null
 * equal rows (id and text): one result each; rows that share only the id: apart
-* overlapping places of one phrase: each counts; ties: none arise
+* overlapping places of one phrase: each counts
+* windows of equal worth: the first one gives the span
+* words of a template repeated around a find: they don't hide it
+* very long texts: rows grow with the words, each window is bounded by the catalogue
 * empty table: no rows; other columns are ignored
 """
 
@@ -101,26 +108,45 @@ def licence_hits(docs: DataFrame) -> DataFrame:
     return hits.where(F.col("at").isNotNull() | (F.coalesce("p", F.lit(0)) == 0)).select("_k", "doc_id", "n_words", F.coalesce("p", F.lit(0)).cast("bigint").alias("p"), "at")
 
 
+def _window(n_template):
+    """How many words may lie between the first words of a window's first and last k-gram."""
+    return F.floor(n_template * F.lit(STRETCH)) + F.lit(DRIFT - K)
+
+
+def _forward(ts):
+    """Length of the longest strictly increasing run in an array of template places (kept: the smallest end of each length)."""
+
+    def step(ends, t):
+        shorter = F.filter(ends, lambda x: x < t)
+        return F.concat(shorter, F.array(t), F.slice(ends, F.size(shorter) + 2, F.size(ends)))
+
+    return F.size(F.aggregate(ts, F.array().cast("array<int>"), step))
+
+
 def findings(hits: DataFrame) -> DataFrame:
-    """(_k, template, label, base, first, last, coverage, found): merged spans by diagonal voting."""
+    """(_k, template, label, base, first, last, coverage, found): the best window of every merged span, by diagonal voting."""
     cat = F.broadcast(catalogue(hits.sparkSession))
     votes = hits.where(F.col("at").isNotNull()).select("_k", "p", F.inline("at")).distinct()
-    diagonals = votes.groupBy("_k", "template", (F.col("p") - F.col("t")).alias("diagonal")).agg(
-        F.collect_set("t").alias("ts"), F.min("p").alias("first"), (F.max("p") + K - 1).alias("last")
+    votes = votes.withColumn("diagonal", F.col("p") - F.col("t")).join(cat, "template")
+    by_diagonal = Window.partitionBy("_k", "template").orderBy("diagonal")
+    apart = F.col("diagonal") - F.lag("diagonal").over(by_diagonal) > F.when(F.col("n_template") <= SHORT, 0).otherwise(DRIFT)
+    islands = votes.withColumn("_apart", F.when(apart, 1).otherwise(0)).withColumn(
+        "_island", F.sum("_apart").over(by_diagonal.rangeBetween(Window.unboundedPreceding, Window.currentRow))
     )
-    diagonals = diagonals.join(cat, "template")
-    order = Window.partitionBy("_k", "template").orderBy("diagonal")
-    apart = F.when((F.col("n_template") <= SHORT) | (F.col("diagonal") - F.lag("diagonal").over(order) > DRIFT), 1).otherwise(0)
-    merged = (
-        diagonals.withColumn("_apart", apart)
-        .withColumn("_island", F.sum("_apart").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-        .groupBy("_k", "template", "label", "base", "n_template", "n_grams", "_island")
-        .agg(F.size(F.array_distinct(F.flatten(F.collect_list("ts")))).alias("n_ts"), F.min("first").alias("first"), F.max("last").alias("last"))
-    )
-    coverage = F.col("n_ts") / F.col("n_grams")
+    widest = max(int(n * STRETCH) + DRIFT - K for *_, n in _catalogue())
+    ahead = Window.partitionBy("_k", "template", "_island").orderBy("p").rangeBetween(Window.currentRow, widest)
+    near = F.filter(F.collect_list(F.struct("p", (-F.col("t")).alias("back"))).over(ahead), lambda v: v["p"] <= F.col("p") + _window(F.col("n_template")))
+    windows = islands.withColumn("_votes", F.array_sort(near)).withColumn("_ts", F.transform("_votes", lambda v: -v["back"]))
     short = F.col("n_template") <= SHORT
-    close = F.col("last") - F.col("first") + 1 <= F.col("n_template") * STRETCH + DRIFT
-    return merged.select("_k", "template", "label", "base", "first", "last", coverage.alias("coverage"), F.when(short, coverage == 1).otherwise((coverage >= COVERAGE) & close).alias("found"))
+    enough = lambda n: F.when(short, n == F.col("n_grams")).otherwise(n >= F.col("n_grams") * COVERAGE)
+    # Only a window with enough places of the template can have enough in order.
+    run = F.when(enough(F.size(F.array_distinct("_ts"))), _forward(F.col("_ts"))).otherwise(0)
+    windows = windows.withColumn("_run", run).withColumn("_last", F.array_max(F.transform("_votes", lambda v: v["p"])) + K - 1)
+    best = windows.groupBy("_k", "template", "label", "base", "n_template", "n_grams", "_island").agg(
+        F.max_by(F.struct("p", "_last", "_run"), F.struct("_run", -F.col("p"))).alias("b")
+    )
+    run = F.col("b._run")
+    return best.select("_k", "template", "label", "base", F.col("b.p").alias("first"), F.col("b._last").alias("last"), (run / F.col("n_grams")).alias("coverage"), enough(run).alias("found"))
 
 
 def licence_scan(docs: DataFrame) -> DataFrame:
@@ -169,21 +195,25 @@ d AS (
   FROM documents),
 g AS (SELECT k, p, w[p + 1] || ' ' || w[p + 2] || ' ' || w[p + 3] AS gram FROM (SELECT k, w, unnest(range(0, len(w) - {K - 1})) AS p FROM d)),
 v AS (SELECT k, p, template, t FROM g JOIN grams USING (gram)),
-dg AS (
-  SELECT k, template, p - t AS diagonal, list(t) AS ts, min(p) AS first, max(p) + {K - 1} AS last
-  FROM v GROUP BY k, template, p - t),
 isl AS (
   SELECT *, sum(apart) OVER (PARTITION BY k, template ORDER BY diagonal) AS island FROM (
-    SELECT dg.*, label, base, n_template, n_grams,
-      CASE WHEN n_template <= {SHORT} OR diagonal - lag(diagonal) OVER (PARTITION BY k, template ORDER BY diagonal) > {DRIFT} THEN 1 ELSE 0 END AS apart
-    FROM dg JOIN cat USING (template))),
-m AS (
-  SELECT k, label, base, n_template, n_grams, island, len(list_distinct(flatten(list(ts)))) / n_grams AS coverage, min(first) AS first, max(last) AS last
-  FROM isl GROUP BY k, template, label, base, n_template, n_grams, island),
+    SELECT k, p, template, t, diagonal, label, base, n_template, n_grams,
+      CASE WHEN diagonal - lag(diagonal) OVER (PARTITION BY k, template ORDER BY diagonal) > CASE WHEN n_template <= {SHORT} THEN 0 ELSE {DRIFT} END THEN 1 ELSE 0 END AS apart
+    FROM (SELECT DISTINCT k, p, template, t, p - t AS diagonal FROM v) JOIN cat USING (template))),
+win AS (
+  SELECT a.k, a.template, a.label, a.base, a.n_template, a.n_grams, a.island, a.p AS first, a.t AS t0,
+    list(b.t ORDER BY b.p, b.t DESC) AS ts, max(b.p) + {K - 1} AS last
+  FROM isl a JOIN isl b ON a.k = b.k AND a.template = b.template AND a.island = b.island
+    AND b.p >= a.p AND b.p <= a.p + CAST(floor(a.n_template * {STRETCH}) AS BIGINT) + {DRIFT - K}
+  GROUP BY a.k, a.template, a.label, a.base, a.n_template, a.n_grams, a.island, a.p, a.t),
+run AS (
+  SELECT *, len(list_reduce(list_transform(ts, lambda x: [x]),
+    lambda e, x: list_filter(e, lambda y: y < x[1]) || x || e[len(list_filter(e, lambda y: y < x[1])) + 2:])) AS n
+  FROM win),
 f AS (
-  SELECT *, CASE WHEN n_template <= {SHORT} THEN coverage = 1
-                 ELSE coverage >= {COVERAGE} AND last - first + 1 <= n_template * {STRETCH} + {DRIFT} END AS found
-  FROM m),
+  SELECT k, template, label, base, island, first, last, n / n_grams AS coverage,
+    CASE WHEN n_template <= {SHORT} THEN n = n_grams ELSE n >= n_grams * {COVERAGE} END AS found
+  FROM (SELECT *, row_number() OVER (PARTITION BY k, template, island ORDER BY n DESC, first) AS i FROM run) WHERE i = 1),
 a AS (
   SELECT k, count(*) FILTER (WHERE base AND found) AS n_base, min(first) FILTER (WHERE base AND found) AS first_word,
     max(first) FILTER (WHERE base AND found) AS last_word,
