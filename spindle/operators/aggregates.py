@@ -15,6 +15,7 @@ from pyspark.sql.window import Window
 from .metrics import hard_pred
 from .util import with_group_stats
 from .vocab import UNK_ID, lookup_ids
+from .windows import quantiles, with_quantiles
 
 Z_95 = 1.96  # fixed value: normal quantile used for marginal errors
 
@@ -26,10 +27,9 @@ def count_tokens(tok: DataFrame, approx: bool = False) -> DataFrame:
 
 
 def mean_median_std(df: DataFrame, value: str, group: tuple = ()) -> DataFrame:
-    """#43: mean, exact median (linear interpolation) and population std."""
-    return df.groupBy(*group).agg(
-        F.avg(value).alias("mean"), F.percentile(value, 0.5).alias("median"), F.stddev_pop(value).alias("std")
-    )
+    """#43: mean, exact median (linear interpolation, see ``quantiles``) and population std."""
+    stats = df.groupBy(*group).agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"))
+    return with_quantiles(stats, quantiles(df, value, {"median": 0.5}, group), group).select(*group, "mean", "median", "std")
 
 
 def marginal_error(df: DataFrame, value: str, group: tuple = (), z: float = Z_95) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .joins import group_argmax
+from .windows import quantiles, with_quantiles
 
 
 def best_vocab(res: DataFrame, group=("tokenizer_type", "mol_rep"), score: str = "score") -> DataFrame:
@@ -97,8 +98,7 @@ def training_log(lines: DataFrame, text: str = "line") -> DataFrame:
 
 
 def distribution(df: DataFrame, value: str, group: list[str]) -> DataFrame:
-    """#164: box / violin inputs: min, q1, median, q3, max, mean (exact percentiles)."""
-    q = F.percentile(value, [0.25, 0.5, 0.75])
-    return df.groupBy(*group).agg(
-        F.min(value).alias("min"), q.alias("_q"), F.max(value).alias("max"), F.avg(value).alias("mean"), F.count(F.lit(1)).alias("n")
-    ).select(*group, "min", F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"), F.col("_q")[2].alias("q3"), "max", "mean", "n")
+    """#164: box / violin inputs: min, q1, median, q3, max, mean (exact, see ``quantiles``)."""
+    stats = df.groupBy(*group).agg(F.min(value).alias("min"), F.max(value).alias("max"), F.avg(value).alias("mean"), F.count(F.lit(1)).alias("n"))
+    quarts = quantiles(df, value, {"q1": 0.25, "median": 0.5, "q3": 0.75}, tuple(group))
+    return with_quantiles(stats, quarts, tuple(group)).select(*group, "min", "q1", "median", "q3", "max", "mean", "n")

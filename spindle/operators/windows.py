@@ -85,6 +85,49 @@ def midrank_weighted(df: DataFrame, value: str, weight: str, key: str, group: tu
     return cum.drop("_cw").join(block, [*g, value])
 
 
+def quantiles(df: DataFrame, value: str, probs: dict[str, float], group: tuple = (), weight: str | None = None) -> DataFrame:
+    """Exact quantiles by group, interpolated linearly: one row per group with a column per name in ``probs``.
+
+    Rows are counted per distinct value first (``weight``: a whole number of
+    times that a row counts), the counts get a running sum over the values, and
+    a quantile lies between the two values whose runs of ranks hold its lower
+    and upper rank.  No task holds a group's values: a hot value is one count,
+    and a group of many values is spread over the ranges of the running sum.
+
+    Null values and rows of weight 0 or null don't count; a group without any
+    has nulls.  NaN is the largest value.
+    """
+    assert all(0 <= q <= 1 for q in probs.values()), "a quantile's share lies between 0 and 1"
+    n = F.coalesce(F.col(weight), F.lit(0)) if weight else F.lit(1)
+    rows = df.select(_group_key(group).alias("_g"), F.col(value).cast("double").alias("_x"), n.cast("bigint").alias("_n"))
+    counts = rows.groupBy("_g", "_x").agg(F.sum(F.when(F.col("_x").isNotNull(), F.col("_n")).otherwise(0)).alias("_cnt"))
+    cum = ordered_cumsum(counts, [F.col("_x")], "_cnt", ("_g",), "_cum")
+    runs = cum.join(cum.groupBy("_g").agg(F.max("_cum").alias("_total")), "_g")
+    first = F.col("_cum") - F.col("_cnt")
+    at = lambda rank: F.max(F.when((first <= rank) & (rank < F.col("_cum")), F.col("_x")))
+    parts, out = [], []
+    for i, (name, q) in enumerate(probs.items()):
+        rank = F.lit(float(q)) * (F.col("_total") - 1)
+        parts += [at(F.floor(rank)).alias(f"_lo{i}"), at(F.ceil(rank)).alias(f"_hi{i}"), F.max(rank - F.floor(rank)).alias(f"_share{i}")]
+        lo, hi, share = (F.col(f"_{x}{i}") for x in ("lo", "hi", "share"))
+        out.append(F.when(lo == hi, lo).otherwise(lo + (hi - lo) * share).alias(name))
+    found = runs.groupBy("_g").agg(*parts)
+    return found.select(*[F.col("_g")[f"g{i}"].alias(c) for i, c in enumerate(group)], *out)
+
+
+def _group_key(group: tuple) -> Column:
+    """The group columns as one struct: structs with equal nulls are equal, so null groups join, too."""
+    return F.struct(F.lit(0).alias("one"), *[F.col(c).alias(f"g{i}") for i, c in enumerate(group)])
+
+
+def with_quantiles(stats: DataFrame, quants: DataFrame, group: tuple = ()) -> DataFrame:
+    """``stats`` with the columns of ``quants``, both one row per group."""
+    if not group:
+        return with_group_stats(stats, quants, [])
+    right = quants.select(_group_key(group).alias("_g"), *[c for c in quants.columns if c not in group])
+    return stats.withColumn("_g", _group_key(group)).join(right, "_g", "left").drop("_g")
+
+
 def roc_curve(pred: DataFrame, score: str = "p", label: str = "y", group: tuple = ()) -> DataFrame:
     """#57: per distinct threshold (desc): cumulative tp, fp and the rates."""
     g = list(group)

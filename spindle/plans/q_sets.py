@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import windows as W
 from ..sources import fixtures as X
 from . import sql as S
 from .registry import query
@@ -28,7 +29,8 @@ def q_head_n(spark, sf):
 )
 def q_sort_by_list_median(spark, sf):
     p = X.predictions(spark, sf)
-    m = p.groupBy("lang").agg(F.round(F.percentile("p", 0.5), 6).alias("median_p"), F.count(F.lit(1)).alias("n"))
+    m = W.with_quantiles(p.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), W.quantiles(p, "p", {"median_p": 0.5}, ("lang",)), ("lang",))
+    m = m.select("lang", F.round("median_p", 6).alias("median_p"), "n")
     return m.orderBy(F.col("median_p").desc(), "lang")
 
 

@@ -250,3 +250,48 @@ def test_vocab_of_learned_merges_holds_longer_tokens(spark):
     merges, _ = L.learn_merges(spark, L.word_freq(X.tokens(X.corpus(spark, "/root/testdata/sf0.001"), words_only=True)), 50)
     assert {r["left"] + r["right"] for r in merges.collect()} <= set(vocab)
     assert any(len(t) > 2 and t.isalpha() for t in vocab)
+
+
+def test_quantiles_equal_sorted_rows(spark):
+    """Against sorting each group: null groups, null values, one row, ties, weights, more values than a range."""
+    rnd = random.Random(3)
+    data = [("hot", 1.0, 1)] * 400 + [("hot", rnd.random() * 9, rnd.randint(0, 3)) for _ in range(300)]
+    data += [(None, float(i), 2) for i in range(7)] + [("one", 5.0, 1), ("none", None, 1), ("some", None, 4), ("some", 2.0, 1), ("some", 4.0, 3), ("off", 1.0, 0)]
+    df = spark.createDataFrame(data, "g string, x double, w int")
+    probs = {"lo": 0.0, "q1": 0.25, "median": 0.5, "p97": 0.975, "hi": 1.0}
+
+    def want(values, q):
+        if not values:
+            return None
+        at = q * (len(values) - 1)
+        lo, hi = values[math.floor(at)], values[math.ceil(at)]
+        return lo + (hi - lo) * (at - math.floor(at))
+
+    for weight in (None, "w"):
+        got = {r["g"]: r for r in W.quantiles(df, "x", probs, ("g",), weight).collect()}
+        assert set(got) == {"hot", None, "one", "none", "some", "off"}
+        for g, r in got.items():
+            values = sorted(x for h, x, w in data if h == g and x is not None for _ in range(w if weight else 1))
+            for name, q in probs.items():
+                assert r[name] == (None if not values else pytest.approx(want(values, q)))
+    whole = W.quantiles(df, "x", {"median": 0.5}).collect()
+    assert whole[0]["median"] == want(sorted(x for _, x, _ in data if x is not None), 0.5)
+    assert W.quantiles(df.limit(0), "x", {"median": 0.5}, ("g",)).collect() == []
+
+
+def test_statistics_with_quantiles(spark):
+    from spindle.operators import aggregates as A
+    from spindle.operators import report as R
+
+    df = spark.createDataFrame([("a", 1.0), ("a", 2.0), ("a", 9.0), (None, 4.0), (None, 6.0), ("b", None)], "g string, x double")
+    got = {r["g"]: r for r in A.mean_median_std(df, "x", ("g",)).collect()}
+    assert (got["a"]["median"], got[None]["median"], got["b"]["median"], got["b"]["mean"]) == (2.0, 5.0, None, None)
+    assert A.mean_median_std(df, "x").first()["median"] == 4.0
+    box = {r["g"]: r for r in R.distribution(df, "x", ["g"]).collect()}
+    assert tuple(box["a"])[1:] == (1.0, 1.5, 2.0, 5.5, 9.0, 4.0, 3) and box[None]["q3"] == 5.5
+
+
+def test_quantiles_gather_no_values(spark):
+    df = spark.range(100).select((F.col("id") % 2).alias("g"), F.col("id").cast("double").alias("x"))
+    plan = W.quantiles(df, "x", {"median": 0.5}, ("g",))._jdf.queryExecution().optimizedPlan().toString()
+    assert "percentile" not in plan and "collect" not in plan
