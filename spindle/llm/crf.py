@@ -4,11 +4,18 @@ Every line of a document is good or bad.  A line's features are shares of
 character classes, its length, words that repeat the word before and a flag
 for a line seen earlier in the text, for the line itself and its two
 neighbours.  Pairs of neighbouring labels have weights of their own.  The
-forward-backward algorithm gives each line's probability of being good, and a
-document's score is their mean weighted by line length.
-
-The weights maximise the likelihood of labelled documents, every line bearing
-its document's label.  They are fitted in one task on a bounded sample:
+forward-backward algorithm gives each line's probability of being good.  Their
+mean weighted by line length is the document's share of good text, and a
+logistic curve over the share gives the score, the probability of label 1.
+
+Labels mark documents, not lines, so a line's label is latent.  It starts as its
+document's; a model of the line's own features, fitted to that, and then the
+chain itself relabel the lines in ``ROUNDS`` rounds of hard expectation and
+maximisation.  The document's label constrains them: at least ``AT_LEAST`` of a
+document's length bears its label, the lines that fit it best; the others bear
+what the model says.  So clean lines of a bad document become good and junk in a
+good one bad, and the chain learns where labels change.  The weights are fitted in
+one task on a bounded sample:
 ``TRAIN_DOCS`` labelled documents with the smallest hash among the training
 rows; all documents are scored.  Only the text is an input.
 
@@ -38,6 +45,10 @@ from .common import arrow_schema, read_table, slices
 
 #: Labelled documents that the weights are fitted on; steps and rate of the ascent; penalty on squared weights.
 TRAIN_DOCS, STEPS, RATE, PENALTY = 4000, 200, 0.5, 1e-5
+#: Penalty on squared weights of neighbours' features: a line's own features speak first.
+PENALTY_BESIDE = 1e-3
+#: Rounds in which lines are labelled anew; the least share of a document's length that bears its label.
+ROUNDS, AT_LEAST = 2, 0.3
 #: A document is predicted good from this score on; the share of documents held out is one in FOLDS.
 GOOD, FOLDS = 0.3, 5
 SLICE_BYTES = 1 << 20
@@ -184,8 +195,55 @@ def marginals(good: np.ndarray, n_lines: np.ndarray, trans: np.ndarray, pairs: b
     return p, counts, float(z.sum())
 
 
+def _ascend(slope_at, penalty: np.ndarray) -> np.ndarray:
+    """Weights by gradient ascent (Adam); ``slope_at(theta)`` is the slope of the likelihood, ``penalty`` that of each weight."""
+    theta, m, v = np.zeros(len(penalty)), 0.0, 0.0
+    for step in range(1, STEPS + 1):
+        slope = slope_at(theta) - penalty * theta
+        m, v = 0.9 * m + 0.1 * slope, 0.999 * v + 0.001 * slope**2
+        theta = theta + RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+    return theta
+
+
+def _logistic(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
+
+
+def _fit_chain(x: np.ndarray, y: np.ndarray, n_lines: np.ndarray) -> np.ndarray:
+    """Weights of the features, then of the four label pairs, for lines with labels ``y``."""
+    inner = np.ones(len(y), bool)
+    inner[np.cumsum(n_lines) - n_lines] = False
+    at = np.flatnonzero(inner)
+    gold = np.zeros((2, 2))
+    np.add.at(gold, (y[at - 1].astype(int), y[at].astype(int)), 1)
+
+    def slope(theta: np.ndarray) -> np.ndarray:
+        p, pairs, _ = marginals(x @ theta[:-4], n_lines, theta[-4:].reshape(2, 2), pairs=True)
+        return np.concatenate([x.T @ (y - p), (gold - pairs).ravel()]) / len(y)
+
+    penalty = np.full(N_FEATURES + 4, PENALTY)
+    penalty[1 + OWN : N_FEATURES] = PENALTY_BESIDE
+    return _ascend(slope, penalty)
+
+
+def relabelled(p: np.ndarray, weight: np.ndarray, n_lines: np.ndarray, labels: np.ndarray) -> np.ndarray:
+    """The likelier label of each line, but its document's for the lines that fit it best, up to AT_LEAST of the length.
+
+    ``p``: probability of good of each line; lines that fit equally: the earlier first.
+    """
+    doc = np.repeat(np.arange(len(n_lines)), n_lines)
+    own = labels[doc].astype(bool)
+    order = np.lexsort((np.arange(len(p)), np.where(own, -p, p), doc))
+    before = np.cumsum(weight[order]) - weight[order]
+    start = np.repeat(before[np.cumsum(n_lines) - n_lines], n_lines)
+    total = np.repeat(np.add.reduceat(weight, np.cumsum(n_lines) - n_lines), n_lines)
+    forced = np.empty(len(p), bool)
+    forced[order] = before - start < AT_LEAST * total
+    return np.where(forced, own, p >= 0.5).astype(np.float64)
+
+
 def fit(texts: list[bytes], labels: np.ndarray) -> np.ndarray:
-    """Weights of the features, then of the four label pairs, by gradient ascent (Adam) on the penalised likelihood."""
+    """Weights of the features, of the four label pairs, then slope and offset of the score's curve."""
     # Some texts at a time: the work arrays are many times as large as the texts.
     parts, batch, size = [], [], 0
     for i, text in enumerate(texts):
@@ -194,31 +252,39 @@ def fit(texts: list[bytes], labels: np.ndarray) -> np.ndarray:
         if size > SLICE_BYTES or i == len(texts) - 1:
             parts.append(line_features(batch))
             batch, size = [], 0
-    x, n_lines = (np.concatenate([p[i] for p in parts]) for i in (0, 2))
-    y = np.repeat(labels, n_lines).astype(np.float64)
+    x, chars, n_lines = (np.concatenate([p[i] for p in parts]) for i in (0, 1, 2))
+    weight = chars.astype(np.float64) + 1
+    # The first labels come from a line's own features: a neighbour's would carry the document's label over.
+    alone, y = x[:, : 1 + OWN], np.repeat(labels, n_lines).astype(np.float64)
+    theta = _ascend(lambda w: alone.T @ (y - _logistic(alone @ w)) / len(y), np.full(1 + OWN, PENALTY))
+    p = _logistic(alone @ theta)
+    for _ in range(ROUNDS):
+        theta = _fit_chain(x, relabelled(p, weight, n_lines, labels), n_lines)
+        p = marginals(x @ theta[:-4], n_lines, theta[-4:].reshape(2, 2))[0]
+    share = _share(p, weight, n_lines)
+    basis = np.stack([share - 0.5, np.ones(len(share))], axis=1)
+    curve = _ascend(lambda w: basis.T @ (labels - _logistic(basis @ w)) / len(labels), np.full(2, PENALTY))
+    return np.concatenate([theta, [max(curve[0], 0.0), curve[1]]])
+
+
+def _share(p: np.ndarray, weight: np.ndarray, n_lines: np.ndarray) -> np.ndarray:
+    """The mean of ``p`` weighted by length, by document."""
     first = np.cumsum(n_lines) - n_lines
-    inner = np.ones(len(y), bool)
-    inner[first] = False
-    at = np.flatnonzero(inner)
-    gold = np.zeros((2, 2))
-    np.add.at(gold, (y[at - 1].astype(int), y[at].astype(int)), 1)
-    theta, m, v = np.zeros(N_FEATURES + 4), 0.0, 0.0
-    for step in range(1, STEPS + 1):
-        p, pairs, _ = marginals(x @ theta[:-4], n_lines, theta[-4:].reshape(2, 2), pairs=True)
-        slope = np.concatenate([x.T @ (y - p), (gold - pairs).ravel()]) / len(y) - PENALTY * theta
-        m, v = 0.9 * m + 0.1 * slope, 0.999 * v + 0.001 * slope**2
-        theta = theta + RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-    return theta
+    return np.clip(np.add.reduceat(weight * p, first) / np.add.reduceat(weight, first), 0, 1)
 
 
-def score(texts: list[bytes], theta: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(length-weighted mean probability of good, lines, lines more likely bad than good) of each text."""
+def line_probabilities(texts: list[bytes], theta: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(probability of good of each line, its weight, lines of each text)."""
     x, chars, n_lines = line_features(texts)
-    p, _, _ = marginals((x @ theta[:-4].astype(np.float32)).astype(np.float64), n_lines, theta[-4:].reshape(2, 2))
-    first = np.cumsum(n_lines) - n_lines
-    weight = chars.astype(np.float64) + 1
-    total = np.add.reduceat(weight * p, first) / np.add.reduceat(weight, first)
-    return np.clip(total, 0, 1), n_lines, np.add.reduceat(p < 0.5, first, dtype=np.int64)
+    p, _, _ = marginals((x @ theta[:-6].astype(np.float32)).astype(np.float64), n_lines, theta[-6:-2].reshape(2, 2))
+    return p, chars.astype(np.float64) + 1, n_lines
+
+
+def score(texts: list[bytes], theta: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(score from the share of good text, lines, lines more likely bad than good) of each text."""
+    p, weight, n_lines = line_probabilities(texts, theta)
+    total = _logistic(theta[-2] * (_share(p, weight, n_lines) - 0.5) + theta[-1])
+    return total, n_lines, np.add.reduceat(p < 0.5, np.cumsum(n_lines) - n_lines, dtype=np.int64)
 
 
 def _bytes(column: pa.Array) -> list[bytes]:

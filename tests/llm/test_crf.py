@@ -92,3 +92,36 @@ def test_nothing_to_learn_from(spark):
     assert crf.train(docs, none) == [0.5]
     one = spark.createDataFrame([(i, 1) for i in range(10)], "doc_id long, quality int")
     assert [r["score"] for r in rows(crf.scores(docs, crf.train(docs, one)))] == [1.0, 1.0]
+
+
+def test_relabelled_lines():
+    """The lines that fit a document's label best bear it; the others what the model says."""
+    p = np.array([0.9, 0.8, 0.1, 0.2, 0.9, 0.7, 0.3])
+    got = crf.relabelled(p, np.ones(7), np.array([4, 3]), np.array([0.0, 1.0]))
+    assert got.tolist() == [1, 1, 0, 0, 1, 1, 0]
+    # Where nothing fits, the label still holds for the best lines, by length.
+    got = crf.relabelled(np.full(4, 0.9), np.array([1.0, 1.0, 1.0, 7.0]), np.array([4]), np.array([0.0]))
+    assert got.tolist() == [0, 0, 0, 1]
+    assert crf.relabelled(np.array([0.9]), np.ones(1), np.array([1]), np.array([0.0])).tolist() == [0]
+
+
+def test_lines_of_mixed_documents(spark):
+    """Labels of whole documents teach labels of lines: junk in good documents and clean lines in bad ones are told apart."""
+    data = corpus(600, 5)
+    theta = crf.fit([t.encode() for _, t, _ in data], np.array([q for *_, q in data], float))
+    rng = np.random.default_rng(6)
+    texts, truth = [], []
+    for i in range(200):
+        clean = [" ".join(rng.choice(["alpha", "beta", "gamma", "delta", "of", "the"], 8)).capitalize() + "." for _ in range(8)]
+        junk = rng.random(8) < (0.2 if i % 2 else 0.7)
+        texts.append("\n".join(x.replace(" ", "### ") if j and i % 4 < 2 else x.upper().replace(" ", "!! ") if j else x for x, j in zip(clean, junk, strict=True)))
+        truth.append(junk)
+    p, _, n_lines = crf.line_probabilities([t.encode() for t in texts], theta)
+    bad, want = p < 0.5, np.concatenate(truth)
+    assert (n_lines == 8).all()
+    for flags, gold in ((bad, want), (~bad, ~want)):
+        hits = (flags & gold).sum()
+        assert 2 * hits / (flags.sum() + gold.sum()) >= 0.9
+    scores, _, n_bad = crf.score([t.encode() for t in texts], theta)
+    assert ((n_bad > 0) & (n_bad < 8)).mean() > 0.8
+    assert np.corrcoef(scores, [1 - j.mean() for j in truth])[0, 1] > 0.8

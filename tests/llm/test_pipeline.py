@@ -55,8 +55,9 @@ def plain(spark, folder):
     docs = {}
     for i, t, _ in corpus():
         x, chars, n = crf.line_features([(t or "").encode()])
-        p, _, _ = crf.marginals(x @ theta[:-4], n, theta[-4:].reshape(2, 2))
-        if ((chars + 1) * p).sum() / (chars + 1).sum() >= crf.GOOD:
+        p, _, _ = crf.marginals(x @ theta[:-6], n, theta[-6:-2].reshape(2, 2))
+        share = ((chars + 1) * p).sum() / (chars + 1).sum()
+        if 1 / (1 + np.exp(-(theta[-2] * (share - 0.5) + theta[-1]))) >= crf.GOOD:
             docs[i] = t
     m = {i: measures(t) for i, t in docs.items()}
     fails = {i: {r for r, (cond, _) in rules.RULES.items() if eval(cond, {}, v)} for i, v in m.items()}  # noqa: S307
