@@ -4,8 +4,9 @@ Generators (regular expressions with high recall) propose spans, which may
 overlap.  Boosted trees score every candidate from its format (lengths, digit
 groups, separators) and its context (keywords before it, neighbouring
 characters).  They are trained on the corpus itself: a candidate is a positive
-example if it passes its kind's full check (``VALID``), none of which is a
-feature.  For each kind the smallest threshold whose held-out precision
+example if it passes its kind's full check (``_valid``).  Length and digit count
+are features and decide some of these checks, so the trees mostly repeat them.
+For each kind the smallest threshold whose held-out precision
 reaches ``PRECISION`` on at least ``EVIDENCE`` candidates is chosen, and
 candidates at or above it are redacted, unless a checksum (cards) or range
 (addresses) rules them out.  A kind without such a threshold is redacted where
