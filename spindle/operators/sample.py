@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
+from .rowwise import as_token_rows, kept_tokens
 from .util import with_group_stats
 from .windows import ordered_cumsum, ordinal_index
 
@@ -104,30 +105,26 @@ def oversample_minority(spark, df: DataFrame, label: str = "label", factor: int
 
 def perturb_keep_fraction(tok: DataFrame, reps: int = 3, frac: float = 0.9, seed: int = 42) -> DataFrame:
     """#110: per (row, rep) keep max(1, int(frac·n)) tokens chosen by md5 rank, in
-    original order.  ``tok(id, pos, token)`` → (id, rep, tokens)."""
-    t = tok.select("id", "pos", "token", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"))
-    w = Window.partitionBy("id", "rep")
-    r = t.withColumn("_r", F.row_number().over(w.orderBy(T.md5_rank_key(seed, "id", "rep", "pos"), "pos"))).withColumn(
-        "_n", F.count(F.lit(1)).over(w)
-    )
-    kept = r.where(F.col("_r") <= F.greatest(F.lit(1), F.floor(F.col("_n") * F.lit(frac))))
-    return kept.groupBy("id", "rep").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("pos", "token"))), lambda s: s["token"]).alias("tokens")
-    )
+    original order.  ``tok``: rows of ``token_rows`` or a long (id, pos, token) → (id, rep, tokens).
+
+    A row's tokens are ranked where the row lies: they are neither repeated nor shuffled per repetition."""
+    return kept_tokens(as_token_rows(tok, ["id"]), ["id"], reps, frac, seed)
 
 
 def perturb_replace_token(tok: DataFrame, seed: int = 42) -> DataFrame:
     """#111: per row, the token at the md5-smallest position is replaced everywhere
     by the md5-smallest *other* distinct token of the row (none → unchanged).
-    ``tok(id, pos, token)`` → (id, target, replacement, tokens)."""
-    tgt = tok.groupBy("id").agg(F.min_by("token", T.md5_rank_key(seed, "id", "pos")).alias("target"))
-    cand = tok.select("id", "token").distinct().join(tgt, "id").where(F.col("token") != F.col("target"))
-    rep = cand.groupBy("id").agg(F.min_by("token", T.md5_rank_key(seed, "id", "token")).alias("replacement"))
-    t = tok.join(tgt, "id").join(rep, "id", "left")
-    new = F.when((F.col("token") == F.col("target")) & F.col("replacement").isNotNull(), F.col("replacement")).otherwise(F.col("token"))
-    return t.groupBy("id", "target", "replacement").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("pos", new.alias("t")))), lambda s: s["t"]).alias("tokens")
-    )
+    ``tok``: rows of ``token_rows`` or a long (id, pos, token) → (id, target, replacement, tokens)."""
+    rows = as_token_rows(tok, ["id"]).where(F.col("id").isNotNull())
+    first = F.array_min(F.transform("_t", lambda x: F.struct(T.md5_rank_key(seed, "id", x["pos"]), x["token"].alias("t"))))["t"]
+    t = rows.select("id", F.arrays_zip("pos", F.col("tokens").alias("token")).alias("_t"), "tokens").withColumn("target", first)
+    others = F.filter(F.array_distinct("tokens"), lambda x: x != F.col("target"))
+    other = F.array_min(F.transform(others, lambda x: F.struct(T.md5_rank_key(seed, "id", x), x.alias("t"))))["t"]
+    t = t.withColumn("replacement", other)
+    changed = lambda x: F.when((x == F.col("target")) & F.col("replacement").isNotNull(), F.col("replacement")).otherwise(x)
+    # rows that share an id repeat positions: there the new tokens decide the order
+    placed = F.array_sort(F.transform("_t", lambda x: F.struct(x["pos"].alias("pos"), changed(x["token"]).alias("t"))))
+    return t.select("id", "target", "replacement", placed["t"].alias("tokens"))
 
 
 def poisson_thresholds(k_max: int = 12) -> list[float]:

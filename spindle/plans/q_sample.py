@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import clean as C
+from ..operators import rowwise as RW
 from ..operators import sample as SM
 from ..sources import fixtures as X
 from . import sql as S
@@ -116,7 +117,7 @@ SELECT id, rep, count(*) AS n_kept, md5(array_to_string(list(token ORDER BY pos)
 FROM r WHERE rk <= greatest(1, floor(n * 9e-1)) GROUP BY id, rep""",
 )
 def q_perturb_keep_fraction(spark, sf):
-    p = SM.perturb_keep_fraction(X.tokens(X.corpus(spark, sf)), reps=3, frac=0.9, seed=42)
+    p = SM.perturb_keep_fraction(RW.token_rows(X.corpus(spark, sf), ["id"], tokens=T.text_tokens, pattern=T.TEXT_TOKEN_PATTERN), reps=3, frac=0.9, seed=42)
     return p.select("id", F.col("rep").cast("bigint").alias("rep"), F.size("tokens").cast("bigint").alias("n_kept"), F.md5(F.array_join("tokens", " ")).alias("sig"))
 
 
@@ -131,7 +132,7 @@ SELECT t.id, g.target, r.replacement,
 FROM tokens t JOIN tgt g ON t.id = g.id LEFT JOIN rep r ON t.id = r.id GROUP BY t.id, g.target, r.replacement""",
 )
 def q_perturb_replace_token(spark, sf):
-    p = SM.perturb_replace_token(X.tokens(X.corpus(spark, sf)), seed=42)
+    p = SM.perturb_replace_token(RW.token_rows(X.corpus(spark, sf), ["id"], tokens=T.text_tokens, pattern=T.TEXT_TOKEN_PATTERN), seed=42)
     return p.select("id", "target", "replacement", F.md5(F.array_join("tokens", " ")).alias("sig"))
 
 
