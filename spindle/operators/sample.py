@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
-from .rowwise import as_token_rows, kept_tokens
+from .rowwise import as_token_rows, kept_tokens, with_words
 from .util import with_group_stats
 from .windows import ordered_cumsum, ordinal_index
 
@@ -111,6 +111,11 @@ def perturb_keep_fraction(tok: DataFrame, reps: int = 3, frac: float = 0.9, seed
     return kept_tokens(as_token_rows(tok, ["id"]), ["id"], reps, frac, seed)
 
 
+def perturbed_rows(rows: DataFrame, reps: int, frac: float = 0.9, seed: int = 42) -> DataFrame:
+    """Rows of ``token_rows`` with the same ``reps`` copies as ``perturb_keep_fraction``, known by what they drop."""
+    return with_words(rows, ["id"], reps, frac, seed)
+
+
 def perturb_replace_token(tok: DataFrame, seed: int = 42) -> DataFrame:
     """#111: per row, the token at the md5-smallest position is replaced everywhere
     by the md5-smallest *other* distinct token of the row (none → unchanged).

@@ -69,3 +69,46 @@ def test_replace_token_shuffles_no_tokens(spark):
             assert (got[i]["target"], got[i]["replacement"]) == (target, other)
             assert got[i]["tokens"] == [other if w == target and other else w for _, w in v]
     assert Counter(got[3]["tokens"])[got[3]["replacement"]] == 2 and len(got[3]["tokens"]) == 9
+
+
+def test_explanations_shuffle_no_positions(spark):
+    """Measures of rows with repeated ids and tokens, against a plain version; no window or sort of token rows."""
+    from pyspark.sql import functions as F
+
+    from spindle.operators import quality as Q
+
+    texts = [(1, "a b a c"), (2, "c d"), (2, "e e a"), (3, "b")]
+    weights = {"a": 1.0, "b": -2.0, "c": 0.5, "d": 3.0}
+    df = spark.createDataFrame(texts, "id long, text string")
+    w = spark.createDataFrame(list(weights.items()), "token string, w double")
+    tw = RW.weighted_rows(RW.with_words(RW.token_rows(df, ["id"]), ["id"]), ["id"], w)
+    m = Q.row_measures(tw, ["id"], F.lit(0.1), ("removed",))
+    assert "Window" not in _plan(m)
+    got = {(r["method"], r["id"]): (r["total"], r["removed"]) for r in m.collect()}
+    rows = {}
+    for i, t in texts:
+        rows.setdefault(i, []).extend(enumerate(t.split()))
+    assert len(got) == 4 * len(rows)
+    for i, r in rows.items():
+        r = sorted(r)
+        of = [weights.get(t, 0.0) for _, t in r]
+        count = Counter(t for _, t in r)
+        for method, score in (("ig", of), ("occlusion", [x * count[t] for x, (_, t) in zip(of, r)])):
+            order = sorted(range(len(r)), key=lambda j: (-score[j], r[j][0]))[: max(1, int(len(r) * 0.4))]
+            top = {r[j][1] for j in order}
+            want = (sum(of), sum(x for x, (_, t) in zip(of, r) if t in top))
+            assert all(abs(a - b) < 1e-9 for a, b in zip(got[method, i], want)), (method, i)
+
+
+def test_perturbed_copies_equal_kept_tokens(spark):
+    """The measured copies of a row are those that ``perturb_keep_fraction`` gives; the counts of all copies add up."""
+    rows = RW.token_rows(_texts(spark), ["id"], tokens=T.text_tokens, pattern=T.TEXT_TOKEN_PATTERN)
+    copies = {(r["id"], r["rep"]): r["tokens"] for r in SM.perturb_keep_fraction(rows, reps=2).collect()}
+    for r in SM.perturbed_rows(rows, reps=2).collect():
+        total = Counter(r["tokens"])
+        for rep in range(2):
+            gone = set(r["dropped"][r["cuts"][rep] : r["cuts"][rep + 1]])
+            left = [t for i, t in enumerate(r["tokens"]) if i not in gone]
+            assert left == copies[r["id"], rep]
+            total.update(left)
+        assert dict(zip(r["words"], r["n_all"])) == total and dict(zip(r["words"], r["n"])) == Counter(r["tokens"])
