@@ -112,3 +112,19 @@ def test_perturbed_copies_equal_kept_tokens(spark):
             assert left == copies[r["id"], rep]
             total.update(left)
         assert dict(zip(r["words"], r["n_all"])) == total and dict(zip(r["words"], r["n"])) == Counter(r["tokens"])
+
+
+def test_bigram_model_reads_the_texts_once(spark):
+    from spindle.operators import model as MD
+
+    train = spark.createDataFrame([(1, "a b a"), (2, "a b")], "id long, text string")
+    scored = MD.score_bigrams(spark.createDataFrame([(9, "a b z")], "id long, text string"), train, "id")
+    assert "LocalTableScan" in _plan(scored) or "Scan ExistingRDD" in _plan(scored)
+    plan = _plan(scored)
+    assert plan.count("posexplode") + plan.count("Generate") <= 2  # of the held-out text only
+    got = [round(r["logp"], 9) for r in scored.orderBy("pos").collect()]
+    # V = a, b, </s> and <unk>
+    import math
+
+    want = [math.log(2.5 / 4), math.log(2.5 / 5), math.log(0.5 / 4), -math.log(4)]
+    assert got == [round(x, 9) for x in want]
