@@ -64,3 +64,19 @@ def test_empty_and_single_sets(spark):
     assert J.similarity_self_join(df.limit(0), 0.6)[0].collect() == []
     with pytest.raises(ValueError):
         J.similarity_self_join(df, 0.0)
+
+
+def test_sets_as_arrays_equal_sets_as_rows(spark):
+    rows = [(1, ["b", "a", "b"]), (2, ["a"]), (2, ["b"]), (3, []), (4, None), (5, ["c"]), (None, ["c"])]
+    arrays = spark.createDataFrame(rows, "id long, tokens array<string>")
+    for df, copies in ((arrays, {1: 2, 5: 2}), (arrays.where("id <> 2"), {1: 1, 5: 1})):
+        long = df.select("id", F.explode("tokens").alias("token")).distinct()
+        got, want = ([sorted(map(str, part.collect())) for part in J.collapse_identical_sets(x)] for x in (df, long))
+        assert got == want and sorted(map(str, J.similarity_members(df).collect())) == sorted(map(str, J.similarity_members(long).collect()))
+        assert {r["id"]: r["m"] for r in J.collapse_identical_sets(df)[1].collect()} == copies
+
+
+def test_counting_copies_shuffles_signatures_only(spark):
+    rows = spark.createDataFrame([(i, [f"w{i % 7}", "x"]) for i in range(50)], "id long, tokens array<string>")
+    plan = J.collapse_identical_sets(rows)[1]._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Generate" not in plan
