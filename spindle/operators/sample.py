@@ -10,11 +10,16 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 from pyspark.sql.window import Window
 
 from ..functions import text as T
+from ..session import ship_package
+from .md5 import first_words
 from .rowwise import as_token_rows, kept_tokens, with_words
 from .util import with_group_stats
 from .windows import ordered_cumsum, ordinal_index
@@ -158,17 +163,66 @@ def bootstrap_ci(
 
     Poisson bootstrap: in resample r every row enters w ~ Poisson(1) times,
     w drawn from md5(seed:group:r:key).  Each resample mean is
-    Σ w·x / Σ w (a resample with Σ w = 0 is empty and skipped), a sum that Spark combines map-side, so the shuffle holds
-    one partial per (partition, group, resample) — no row-level join and no
-    gathering of a group in one task."""
+    Σ w·x / Σ w (a resample with Σ w = 0 is empty and skipped).  A task draws a row's weights for all
+    resamples at once and adds them up, so the shuffle holds one partial per (partition, group) with a sum
+    per resample — no row-level join and no gathering of a group in one task."""
     g = list(group) or ["_all"]
     v = values if group else values.withColumn("_all", F.lit(0))
-    gkey = F.concat_ws("|", *[F.col(c).cast("string") for c in g])
-    slots = v.select(*g, key, value, F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"))
-    u = T.md5_int(seed, gkey, F.col("rep"), F.col(key)) / F.lit(4294967296.0)
-    slots = slots.withColumn("_w", poisson_weight(u))
-    means = slots.groupBy(*g, "rep").agg(F.try_divide(F.sum(F.col("_w") * F.col(value)), F.sum("_w")).alias("m"))
+    ship_package(values.sparkSession)
+    head = F.concat_ws("|", *[F.col(c).cast("string") for c in g])
+    drawn = v.select(*g, F.concat_ws(":", F.lit(str(seed)), head, F.lit("")).alias("_head"), F.col(key).cast("string").alias("_key"), F.col(value).cast("double").alias("_x"))
+    sums = resample_sums(drawn, g, reps)
+    slots = sums.select(*g, F.posexplode(F.arrays_zip("wx", "w")).alias("rep", "s"))
+    means = slots.groupBy(*g, "rep").agg(F.try_divide(F.sum("s.wx"), F.sum("s.w")).alias("m"))
     point = v.groupBy(*g).agg(F.avg(value).alias("mean"))
     ci = means.groupBy(*g).agg(F.percentile("m", lo).alias("ci_lo"), F.percentile("m", hi).alias("ci_hi"))
     out = point.join(ci, g)
     return out if group else out.drop("_all")
+
+
+def resample_sums(drawn: DataFrame, group: list[str], reps: int) -> DataFrame:
+    """(group..., wx, w): of the rows of a task, Σ weight · value and Σ weight for each of ``reps`` resamples.
+
+    ``drawn(group..., _head, _key, _x)``: a row's weight in resample r is drawn from md5(_head, r[, ':', _key]).
+    A null value counts in the second sum only."""
+    limits = [math.ceil(c * 2**32) for c in poisson_thresholds()]  # k / 2^32 < c for integers k < limit
+    schema = StructType([*(drawn.schema[c] for c in group), StructField("wx", ArrayType(DoubleType())), StructField("w", ArrayType(LongType()))])
+
+    def add_up(batches):
+        sums, names = {}, {}
+        for b in batches:
+            heads, keys, xs = (b.column(b.schema.get_field_index(c)).to_pylist() for c in ("_head", "_key", "_x"))
+            by: dict = {}
+            of = list(zip(*(b.column(i).to_pylist() for i in range(len(group))), strict=True))
+            for i, (h, k) in enumerate(zip(heads, keys, strict=True)):
+                names.setdefault(of[i], b.slice(i, 1).select(group))
+                tail = b"" if k is None else b":" + k.encode()
+                by.setdefault((of[i], h, len(tail)), []).append((tail, xs[i]))
+            for (name, h, _), rows in by.items():
+                if name not in sums:
+                    sums[name] = [np.zeros(reps), np.zeros(reps, np.int64), np.zeros(reps, bool)]
+                wx, w, some = sums[name]
+                x = np.array([math.nan if r[1] is None else r[1] for r in rows])
+                known = np.array([r[1] is not None for r in rows])
+                for first, rows_at, words in first_words(h.encode(), [r[0] for r in rows], reps):
+                    weight = poisson_counts(words, limits)
+                    to = slice(first, first + words.shape[1])
+                    w[to] += weight.sum(axis=0, dtype=np.int64)
+                    has = known[rows_at]
+                    wx[to] += x[rows_at][has] @ weight[has]
+                    some[to] |= has.any()
+        for name, (wx, w, some) in sums.items():
+            columns = [pa.array([wx], pa.list_(pa.float64()), from_pandas=False), pa.array([w], pa.list_(pa.int64()))]
+            if not some.all():  # no value at all: the sum is null
+                columns[0] = pa.array([[x if s else None for x, s in zip(wx.tolist(), some.tolist(), strict=True)]], pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([*names[name].columns, *columns], names=[*group, "wx", "w"])
+
+    return drawn.mapInArrow(add_up, schema)
+
+
+def poisson_counts(words: np.ndarray, limits: list[int]) -> np.ndarray:
+    """Poisson counts of 32-bit draws: how many of the cumulative limits each one reaches (as ``poisson_weight``)."""
+    out = np.zeros(words.shape, np.uint8)
+    for c in limits:
+        out += words >= np.uint64(c) if c >= 2**32 else words >= np.uint32(c)
+    return out
