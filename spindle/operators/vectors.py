@@ -16,10 +16,12 @@ from .windows import ordinal_index
 #: Reference points, and the rows (of smallest hash) that they are chosen from.
 PIVOTS = 32
 PIVOT_SAMPLE = 2_000
-#: Vectors of a block: a task holds two blocks at a time.
+#: Vectors of a block.
 BLOCK_ROWS = 1_024
 #: Copies of a cell's block bounds, so that the blocks that meet a large cell are spread over as many tasks.
 SALTS = 16
+#: Blocks that a task holds while the blocks that they meet pass by (about; dealt by hash).
+GROUP_BLOCKS = 16
 #: Rows of a product of two blocks that are made at once.
 SLICE = 256
 #: Angles come from rounded cosines: bounds are this much wider.
@@ -155,6 +157,26 @@ def block_pairs(blocked: DataFrame, min_cosine: float) -> DataFrame:
     return a.join(b, ["cell_b", "salt"]).where(once & (_gap(*map(F.col, ("lo_a", "hi_a", "lo_b", "hi_b"))) <= limit)).select("block_a", "block_b")
 
 
+def _met_blocks(blocked: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``(part, salt, block, partners, ids, ms, us)``, a part's rows together: first the blocks it holds (null ``partners``),
+    then every block that meets some of them, once, with their names.
+
+    A block thus travels once for about GROUP_BLOCKS partners, not once for each.  With few parts the passing blocks are
+    dealt over several salts, each with the held ones.
+    """
+    tasks = int(blocked.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n_parts = max(1, math.ceil(blocked.count() / GROUP_BLOCKS))
+    salts = math.ceil(tasks / n_parts)
+    dealt = pairs.select(
+        F.pmod(F.xxhash64("block_a"), F.lit(n_parts)).cast("int").alias("part"), F.pmod(F.xxhash64("block_b"), F.lit(salts)).cast("int").alias("salt"), "block_a", "block_b"
+    )
+    held = dealt.select("part", "salt", F.col("block_a").alias("block")).distinct().withColumn("partners", F.lit(None).cast("array<string>"))
+    passing = dealt.groupBy("part", "salt", F.col("block_b").alias("block")).agg(F.collect_list("block_a").alias("partners"))
+    rows = held.unionByName(passing).join(blocked.select("block", "ids", "ms", "us"), "block")
+    dealt_out = rows.repartition(tasks, "part", "salt").sortWithinPartitions("part", "salt", F.col("partners").isNotNull())
+    return dealt_out.select("part", "salt", "block", "partners", "ids", "ms", "us")
+
+
 def cosine_pairs(
     vecs: DataFrame, min_cosine: float = 0.9, pivots: int = PIVOTS, block_rows: int = BLOCK_ROWS, sample: int = PIVOT_SAMPLE
 ) -> DataFrame:
@@ -177,29 +199,34 @@ def cosine_pairs(
     if dim is None:
         return spark.createDataFrame([], schema)
     blocked = blocks(units, choose_pivots(units, dim, pivots, sample), dim, block_rows)
-    sides = [blocked.select(*[F.col(c).alias(f"{c}_{s}") for c in ("block", "ids", "ms", "us")]) for s in "ab"]
-    met = block_pairs(blocked, min_cosine).join(sides[1], "block_b").join(sides[0], "block_a")
+    met = _met_blocks(blocked, written(block_pairs(blocked, min_cosine), "block-pairs"))
 
     def multiply(batches):
+        key, held = None, {}
         for b in batches:
             col = {n: b.column(n) for n in b.schema.names}
             for i in range(b.num_rows):
-                x, y = (_matrix(col[f"us_{s}"][i].values, dim) for s in "ab")
-                ids = [col[f"ids_{s}"][i].values for s in "ab"]
-                ms = [col[f"ms_{s}"][i].values for s in "ab"]
-                same = col["block_a"][i] == col["block_b"][i]
-                for at in range(0, len(x), SLICE):
-                    cos = x[at : at + SLICE] @ y.T
-                    hit = cos >= min_cosine
-                    if same:
-                        hit &= np.arange(len(y)) > np.arange(at, at + len(cos))[:, None]
-                    p, q = np.nonzero(hit)
-                    if len(p):
-                        p_at, q_at = pa.array(p + at), pa.array(q)
-                        arrays = [ids[0].take(p_at), ids[1].take(q_at), pa.array(cos[p, q]), ms[0].take(p_at), ms[1].take(q_at)]
-                        yield pa.RecordBatch.from_arrays(arrays, names=["id_a", "id_b", "cosine", "m_a", "m_b"])
-
-    found = met.select("block_a", "block_b", *[f"{c}_{s}" for s in "ab" for c in ("ids", "ms", "us")]).mapInArrow(multiply, schema)
+                if (now := (col["part"][i].as_py(), col["salt"][i].as_py())) != key:
+                    key, held = now, {}
+                name, y, ids_b, ms_b = col["block"][i].as_py(), _matrix(col["us"][i].values, dim), col["ids"][i].values, col["ms"][i].values
+                partners = col["partners"][i].as_py()
+                if partners is None:  # held ones come first
+                    held[name] = y, ids_b, ms_b
+                    continue
+                for block_a in partners:
+                    x, ids_a, ms_a = held[block_a]
+                    for at in range(0, len(x), SLICE):
+                        cos = x[at : at + SLICE] @ y.T
+                        hit = cos >= min_cosine
+                        if block_a == name:
+                            hit &= np.arange(len(y)) > np.arange(at, at + len(cos))[:, None]
+                        p, q = np.nonzero(hit)
+                        if len(p):
+                            p_at, q_at = pa.array(p + at), pa.array(q)
+                            arrays = [ids_a.take(p_at), ids_b.take(q_at), pa.array(cos[p, q]), ms_a.take(p_at), ms_b.take(q_at)]
+                            yield pa.RecordBatch.from_arrays(arrays, names=["id_a", "id_b", "cosine", "m_a", "m_b"])
+
+    found = met.mapInArrow(multiply, schema)
     a, b = F.struct(F.col("id_a").alias("id"), F.col("m_a").alias("m")), F.struct(F.col("id_b").alias("id"), F.col("m_b").alias("m"))
     ends = found.select("cosine", F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
     return ends.select(

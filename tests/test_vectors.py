@@ -89,3 +89,14 @@ def test_unusual_rows(spark):
     assert V.cosine_pairs(df.limit(0), 0.9).collect() == []
     assert V.cosine_pairs(df.where("id = 5"), 0.9).columns == ["id_a", "id_b", "cosine", "m_a", "m_b"]
     assert V.cosine_pairs(df.where("id = 1"), 0.9).collect() == []
+
+
+def test_a_block_travels_once_for_many_partners(spark):
+    names = [f"0-{i}" for i in range(64)]
+    blocked = spark.createDataFrame([(n, [i], [1], [[1.0]]) for i, n in enumerate(names)], "block string, ids array<bigint>, ms array<bigint>, us array<array<double>>")
+    pairs = spark.createDataFrame([(a, b) for a in names for b in names if a <= b], "block_a string, block_b string")
+    rows = V._met_blocks(blocked, pairs).select("part", "salt", "block", "partners").collect()
+    assert sorted((a, r["block"]) for r in rows for a in r["partners"] or []) == sorted(map(tuple, pairs.collect()))
+    held = {(r["part"], r["salt"], r["block"]) for r in rows if r["partners"] is None}
+    assert all((r["part"], r["salt"], a) in held for r in rows for a in r["partners"] or [])
+    assert len(rows) < pairs.count() / 3
