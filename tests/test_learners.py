@@ -239,3 +239,22 @@ def test_appliers(spark):
     for r in U.apply_viterbi(tok, lex).collect():
         assert "".join(r["pieces"]) == r["token"]
         assert price(r["pieces"]) == pytest.approx(min(map(price, plain_segments(r["token"]))))
+
+
+def test_a_batch_of_merges_is_plain_replacement(spark):
+    from pyspark.sql import functions as F
+
+    lines = ["aaaa", "abab", "xaab", "a$b\\Ea", "b", "ab", ".a.b.", "ba"]
+    batch = [("a", "b", "ab", 9), ("ab", "ab", "abab", 5), (".", "a", ".a", 3), ("a", "a", "aa", 2), ("$", "b", "$b", 1), ("\\", "E", "\\E", 1)]
+    rows = spark.createDataFrame([(M.SEP.join(x),) for x in lines], "seq string")
+    after = M._merged_seq(F.col("seq"), batch)
+    assert "regexp" not in str(after._jc).lower()
+    for r in rows.select("seq", after.alias("after")).collect():
+        want = r["seq"].split(M.SEP)
+        for left, right, merged, _ in batch:
+            i = 0
+            while i < len(want) - 1:
+                if want[i : i + 2] == [left, right]:
+                    want[i : i + 2] = [merged]
+                i += 1
+        assert r["after"].split(M.SEP) == want
