@@ -258,3 +258,24 @@ def test_a_batch_of_merges_is_plain_replacement(spark):
                     want[i : i + 2] = [merged]
                 i += 1
         assert r["after"].split(M.SEP) == want
+
+
+def test_learner_and_viterbi_make_no_edge_table(spark, monkeypatch):
+    """Blocks of few words, long words among them; edges are made where the words lie."""
+    monkeypatch.setattr(U, "edges", lambda *a: pytest.fail("edges are joined"))
+    monkeypatch.setattr(U, "BLOCK_CHARS", 50)
+    monkeypatch.setattr(U, "ALIKE", 4)
+    words = random_words(5, "abc", 120, 6)
+    counts, cost = plain_lexicon(words, 15, 3, 1e-2, 0.75)
+    lexicon = U.learn_unigram_lexicon(spark, spark.createDataFrame(list(words.items()), "word string, freq bigint"), 15, 3, 1e-2)
+    got = {r["morph"]: (r["count"], r["cost"]) for r in lexicon.collect()}
+    assert set(got) == set(cost)
+    for m, (n, c) in got.items():
+        assert n == pytest.approx(counts[m], rel=1e-6) and c == pytest.approx(cost[m], rel=1e-6)
+    tok = spark.createDataFrame([(w,) for w in [*words, "axb", "🙂a", "", None]], "token string")
+    cuts = []
+    for most in (U.WHOLE_LEXICON, 0):
+        monkeypatch.setattr(U, "WHOLE_LEXICON", most)
+        cuts.append({r["token"]: r["pieces"] for r in U.apply_viterbi(tok, lexicon).collect()})
+    assert cuts[0] == cuts[1] and set(cuts[0]) == {*words, "axb", "🙂a"}
+    assert all("".join(pieces) == w for w, pieces in cuts[0].items())
