@@ -47,10 +47,10 @@ def alert_ppv(
     cands = written(alert_candidates(pos_tok, min_count, min_len, max_len, group), "candidates")
     if g:
         docs = rows.select("id", "text").dropDuplicates(["id"]) if docs is None else docs
-        # written: read again for the coverage of each group
-        found = written(contained_tokens(cands.select("token"), docs.select("id", "text"), letters_only=True), "contains")
-        neg = rows.where("label = 0").groupBy("id").agg(F.collect_list(F.struct(*g)).alias("_g"))
-        hits = found.join(neg, "id").select("_g", F.explode("tokens").alias("token")).select(F.explode("_g").alias("_g"), "token").select("_g.*", "token")
+        # A row carries the groups in which it is negative, so what is found in it needs no join.
+        neg = rows.groupBy("id").agg(F.collect_list(F.when(F.col("label") == 0, F.struct(*g))).alias("_g"))
+        found = contained_tokens(cands.select("token"), docs.select("id", "text").join(neg, "id"), letters_only=True)
+        hits = found.select("_g", F.explode("tokens").alias("token")).select(F.explode("_g").alias("_g"), "token").select("_g.*", "token")
     else:
         found = contained_tokens(cands.select("token"), rows.select("id", "label", "text"), letters_only=True)  # word-regex tokens
         hits = found.where("label = 0").select(F.explode("tokens").alias("token"))
@@ -71,28 +71,30 @@ def structural_alerts(rows: DataFrame, threshold: float = 0.5, **kw) -> DataFram
     return scored.where(F.col("ppv") > threshold)
 
 
-def coverage(alerts: DataFrame, contains: DataFrame, rows: DataFrame, group: tuple = ()) -> DataFrame:
-    """#49: share of positive rows that contain at least one alert, per group."""
+def coverage(alerts: DataFrame, docs: DataFrame, rows: DataFrame, group: tuple = ()) -> DataFrame:
+    """#49: share of positive rows whose text, of ``docs(id, text)``, contains at least one alert, per group.
+
+    The texts are searched for the groups of the alerts they hold: a row gives a group once, not its tokens.
+    """
     g = list(group)
-    pos = rows.where("label = 1").select(*g, "id").distinct()
-    covered = (
-        contains.join(alerts.select(*g, "token"), "token")
-        .select(*g, "id")
-        .distinct()
-        .withColumn("hit", F.lit(1))
-    )
+    name = F.to_json(F.struct(*g)) if g else F.lit("")
+    known = alerts.dropna(subset=g) if g else alerts
+    pos = rows.where("label = 1").select(*g, "id").distinct().withColumn("_g", name)
+    found = contained_tokens(known.select("token", name.alias("_g")), docs.select("id", "text"), letters_only=True, value="_g")
+    covered = found.select("id", F.explode("tokens").alias("_g")).distinct().withColumn("hit", F.lit(1))
     return (
-        pos.join(covered, [*g, "id"], "left")
+        pos.join(covered, ["_g", "id"], "left")
         .groupBy(*g)
         .agg(F.count(F.lit(1)).alias("n_pos"), F.count("hit").alias("n_covered"))
         .withColumn("coverage", F.col("n_covered") / F.col("n_pos"))
     )
 
 
-def alerts_per_task(rows_by_task: DataFrame, threshold: float = 0.5, **kw) -> DataFrame:
+def alerts_per_task(rows_by_task: DataFrame, threshold: float = 0.5, docs: DataFrame | None = None, **kw) -> DataFrame:
     """#128: per task → n_neg, n_pos, n_alerts, coverage, mean_ppv (#129), in one grouped job."""
     group = ("task",)
-    scored, contains = alert_ppv(rows_by_task, group=group, **kw)
+    docs = rows_by_task.select("id", "text").dropDuplicates(["id"]) if docs is None else docs
+    scored = written(alert_ppv(rows_by_task, group=group, docs=docs, **kw)[0], "scored")
     alerts = scored.where(F.col("ppv") > threshold)
     counts = rows_by_task.groupBy("task").agg(
         F.sum(F.when(F.col("label") == 0, 1).otherwise(0)).cast("bigint").alias("n_neg"),
@@ -102,7 +104,7 @@ def alerts_per_task(rows_by_task: DataFrame, threshold: float = 0.5, **kw) -> Da
         F.sum(F.when(F.col("ppv") > threshold, 1).otherwise(0)).cast("bigint").alias("n_alerts"),
         F.avg("ppv").alias("mean_ppv"),
     )
-    cov = coverage(alerts, contains, rows_by_task, group).select("task", "coverage")
+    cov = coverage(alerts, docs, rows_by_task, group).select("task", "coverage")
     return (
         counts.join(per, "task", "left")
         .join(cov, "task", "left")

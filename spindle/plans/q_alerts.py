@@ -145,8 +145,8 @@ def q_alerts_union(spark, sf):
 )
 def q_coverage_pct(spark, sf):
     rows = _rows_by_task(spark, sf)
-    scored, contains = A.alert_ppv(rows, group=("task",), docs=_docs(spark, sf))
-    cov = A.coverage(scored.where(F.col("ppv") > 0.5), contains, rows, ("task",))
+    scored, _ = A.alert_ppv(rows, group=("task",), docs=_docs(spark, sf))
+    cov = A.coverage(scored.where(F.col("ppv") > 0.5), _docs(spark, sf), rows, ("task",))
     return cov.select(
         "task",
         F.col("n_pos").cast("bigint").alias("n_pos"),

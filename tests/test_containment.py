@@ -64,3 +64,21 @@ def test_alerts_shuffle_no_text(spark):
     assert shuffles and all("hashpartitioning(token" in line for line in shuffles)
     found = {r["token"]: (r["tp"], r["fp"]) for r in A.alert_ppv(rows)[0].collect()}
     assert found["cat"] == (100, 100) and found["only"] == (100, 100)
+
+
+def test_more_tokens_shuffle_no_pair(spark, monkeypatch):
+    """Beyond MATCHER_CHARS rows meet their words' tokens in blocks: the same alerts, and no row's tokens are gathered by id."""
+    rows = spark.range(300).select(
+        F.explode(F.array(F.lit("a"), F.lit("b"))).alias("task"), "id",
+        F.concat(F.lit("word Cat "), F.translate((F.col("id") % 50).cast("string"), "0123456789", "abcdefghij"), F.lit(" concat ")).alias("text"), F.lit("cat").alias("token"),
+    ).select("*", F.when(F.col("task") == "a", F.col("id") % 2).otherwise(F.when(F.col("id") % 3 == 0, 0).otherwise(1)).cast("int").alias("label"))
+    sides = []
+    for chars in (J.MATCHER_CHARS, 0):
+        monkeypatch.setattr(J, "MATCHER_CHARS", chars)
+        monkeypatch.setattr(J, "BLOCK_WORDS", 200)
+        found = J.contained_tokens(rows.select("token"), rows.select("id", "text").distinct(), letters_only=True)
+        assert "collect_set(token" not in found._jdf.queryExecution().executedPlan().toString()
+        scored, _ = A.alert_ppv(rows.drop("token"), group=("task",))
+        sides.append((sorted(map(tuple, scored.collect())), sorted(map(tuple, A.alerts_per_task(rows.drop("token")).collect()))))
+    assert sides[0] == sides[1]
+    assert [(r["n_neg"], r["n_pos"]) for r in A.alerts_per_task(rows.drop("token")).orderBy("task").collect()] == [(150, 150), (100, 200)]
