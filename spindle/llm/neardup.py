@@ -241,6 +241,12 @@ def _confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, out)
 
 
+def _large(rows: DataFrame) -> DataFrame:
+    """``rows`` as the side of a sort-merge join.  Spark sizes what comes from an explode by the width of its rows, not by
+    their number, and would broadcast a table of many times the limit (40 keys for each class)."""
+    return rows.hint("merge")
+
+
 def near_duplicates(docs: DataFrame, carry: tuple[str, ...] = (), one_node: bool = True) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept, and its string columns ``carry``.
 
@@ -256,7 +262,7 @@ def near_duplicates(docs: DataFrame, carry: tuple[str, ...] = (), one_node: bool
     keys = classes.select("rep", "n", band).select(F.xxhash64("band", "value").alias("key"), "rep")
     # Only buckets of several classes matter from here on.
     shared = keys.groupBy("key").agg(F.min("rep").alias("centre"), F.max("rep").alias("other")).where("centre < other").select("key", "centre")
-    members = written(keys.join(shared, "key").select("key", "rep", "centre"), "neardup-buckets")
+    members = written(keys.join(_large(shared), "key").select("key", "rep", "centre"), "neardup-buckets")
     pairs = members.where("rep <> centre").select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct()
     links = _confirmed(_likely(pairs, classes), docs)
     links = written(links.unionByName(_same_ids(full, classes)) if one_node else links, "neardup-links")
@@ -264,7 +270,7 @@ def near_duplicates(docs: DataFrame, carry: tuple[str, ...] = (), one_node: bool
     label = F.coalesce("component", F.col("rep")).alias("component")
     placed = members.select("key", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", label)
     mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-    left = placed.join(mixed, "key").select("rep", "component").distinct()
+    left = placed.join(_large(mixed), "key").select("rep", "component").distinct()
     left = written(left.join(classes.select("rep", "fp", "n"), "rep"), "neardup-open")
     more = written(_exact_pairs(left, docs), "neardup-pairs")
     new = written(_confirmed(more, docs), "neardup-links")
@@ -308,7 +314,7 @@ def _exact_pairs(left: DataFrame, docs: DataFrame) -> DataFrame:
     shingles = written(_shingles(left, docs), "neardup-shingles")
     frequent = shingles.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     by_rarity = Window.partitionBy("rep").orderBy("df", "h")
-    ranked = shingles.join(frequent, "h").withColumn("place", F.row_number().over(by_rarity))
+    ranked = shingles.join(_large(frequent), "h").withColumn("place", F.row_number().over(by_rarity))
     ranked = ranked.withColumn("place", F.col("place") + F.col("n") - F.count(F.lit(1)).over(Window.partitionBy("rep")))  # the others stand in one set only
     # 1-based places of the prefix: n - ceil(t n) + 1.
     prefix = written(ranked.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1).drop("df"), "neardup-prefix")
@@ -317,7 +323,7 @@ def _exact_pairs(left: DataFrame, docs: DataFrame) -> DataFrame:
         .groupBy("h").agg(F.max_by("component", F.struct("count", "component")).alias("largest"), F.count(F.lit(1)).alias("n_components"))
         .where("n_components > 1")
     )
-    x = prefix.join(largest.select("h", "largest"), "h")
+    x = prefix.join(_large(largest.select("h", "largest")), "h")
     # The shared shingle and what follows it bound the intersection, so a partner has at most ``most`` shingles,
     # and of two sets that link at least one can have a partner of its own size ("wide").  Two narrow ones, as
     # in a family of one template below the threshold, never meet.  Sizes in bands of a third meet their neighbours.

@@ -136,3 +136,17 @@ def test_template_families_dont_pair(spark):
     assert result(df) == brute(data)
     left = spark.createDataFrame([(i, i, len(shingles(t)), N.fingerprint(N.shingle_set(t))) for i, t in data[:120]], "rep long, component long, n long, fp binary")
     assert N._exact_pairs(left, df).count() == 0
+
+
+def test_the_keys_of_the_bands_are_never_broadcast(spark, monkeypatch):
+    """Their size is estimated from the classes' width: 40 keys each count as less than the class itself."""
+    plans = {}
+
+    def spied(df, name, done=N.written):
+        plans.setdefault(name, df._jdf.queryExecution().executedPlan().toString())
+        return done(df, name)
+
+    monkeypatch.setattr(N, "written", spied)
+    N.near_duplicates(spark.createDataFrame([(i, f"a b c d e f g h{i % 3}") for i in range(9)], "doc_id long, text string")).count()
+    for name in ("neardup-buckets", "neardup-prefix"):
+        assert "SortMergeJoin" in plans[name] and "BroadcastHashJoin" not in plans[name]
