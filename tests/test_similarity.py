@@ -80,3 +80,31 @@ def test_counting_copies_shuffles_signatures_only(spark):
     rows = spark.createDataFrame([(i, [f"w{i % 7}", "x"]) for i in range(50)], "id long, tokens array<string>")
     plan = J.collapse_identical_sets(rows)[1]._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1 and "Generate" not in plan
+
+
+def _random_sets(n, size, vocabulary, seed=5):
+    rnd = random.Random(seed)
+    return {i: {f"w{x}" for x in rnd.sample(range(vocabulary), rnd.randint(size - 10, size))} for i in range(n)}
+
+
+def test_sets_that_share_rare_tokens_only_stay_in_their_task(spark):
+    sets = _random_sets(300, 80, 400)  # about a ninth of two sets is shared, and nearly all meet on some first token
+    df = spark.createDataFrame([(i, sorted(s)) for i, s in sets.items()], "id long, tokens array<string>")
+    assert J.similarity_candidates(J.collapse_identical_sets(df)[0], 3, 5).count() < 10
+
+
+@pytest.mark.parametrize("threshold", [0.25, 0.6])
+def test_several_blocks_equal_all_pairs(spark, monkeypatch, threshold):
+    from spindle.operators import setpairs
+
+    monkeypatch.setattr(setpairs, "BLOCK_BYTES", 3_000)
+    rnd = random.Random(2)
+    sets = _random_sets(60, 40, 200) | {i + 60: s for i, s in _random_sets(30, 15, 60).items()}
+    for i in range(90, 180):
+        base = sorted(sets[rnd.randrange(i)])
+        sets[i] = set(rnd.sample(base, max(1, len(base) - rnd.randint(0, 6)))) | {f"n{i}"}
+    df = spark.createDataFrame([(i, sorted(s)) for i, s in sets.items()], "id long, tokens array<string>")
+    assert len({r["n"] for r in J.collapse_identical_sets(df)[0].collect()}) > 5
+    got = {(r["id_a"], r["id_b"]): (r["n_common"], r["n_union"]) for r in J.similarity_self_join(df, threshold)[0].collect()}
+    assert set(got) == _brute(sets, threshold) and len(got) > 30
+    assert all(c == (len(sets[a] & sets[b]), len(sets[a] | sets[b])) for (a, b), c in got.items())
