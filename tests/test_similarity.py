@@ -108,3 +108,11 @@ def test_several_blocks_equal_all_pairs(spark, monkeypatch, threshold):
     got = {(r["id_a"], r["id_b"]): (r["n_common"], r["n_union"]) for r in J.similarity_self_join(df, threshold)[0].collect()}
     assert set(got) == _brute(sets, threshold) and len(got) > 30
     assert all(c == (len(sets[a] & sets[b]), len(sets[a] | sets[b])) for (a, b), c in got.items())
+
+
+def test_only_rows_of_pairs_and_of_repeated_sets_are_explained(spark):
+    from spindle.operators import quality as Q
+
+    members = spark.createDataFrame([(1, 1), (2, 2), (3, 3), (4, 3), (5, 5), (6, 6)], "id long, rep long")
+    pairs = spark.createDataFrame([(1, 5)], "id_a long, id_b long")
+    assert sorted(r["id"] for r in Q.rows_in_pairs(pairs, members).collect()) == [1, 3, 4, 5]
