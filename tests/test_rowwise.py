@@ -5,6 +5,8 @@ import io
 from collections import Counter
 from contextlib import redirect_stdout
 
+import numpy as np
+
 from spindle.functions import text as T
 from spindle.operators import rowwise as RW
 from spindle.operators import sample as SM
@@ -128,3 +130,37 @@ def test_bigram_model_reads_the_texts_once(spark):
 
     want = [math.log(2.5 / 4), math.log(2.5 / 5), math.log(0.5 / 4), -math.log(4)]
     assert got == [round(x, 9) for x in want]
+
+
+def test_numbered_keys_equal_hashlib():
+    from spindle.operators.md5 import numbered
+
+    heads = [b"", b"42:7:", b"42:11:", b"x" * 52, b"y" * 70, "ü:".encode()]
+    numbers = [np.array(x) for x in ([0], [3, 10, 999, 3], range(1200), [5, 100], [7], [])]
+    for wide, size in ((False, 4), (True, 8)):
+        got = numbered(heads, numbers, wide)
+        want = [[int.from_bytes(hashlib.md5(h + str(i).encode()).digest()[:size], "big") for i in x] for h, x in zip(heads, numbers, strict=True)]
+        assert [x.tolist() for x in got] == want
+
+
+def test_rows_draw_together_without_a_call_per_position(monkeypatch):
+    from types import SimpleNamespace
+
+    from spindle.operators import md5
+
+    pos = [np.arange(30), np.array([0, 0, 1, 2])]
+    want = []
+    for parts, p in zip(("1", "a:2"), pos, strict=True):
+        key = lambda rep, x, parts=parts: hashlib.md5(f"42:{parts}:{rep}:{x}".encode()).digest()
+        want.append([sorted(sorted(range(len(p)), key=lambda i: (key(rep, p[i]), p[i], i))[: max(1, int(0.9 * len(p)))]) for rep in range(3)])
+    got = RW.kept_in_copies([["1"], ["a", "2"]], 3, pos, 0.9, 42)
+    assert [[k.tolist() for k in row] for row in got] == want
+
+    def none(*_):
+        raise AssertionError("one position at a time")
+
+    monkeypatch.setattr(md5, "hashlib", SimpleNamespace(md5=none))
+    monkeypatch.setattr(RW, "hashlib", SimpleNamespace(md5=none), raising=False)
+    assert RW.kept_in_copies([["1"]], 3, pos[:1], 0.9, 42)[0][2].tolist() == want[0][2]
+    draws = RW.Draws(40, 42)
+    assert [draws.add(["1"], pos[0]), draws.add(["2", "1"], pos[0][:5])] == [0, 1] and draws.bits(1, 0).shape == (5, 40)
