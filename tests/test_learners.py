@@ -5,6 +5,7 @@ import random
 from itertools import combinations
 
 import pytest
+from pyspark.sql import functions as F
 
 from spindle.operators import lexicon as U
 from spindle.operators import merges as M
@@ -279,3 +280,30 @@ def test_learner_and_viterbi_make_no_edge_table(spark, monkeypatch):
         cuts.append({r["token"]: r["pieces"] for r in U.apply_viterbi(tok, lexicon).collect()})
     assert cuts[0] == cuts[1] and set(cuts[0]) == {*words, "axb", "🙂a"}
     assert all("".join(pieces) == w for w, pieces in cuts[0].items())
+
+
+def test_runs_are_counted_where_the_words_lie(spark):
+    from collections import Counter
+
+    rows = [("a\x01b\x01a\x01b\x01c", 3), ("a", 9), ("c\x01\x01c", 2), ("##ü\x01b", 4), ("a\x01a\x01a\x01a", 5), ("b\x01c", 1)]
+    words = spark.createDataFrame([(s, f, s) for s, f in rows], "word string, freq bigint, seq string")
+
+    def runs(k):
+        out = Counter()
+        for s, f in rows:
+            x = s.split("\x01")
+            for i in range(len(x) - k + 1):
+                out[tuple(x[i : i + k])] += f
+        return out
+
+    pairs = M.pair_counts(words, "seq")
+    assert {(r["left"], r["right"]): r["n"] for r in pairs.collect()} == runs(2)
+    assert "Generate" not in pairs._jdf.queryExecution().executedPlan().toString()
+    top = [("a", "b", 0), ("b", "a", 0), ("b", "c", 0), ("a", "a", 0), ("x", "a", 0)]
+    known = {(a, b) for a, b, _ in top}
+    assert M._triples(spark, words, top) == {t: n for t, n in runs(3).items() if t[:2] in known and t[1:] in known}
+    gone = words.withColumn("before", F.lit("a\x01b"))
+    delta = {(r["s0"], r["s1"]): r["n"] for r in M._run_counts(gone, {"seq": 1, "before": -1}, 2).where("n <> 0").collect()}
+    want = runs(2)
+    want["a", "b"] -= sum(f for _, f in rows)
+    assert delta == {p: n for p, n in want.items() if n}
